@@ -1,0 +1,71 @@
+"""Tables between the steps of an operator, in the folder that the whole cluster shares."""
+
+from __future__ import annotations
+
+import gc
+import os
+import uuid
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no checkpoint folder, as in tests.
+DEFAULT_DIR = "/tmp/checkpoints"
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; sets one where none is set."""
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if place is None:
+        place = context.getCheckpointDir() or DEFAULT_DIR
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package even where it isn't installed (local runs)."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":"):
+        env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
+    return spark
+
+
+class Scratch:
+    """Parquet tables of one call, deleted at its end.
+
+    Cutting an operator into written tables bounds its lineage, survives lost
+    executors (the folder is shared) and lets finished shuffles be freed.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = ready(spark)
+        self.path = f"{checkpoint_dir(spark)}/confluo-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def table(self, df: DataFrame, *, partitions: int | None = None) -> DataFrame:
+        self.count += 1
+        at = f"{self.path}/t{self.count}"
+        schema = df.schema
+        (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(at)
+        del df
+        self.release()
+        return self.spark.read.schema(schema).parquet(at)
+
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Checkpoints the result, so that it no longer needs this call's tables, and deletes them."""
+        out = df.checkpoint(eager=True)
+        self.drop()
+        return out
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
