@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash_dedup import near_duplicates
 from .substring_dedup import dedup_substrings
 
 
@@ -16,8 +17,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), width=5, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
