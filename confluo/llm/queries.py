@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .decontaminate import find_contamination
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
+from .packing import pack_documents
+from .sharding import shuffle_into_shards
 from .substring_dedup import dedup_substrings
 
 
@@ -31,6 +33,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), tokenizer_path(), capacity=2048, end_id=0)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    docs = _documents(spark, sf_dir).select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    out = shuffle_into_shards(docs, shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=5, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
@@ -39,6 +58,8 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_sharding": op10_sharding,
     "op5_minhash_dedup": op5_minhash_dedup,
 }
 
