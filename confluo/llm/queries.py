@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, toxicity
 from .decontaminate import find_contamination
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
@@ -50,6 +51,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = language_id.fold("doc_id", 4) == 2
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"), held_out=held)
+    out = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), toxicity.scores(model, F.col("text")).alias("found"))
+    return out.select("doc_id", "held_out", "found.score", (F.col("found.score") >= 0.3).cast("int").alias("predicted"), F.size("found.spans").alias("n_offending"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = language_id.fold("doc_id", 5) == 0
+    model = language_id.fit(docs, held_out=F.coalesce(held, F.lit(True)))
+    out = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), language_id.labels(model, F.col("text")).alias("found"))
+    return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", F.size("found.spans").alias("n_spans"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=5, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
@@ -60,6 +77,8 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_sharding": op10_sharding,
+    "op3_toxicity": op3_toxicity,
+    "op6_language_id": op6_language_id,
     "op5_minhash_dedup": op5_minhash_dedup,
 }
 
