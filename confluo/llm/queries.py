@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, toxicity
 from .decontaminate import find_contamination
+from .html_extract import extract_pages
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
@@ -67,6 +68,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", F.size("found.spans").alias("n_spans"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=5, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op3_toxicity": op3_toxicity,
     "op6_language_id": op6_language_id,
+    "op9_html_extraction": op9_html_extraction,
     "op5_minhash_dedup": op5_minhash_dedup,
 }
 
