@@ -5,7 +5,7 @@ A word's score for a language is the sum of its byte n-gram log-probabilities
 first letter narrows the languages that may take it to those seen with that
 script in training. Viterbi with a penalty for each switch labels every word,
 so that a text of several languages falls into spans; the language with the
-most letters is the document's.
+most letters, each word of a mixed text taken once, is the document's.
 
 Viterbi is exact but mostly free: where no stretch of words gains more than the
 penalty in any other language, the best path stays in one, which running sums
@@ -223,6 +223,9 @@ class Labeller:
                     continue
                 path = viterbi(scores[a:b], self.penalty) if walk[k] else np.full(b - a, best[k], np.int32)
                 letters = np.bincount(path, size[a:b], scores.shape[1])
+                if walk[k]:  # a repeated word counts once, so that one line many times over isn't the language of a text
+                    once = np.unique(w.hash[a:b], return_index=True)[1]
+                    letters = np.bincount(path[once], size[a:b][once], scores.shape[1])
                 first = int(letters.argmax())
                 others = np.delete(total[k], first)
                 margin = total[k, first] - (others.max() if len(others) else -30.0)
