@@ -9,6 +9,7 @@ from . import language_id, toxicity
 from .decontaminate import find_contamination
 from .html_extract import extract_pages
 from .line_dedup import dedup_lines
+from .media_copies import image_copies, picture
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
 from .sharding import shuffle_into_shards
@@ -72,11 +73,24 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
+def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images; the pictures are drawn from the vectors of ``embeddings``."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return image_copies(rows, id_col="vec_id", image=F.arrow_udf(picture, "binary")("embedding"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=5, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op7_decontamination": op7_decontamination,
@@ -85,6 +99,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_language_id": op6_language_id,
     "op9_html_extraction": op9_html_extraction,
+    "op4_media_copies": op4_media_copies,
     "op5_minhash_dedup": op5_minhash_dedup,
 }
 
