@@ -1,0 +1 @@
+"""A Spark engine that turns records about the same people into one trusted profile each."""
