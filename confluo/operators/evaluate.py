@@ -20,8 +20,9 @@ def run_metrics(n_records: int, profiles: DataFrame, *, review_threshold: float
     return sums.select(records.alias("records_processed"), "profiles_generated", merged.alias("records_merged"), rate.alias("duplicate_rate"), "conflicts_found", pyround(F.col("mean"), 2).alias("average_confidence"), "high_confidence_profiles", "manual_review_required")
 
 
-def review_queue(profiles: DataFrame) -> DataFrame:
-    return profiles.where("needs_review")
+def review_queue(profiles: DataFrame, *, review_threshold: float | None = None) -> DataFrame:
+    """Profiles that need a look: those marked so, or those below another threshold."""
+    return profiles.where("needs_review" if review_threshold is None else F.col("overall_confidence") < review_threshold)
 
 
 def card_score(name_confidence: Column, email_confidence: Column) -> Column:
