@@ -12,12 +12,13 @@ has, the whole sequence as one). Two documents are linked where
    smallest. The packed bits give an estimate of the similarity, corrected for
    chance collisions; what lies six standard deviations below the limit goes.
    The rest is confirmed on the full sets from the texts.
-4. Buckets whose classes are in one component by then are done. In the others
-   the classes of different components are compared by their packed bits, in
-   blocks, and each class proposes its best partners in other components; more
-   at each round, all that are left in the end. So no link between components is
-   lost, a bucket of near copies costs a star instead of all its pairs, and no
-   task holds more than two blocks of a bucket.
+4. Buckets whose classes are in one component by then are done. In the others,
+   cut into blocks of a bounded size, classes of different components are
+   compared within a task for each pair of blocks: by packed bits first, and what
+   may be linked by full sets, unless it has been joined meanwhile. A pair that
+   meets in several buckets is looked at in one. Only the links found leave the
+   task, a forest of them, so no link between components is lost and no pair is
+   ever a row.
 
 With 32 bands of five rows a pair of similarity 0.85 meets in no bucket with a
 probability of 1e-8, one of 0.8 with 3e-6.
@@ -44,9 +45,9 @@ from . import kernel as K
 
 BANDS, ROWS, BITS = 32, 5, 2
 SIZE = BANDS * ROWS
+#: Classes, and shingles of all of them, in a block at most (a larger document is a block of its own).
 BLOCK = 1024
-#: Partners that a class proposes in each round; 0: all that are left.
-ROUNDS = (4, 64, 0)
+BLOCK_SHINGLES = 1_500_000
 _U = K.U64
 _A = K.mix(np.arange(1, SIZE + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
 _B = K.mix(np.arange(1, SIZE + 1, dtype=_U) * _U(0xA0761D6478BD642F))
@@ -173,34 +174,87 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield left
 
 
-def _proposals(percent: int, most: int):
-    """Best partners in other components, for each class of a pair of blocks; ``most`` 0: all."""
+def _pairs(part: pa.Table, percent: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each class of a pair of blocks with its likely partners in other components, best first.
+
+    A pair that meets in several buckets counts in the first of their bands only.
+    """
+    b = part.column("b")[0].as_py()
+    c, comp, n, side, i, j = (part.column(k).to_numpy() for k in ("c", "component", "n", "side", "i", "j"))
+    sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(c), -1)
+    bands = part.column("bands").combine_chunks()
+    bands = (bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands).flatten().to_numpy().reshape(len(c), -1)
+    right = np.flatnonzero(side == j)
+    for k in np.flatnonzero(side == i):
+        r = right[comp[right] != comp[k]]
+        r = r[100 * np.minimum(n[r], n[k]) >= percent * np.maximum(n[r], n[k])]
+        if i[0] == j[0]:
+            r = r[c[r] < c[k]]
+        if not len(r):
+            continue
+        e = estimate(sig[k], sig[r])
+        r, e = r[e >= least], e[e >= least]
+        if not len(r):
+            continue
+        first = bands[k][(bands[r] == bands[k]).argmax(1)] == b
+        r, e = r[first], e[first]
+        if len(r):
+            yield k, r[np.argsort(-e, kind="stable")]
+
+
+def _open(percent: int):
+    """The classes that have a likely partner in another component, per pair of blocks."""
     least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ys, count = [], [], 0
         for part in _runs(batches, ["b", "i", "j"]):
-            c, comp, n, side, i, j = (part.column(k).to_numpy() for k in ("c", "component", "n", "side", "i", "j"))
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(len(c), -1)
-            left = np.flatnonzero(side == i)
-            right = np.flatnonzero(side == j)
-            for k in left:
-                r = right[(comp[right] != comp[k]) & (c[right] != c[k])]
-                r = r[100 * np.minimum(n[r], n[k]) >= percent * np.maximum(n[r], n[k])]
-                if not len(r):
-                    continue
-                e = estimate(sig[k], sig[r])
-                r, e = r[e >= least], e[e >= least]
-                if most and len(r) > most:
-                    r = r[np.argsort(-e, kind="stable")[:most]]
-                xs.append(np.maximum(c[r], c[k]))
-                ys.append(np.minimum(c[r], c[k]))
-                count += len(r)
-            if count > 1 << 16:
-                yield pa.record_batch([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
-                xs, ys, count = [], [], 0
-        if count:
-            yield pa.record_batch([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+            wanted = np.zeros(part.num_rows, bool)
+            for k, r in _pairs(part, percent, least):
+                wanted[k] = True
+                wanted[r] = True
+            if wanted.any():
+                yield from part.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    return run
+
+
+def _linking(width: int, percent: int):
+    """Links between components within a pair of blocks, confirmed on full sets; a spanning forest of them."""
+    least = least_estimate(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, ["b", "i", "j"]):
+            c, comp = part.column("c").to_numpy(), part.column("component").to_numpy()
+            top: dict[int, int] = {}
+
+            def root(x: int, top: dict[int, int] = top) -> int:
+                while (up := top.get(x, x)) != x:
+                    x = up
+                return x
+
+            buf, at = K.text_bytes(part.column("text"))
+            sets: dict[int, np.ndarray] = {}
+
+            def full(k: int, sets=sets, buf=buf, at=at) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(K.words(buf, at[k : k + 2], K.SPACE, K.LOWER), 0, width)
+                return sets[k]
+
+            xs, ys = [], []
+            for k, partners in _pairs(part, percent, least):
+                a = full(k)
+                for r in partners.tolist():
+                    p, q = root(comp[k]), root(comp[r])
+                    if p == q:
+                        continue
+                    b = full(r)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        top[max(p, q)] = min(p, q)
+                        xs.append(c[k])
+                        ys.append(c[r])
+            if xs:
+                yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
     return run
 
@@ -250,22 +304,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     links = scratch.table(confirmed(tried))
     labels = scratch.table(connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch))
-    large = members.where("k > 2").select("b", "c")
-    for most in ROUNDS:
-        named = large.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        open_ = named.groupBy("b").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("k")).where("p != q").select("b", F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"))
-        large = scratch.table(named.join(open_, "b").select("b", "c", "component", "nb"))
-        blocks = large.withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
-        blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        blocks = blocks.select("b", "c", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).join(sigs, "c")
-        dealt = blocks.select("b", "i", "j", "side", "c", "component", "n", "sig").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
-        offered = scratch.table(dealt.mapInArrow(_proposals(percent, most), "x long, y long").distinct().join(tried, ["x", "y"], "left_anti"))
-        large = large.select("b", "c")
-        if offered.isEmpty():
-            continue
-        links = scratch.table(links.unionByName(confirmed(offered)))
-        tried = scratch.table(tried.unionByName(offered))
-        labels = scratch.table(connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch))
+
+    named = members.where("k > 2").select("b", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = named.join(classes.select("c", "n"), "c")
+    share = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    mixed = named.groupBy("b").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.ceil(share).cast("int").alias("nb")).where("p != q").select("b", "nb")
+    blocks = named.join(mixed, "b").withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    blocks = blocks.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "n").join(classes.select("c", "sig", "bands"), "c")
+    fields = ["b", "i", "j", "side", "c", "component", "n", "sig", "bands"]
+    opened = blocks.select(*fields).repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(_open(percent), "b long, i int, j int, side int, c long, component long, n long, sig binary, bands array<long>")
+    opened = scratch.table(opened)
+    met = opened.join(texts, "c").select(*fields, "text").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
+    links = scratch.table(links.unionByName(met.mapInArrow(_linking(width, percent), "x long, y long")))
+    labels = scratch.table(connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch))
 
     group = classes.select("c", F.col("at.doc_id").alias("class_id")).join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = group.groupBy("component").agg(F.min("class_id").alias("component_id"))
