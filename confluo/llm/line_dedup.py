@@ -93,6 +93,7 @@ def dedup_lines(docs: DataFrame, *, window: int = 3, id_col: str = "doc_id", tex
     first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first")
     later = found.join(first, ["a", "b"]).where(place > F.col("first"))
     hits = scratch.table(later.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("hits")))
-    out = work.join(hits, ["doc_id", "t"], "left").withColumn("__new", _kept(window)("text", "hits"))
+    # A merge join at every size: the hits grow with the corpus, so no plan may rest on their being few.
+    out = work.join(hits.hint("merge"), ["doc_id", "t"], "left").withColumn("__new", _kept(window)("text", "hits"))
     new = F.col("__new")
     return unwrapped(out, docs.columns, {text_col: new["text"], "n_lines": new["n_lines"], "n_removed": new["n_removed"]})
