@@ -233,7 +233,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[tuple[list, li
 def _merged_spans(lists: pa.Array) -> pa.Array:
     out = []
     for row in lists:
-        pairs = np.array(sorted((x["s"], x["e"]) for x in row.as_py()), np.int64).reshape(-1, 2)
+        pairs = np.array(sorted(tuple(x.values()) for x in row.as_py()), np.int64).reshape(-1, 2)
         a, b = K.spans(pairs[:, 0], pairs[:, 1])
         out.append((a, b))
     return pa.StructArray.from_arrays([pa.array([a for a, _ in out], pa.list_(pa.int64())), pa.array([b for _, b in out], pa.list_(pa.int64()))], ["starts", "ends"])
@@ -253,11 +253,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text
         hit = keyed.select("doc_id", "t", _finder(*block, window)("text").alias("f")).where("f.n_hit > 0").distinct()
         part = scratch.table(hit.select("doc_id", "t", "f"))
         parts = part if parts is None else parts.unionByName(part)
-    spans = parts.select("doc_id", "t", F.explode(F.arrays_zip(F.col("f.starts").alias("s"), F.col("f.ends").alias("e"))).alias("x"))
     merge = F.arrow_udf(_merged_spans, T.StructType().add("starts", T.ArrayType(T.LongType())).add("ends", T.ArrayType(T.LongType())))
-    spans = spans.groupBy("doc_id", "t").agg(F.collect_set("x").alias("x")).select("doc_id", "t", merge("x").alias("m"))
-    names = parts.groupBy("doc_id", "t").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("f.items")))).alias("items"))
-    both = spans.join(names, ["doc_id", "t"]).select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "m", "items")
+    each = F.flatten(F.transform("fs", lambda f: F.arrays_zip(f["starts"].alias("s"), f["ends"].alias("e"))))
+    names = F.sort_array(F.array_distinct(F.flatten(F.transform("fs", lambda f: f["items"]))))
+    grouped = parts.groupBy("doc_id", "t").agg(F.collect_list("f").alias("fs"))  # a row per block at most
+    both = grouped.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), merge(each).alias("m"), names.alias("items"))
     joined = keyed.join(both, [F.col("doc_id").eqNullSafe(F.col("d")), F.col("t") == F.col("u")], "left")
     recount = F.arrow_udf(_recount, "struct<n_words: long, n_hit: long>")
     joined = joined.withColumn("n", recount("text", "m.starts", "m.ends"))

@@ -269,7 +269,7 @@ def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
     base = images.select(F.col(id_col).cast("long").alias("id"), image.cast("binary").alias("image"))
     base = scratch.table(base.withColumn("rid", F.xxhash64("id", "image")))
     named = scratch.table(base.mapInArrow(_classes, "id long, rid long, c long"))
-    classes = named.where("c is not null").groupBy("c").agg(F.min(F.struct("id", "rid")).alias("at"))
+    classes = named.where("c is not null").groupBy("c").agg(F.min(F.struct("id", "rid")).alias("at"), F.min("id").alias("class_id"))
     wanted = classes.select("c", F.col("at.rid").alias("rid"))
     described = scratch.table(base.select("rid", "image").join(wanted, "rid").dropDuplicates(["c"]).select("c", "image").mapInArrow(_described, "c long, feats binary, keys array<long>"))
     feats = described.select("c", "feats")
@@ -305,7 +305,7 @@ def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
         tried = scratch.table(tried.unionByName(offered))
         labels = components()
 
-    group = classes.select("c", F.col("at.id").alias("class_id")).join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    group = classes.select("c", "class_id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = group.groupBy("component").agg(F.min("class_id").alias("component_id"))
     group = group.join(least, "component").join(described.select("c", (F.octet_length("feats") / (16 + TESTS // 8)).cast("int").alias("n_points")), "c", "left").select("c", "class_id", "component_id", "n_points")
     out = named.join(group, "c", "left").withColumn("component_id", F.coalesce("component_id", "id"))

@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     signed = scratch.table(base.mapInArrow(_signatures(width), "doc_id long, t long, n long, c long, s2 long, sig binary, bands array<long>"))
     rows = signed.select("doc_id", "t", "n", "c")
     some = signed.where("c is not null")
-    classes = scratch.table(some.groupBy("c", "s2", "n").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("c", "n", "at", "sig", "bands"))
+    classes = scratch.table(some.groupBy("c", "s2", "n").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("c", "n", "at", "class_id", "sig", "bands"))
     sigs = classes.select("c", "n", "sig")
 
     member = classes.select(F.explode("bands").alias("b"), "c")
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     links = scratch.table(links.unionByName(met.mapInArrow(_linking(width, percent), "x long, y long")))
     labels = scratch.table(connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch))
 
-    group = classes.select("c", F.col("at.doc_id").alias("class_id")).join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    group = classes.select("c", "class_id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = group.groupBy("component").agg(F.min("class_id").alias("component_id"))
     group = group.join(least, "component").select("c", "class_id", "component_id")
     out = rows.join(group, "c", "left")

@@ -38,5 +38,5 @@ def corpus():
         for _ in range(rng.choice([0, 1, 2, 5])):
             copy[rng.randrange(len(copy))] = "edit%d" % i
         rows.append((i, " ".join(copy)))
-    rows += [(60, None), (61, ""), (62, " \n\t "), (63, "one"), (64, text(30_000)), (3, rows[3][1]), (5, "other text of a known id"), (None, passage), (65, rows[4][1]), (66, rows[4][1].upper())]
+    rows += [(60, None), (61, ""), (62, " \n\t "), (63, "one"), (64, text(30_000)), (3, rows[3][1]), (5, "other text of a known id"), (None, passage), (None, rows[6][1]), (65, rows[4][1]), (66, rows[4][1].upper())]
     return rows
