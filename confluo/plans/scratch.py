@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no checkpoint folder, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
 
+#: Arrow batches of long texts are cut at this size, unless the session sets its own: two Python workers beside
+#: an executor's heap each hold a batch more than once.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; sets one where none is set."""
@@ -25,7 +30,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package even where it isn't installed (local runs)."""
+    """Lets Python workers import this package even where it isn't installed (local runs), and keeps their batches small."""
+    if spark.conf.get(_BATCH, "64m") in ("64m", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":"):
