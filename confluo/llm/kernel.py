@@ -167,6 +167,16 @@ def window_hash(h: np.ndarray, length: int, which: int = 1) -> np.ndarray:
     return mix(out)
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """What an operator keeps in a worker between tasks. Workers are reused, so those of others are dropped."""
+    for other in [k for k in _CACHES if k != owner]:
+        del _CACHES[other]
+    return _CACHES.setdefault(owner, {})
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

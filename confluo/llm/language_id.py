@@ -248,10 +248,12 @@ def labels(model: Model | None, text: Column, *, spans: bool = True, penalty: fl
     packed = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(column: pa.Array) -> pa.Array:
+        K.cache("language")
         got = Labeller(model, penalty)(column, spans) if model else [(UNDETERMINED, 0.0, [])] * len(column)
         return pa.array([{"lang": a, "score": b, "spans": [{"lang": x, "start": y, "end": z} for x, y, z in c]} for a, b, c in got], packed)
 
-    return F.arrow_udf(run, _KIND)(text)
+    # so marked, a filter and a projection on the result share one evaluation
+    return F.arrow_udf(run, _KIND).asNondeterministic()(text)
 
 
 def fit(docs: DataFrame, *, held_out: Column | None = None, max_train: int = 8000) -> Model | None:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
+from . import kernel as K
 from .ranking import buckets_for, ranked
 
 CACHE_WORDS = 400_000
@@ -84,15 +85,13 @@ class WordIds(dict):
         return out
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _TOKENIZERS:
+    known = K.cache("packing")
+    if path not in known:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = WordIds(Tokenizer.from_file(path))
-    return _TOKENIZERS[path]
+        known[path] = WordIds(Tokenizer.from_file(path))
+    return known[path]
 
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
