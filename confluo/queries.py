@@ -298,9 +298,9 @@ def _sql_signals(l: str = "l", r: str = "r") -> dict[str, str]:
     }
 
 
-def _star_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _star_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of the first record of an e-mail key or phone with the others."""
-    rows = resolve.keyed(people(spark, sf_dir))
+    rows = resolve.keyed(rows)
     edges = resolve.star_edges(rows, "email_key").unionByName(resolve.star_edges(rows, "phone")).distinct()
     side = F.struct("seq", "email", "email_key", "phone", "country", "experience_yrs", "skills", "names")
     left, right = rows.select(F.col("seq").alias("src"), side.alias("l")), rows.select(F.col("seq").alias("dst"), side.alias("r"))
@@ -313,7 +313,7 @@ _STARS = f"{_KEYED}, stars AS ({_sql_stars('email_key')} UNION {_sql_stars('phon
 @query(f"WITH {_STARS} SELECT src, dst, email, phone, country, {_duck_round('experience', 4)} AS experience, {_duck_round('skills', 4)} AS skills FROM starred")
 def match_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = resolve.known_signals()
-    return _star_pairs(spark, sf_dir).select("src", "dst", s["email"].alias("email"), s["phone"].alias("phone"), s["country"].alias("country"), pyround(s["experience"], 4).alias("experience"), pyround(s["skills"], 4).alias("skills"))
+    return _star_pairs(people(spark, sf_dir)).select("src", "dst", s["email"].alias("email"), s["phone"].alias("phone"), s["country"].alias("country"), pyround(s["experience"], 4).alias("experience"), pyround(s["skills"], 4).alias("skills"))
 
 
 def _sql_raw(columns: dict[str, str]) -> str:
@@ -330,13 +330,13 @@ def match_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a name signal of 1 for equal names and a half for others."""
     known = {k: F.coalesce(v, F.lit(0.5)) for k, v in resolve.known_signals().items()}
     name = F.when(F.lower(F.get("l.names", F.lit(0))) == F.lower(F.get("r.names", F.lit(0))), 1.0).otherwise(0.5)
-    return _star_pairs(spark, sf_dir).select("src", "dst", resolve.match_probability(known | {"name": name}).alias("probability"))
+    return _star_pairs(people(spark, sf_dir)).select("src", "dst", resolve.match_probability(known | {"name": name}).alias("probability"))
 
 
 @query()
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """difflib ratios with boosts have no SQL form."""
-    return _star_pairs(spark, sf_dir).select("src", "dst", pyround(resolve.name_similarity(F.col("l.names"), F.col("r.names")), 4).alias("similarity"))
+    """difflib ratios with boosts have no SQL form; over every order."""
+    return _star_pairs(people(spark, sf_dir, orders="")).select("src", "dst", pyround(resolve.name_similarity(F.col("l.names"), F.col("r.names")), 4).alias("similarity"))
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,9 +551,9 @@ def precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def golden_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole engine, with name matching: merged profiles in output order."""
+    """The whole engine, with name matching, over every order: merged profiles in output order."""
     scratch = Scratch(spark)
-    rows = scratch.table(people(spark, sf_dir))
+    rows = scratch.table(people(spark, sf_dir, orders=""))
     resolved = scratch.table(resolve.resolve(rows, scratch))
     found = scratch.finish(merge.profiles(resolved))
     return merge.in_order(found).select("cluster_id", "n_records", *merge.FIELDS, "overall_confidence", "needs_review", "match_probability")
