@@ -227,8 +227,10 @@ class Labeller:
                     once = np.unique(w.hash[a:b], return_index=True)[1]
                     letters = np.bincount(path[once], size[a:b][once], scores.shape[1])
                 first = int(letters.argmax())
-                others = np.delete(total[k], first)
-                margin = total[k, first] - (others.max() if len(others) else -30.0)
+                # of the words that the path gives to the label: it has no smaller sum over them than any other language
+                own = scores[a:b][path == first].sum(0, dtype=np.float64)
+                others = np.delete(own, first)
+                margin = own[first] - (others.max() if len(others) else -30.0)
                 sure = 1 / (1 + np.exp(-min(max(margin, -30), 30)))
                 cuts = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1, [b - a])) if spans else []
                 marks = [(self.m.langs[path[x]], int(w.start[a + x] - at[i + k]), int(w.end[a + y - 1] - at[i + k])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
