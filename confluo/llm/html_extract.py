@@ -45,6 +45,8 @@ BLOCKS = frozenset("address article aside blockquote center dd details dialog di
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 SILENT = frozenset("head svg math object select button datalist canvas audio video map".split())
+#: What may stand in a head; anything else ends one, whether its end tag is written or not.
+IN_HEAD = frozenset("html base basefont bgsound link meta title style script noscript template noframes".split())
 CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot dd dt li legend summary figcaption".split())
 GROUPS = ("p", "h", "li", "div", "section", "cell", "article", "nav", "aside", "header", "footer", "form", "quote", "list")
 GROUP_OF = {"p": 0, **{f"h{i}": 1 for i in range(1, 7)}, "li": 2, "dd": 2, "dt": 2, "div": 3, "center": 3, "section": 4, "td": 5, "th": 5, "article": 6, "main": 6, "nav": 7, "menu": 7, "aside": 8, "dialog": 8, "header": 9, "footer": 10, "address": 10, "form": 11, "fieldset": 11, "search": 11, "blockquote": 12, "pre": 12, "figure": 12, "figcaption": 12, "ul": 13, "ol": 13, "dl": 13, "table": 13}
@@ -99,15 +101,22 @@ def parse(page: str):
             silent -= t in SILENT
         del stack[k:]
 
+    def end_head() -> None:
+        while stack[-1][0] == "head":
+            close("head")
+
     at, n = 0, len(page)
     for m in _MARKUP.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and not silent:
+        if m.start() > at:
             t = page[at : m.start()]
-            parts.append(t)
-            if link_depth:
-                link_chars += len(t.strip())
+            if t.strip():
+                end_head()
+            if not silent:
+                parts.append(t)
+                if link_depth:
+                    link_chars += len(t.strip())
         at = m.end()
         name = m[2]
         if name is None:
@@ -118,6 +127,8 @@ def parse(page: str):
                 flush()
             close(name)
             continue
+        if name not in IN_HEAD:
+            end_head()
         if name in ("html", "body"):  # both are the root, whether they are written or not
             continue
         if name == "br":
@@ -171,6 +182,8 @@ def parse(page: str):
             stack.append((name, stack[-1][1]))
             link_depth += name == "a"
             silent += name in SILENT
+    if page[at:].strip():
+        end_head()
     if at < n and not silent:
         parts.append(page[at:])
     flush()
