@@ -13,8 +13,9 @@ over all words of a batch decide at once. Only texts that may switch are walked
 word by word.
 
 The model is trained on at most about ``max_train`` labelled documents, drawn by
-a hash of their id and text (all, if there are fewer): its size and cost do not
-grow with the corpus. Everything else sees every document as a whole, row by
+a hash of their id and text (all, if there are fewer), and of a rare language at
+least about ``LEAST_TRAIN`` (or all): its size and cost grow with the number of
+languages, not with the corpus. Everything else sees every document as a whole, row by
 row and without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und``, score 0; a
@@ -36,6 +37,8 @@ from . import kernel as K
 
 SLOTS = 1 << 16
 SWITCH = 12.0
+#: Documents that a rare language is learned from at least, as far as it has them.
+LEAST_TRAIN = 200
 #: What one word can count for or against a language at most, and how far a summed margin is trusted.
 WORD_LIMIT = 6.0
 UNDETERMINED = "und"
@@ -118,13 +121,15 @@ class Model:
 
 
 def train(labelled: DataFrame, scratch: Scratch, *, max_train: int) -> Model | None:
-    """``labelled`` has ``text`` and ``lang``; the rows of a hash below the wanted share are used."""
+    """``labelled`` has ``text`` and ``lang``; the rows of a hash below the wanted share of their language are used."""
     rows = labelled.where("lang is not null and text is not null")
-    count = rows.count()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a number per language
+    count = sum(counts.values())
     if count > max_train:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < int(1_000_003 * max_train / count))
+        below = [F.lit(x) for k, n in counts.items() for x in (k, int(1_000_003 * min(1.0, max(max_train / count, LEAST_TRAIN / n))))]
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < F.create_map(*below)[F.col("lang")])
     rows = scratch.table(rows.select("lang", "text"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())  # languages of a bounded sample
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not langs:
         return None
     schema = "lang string, grams binary, scripts binary"
