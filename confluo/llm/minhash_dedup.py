@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -277,14 +277,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     ``docs`` needs ``doc_id`` and ``text``. Returns a row per input row:
     ``doc_id``, ``n_shingles``, ``class_id`` (smallest id of an equal set),
-    ``component_id`` (smallest id that can be reached) and ``kept``.
+    ``component_id`` (smallest id that can be reached), ``kept``, ``text_hash``
+    and ``leads``: whether id and text are the first of their component (null
+    ids last), which tells apart rows of one id or of none.
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     signed = scratch.table(base.mapInArrow(_signatures(width), "doc_id long, t long, n long, c long, s2 long, sig binary, bands array<long>"))
     rows = signed.select("doc_id", "t", "n", "c")
     some = signed.where("c is not null")
-    classes = scratch.table(some.groupBy("c", "s2", "n").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("c", "n", "at", "class_id", "sig", "bands"))
+    classes = scratch.table(some.groupBy("c", "s2", "n").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.min("doc_id").alias("class_id"), F.min(_order()).alias("lead"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("c", "n", "at", "class_id", "lead", "sig", "bands"))
     sigs = classes.select("c", "n", "sig")
 
     member = classes.select(F.explode("bands").alias("b"), "c")
@@ -318,12 +320,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     links = scratch.table(links.unionByName(met.mapInArrow(_linking(width, percent), "x long, y long")))
     labels = scratch.table(connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch))
 
-    group = classes.select("c", "class_id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = group.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    group = group.join(least, "component").select("c", "class_id", "component_id")
+    group = classes.select("c", "class_id", "lead").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    least = group.groupBy("component").agg(F.min("class_id").alias("component_id"), F.min("lead").alias("lead"))
+    group = group.drop("lead").join(least, "component").select("c", "class_id", "component_id", "lead")
     out = rows.join(group, "c", "left")
     out = out.withColumn("class_id", F.coalesce("class_id", "doc_id")).withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return scratch.finish(out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+    return scratch.finish(out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.col("t").alias("text_hash"), (F.col("lead").isNull() | (_order() == F.col("lead"))).alias("leads")))
+
+
+def _order() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "t")
 
 
 def _with_bits(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
