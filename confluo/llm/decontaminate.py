@@ -217,7 +217,7 @@ def _finder(names: list, texts: list, window: int):
         return pa.StructArray.from_arrays([pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], [f.name for f in _FOUND])
 
     # so marked, a filter and a projection on the result share one evaluation
-    return F.arrow_udf(run, _FOUND).asNondeterministic()
+    return F.arrow_udf(K.lean_column(run), _FOUND).asNondeterministic()
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[tuple[list, list]]:
@@ -254,13 +254,13 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text
         hit = keyed.select("doc_id", "t", _finder(*block, window)("text").alias("f")).where("f.n_hit > 0").distinct()
         part = scratch.table(hit.select("doc_id", "t", "f"))
         parts = part if parts is None else parts.unionByName(part)
-    merge = F.arrow_udf(_merged_spans, T.StructType().add("starts", T.ArrayType(T.LongType())).add("ends", T.ArrayType(T.LongType())))
+    merge = F.arrow_udf(K.lean_column(_merged_spans), T.StructType().add("starts", T.ArrayType(T.LongType())).add("ends", T.ArrayType(T.LongType())))
     each = F.flatten(F.transform("fs", lambda f: F.arrays_zip(f["starts"].alias("s"), f["ends"].alias("e"))))
     names = F.sort_array(F.array_distinct(F.flatten(F.transform("fs", lambda f: f["items"]))))
     grouped = parts.groupBy("doc_id", "t").agg(F.collect_list("f").alias("fs"))  # a row per block at most
     both = grouped.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), merge(each).alias("m"), names.alias("items"))
     joined = keyed.join(both, [F.col("doc_id").eqNullSafe(F.col("d")), F.col("t") == F.col("u")], "left")
-    recount = F.arrow_udf(_recount, "struct<n_words: long, n_hit: long>")
+    recount = F.arrow_udf(K.lean_column(_recount), "struct<n_words: long, n_hit: long>")
     joined = joined.withColumn("n", recount("text", "m.starts", "m.ends"))
     none = F.array().cast("array<bigint>")
     return joined.withColumn("found", F.struct(F.col("n.n_words").alias("n_words"), F.col("n.n_hit").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("m.starts", none).alias("starts"), F.coalesce("m.ends", none).alias("ends")))
@@ -305,5 +305,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
     """Cuts hit spans out of the texts; a document with more than ``max_coverage`` of its words hit goes."""
     out = _found(docs, benchmark, window, id_col, text_col, item_col, item_text)
     out = out.where(F.col("found.n_hit") <= max_coverage * F.col("found.n_words"))
-    new: Column = F.arrow_udf(_without, "string")("text", "found.starts", "found.ends")
+    new: Column = F.arrow_udf(K.lean_column(_without), "string")("text", "found.starts", "found.ends")
     return unwrapped(out, docs.columns, {text_col: new})

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import ready
+from . import kernel as K
 from .rows import unwrapped, wrapped
 
 TRAIN_PAGES = 700
@@ -335,6 +336,6 @@ def extract_pages(pages: DataFrame, *, html_col: str = "html", model: Trees | No
             out += extracted(model, column.slice(at, 256).to_pylist())
         return pa.array(out, pa.string())
 
-    text = F.arrow_udf(run, "string")
+    text = F.arrow_udf(K.lean_column(run), "string")
     work = wrapped(pages, html=F.col(html_col).cast("string")).withColumn("text", text("html"))
     return unwrapped(work, pages.columns, {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")})

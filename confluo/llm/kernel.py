@@ -6,16 +6,23 @@ randomised bytes, finished by a non-linear mix; window hashes are polynomials
 over those. A text longer than ``PIECE`` bytes is hashed piece by piece, so the
 scratch memory does not depend on the longest text by more than the eight bytes
 a word that its result needs.
+
+Python workers are kept between tasks, beside an executor's heap. ``lean`` and
+``lean_column`` hand back what a batch took and no longer needs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+#: Bytes that are hashed at once, and bytes of text that are worked on together.
+PIECE = 1 << 18
+GROUP = 1 << 20
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -144,7 +151,7 @@ def words(buf: np.ndarray, at: np.ndarray, separators: np.ndarray, fold: np.ndar
     return Words(buf, h, start, end, np.searchsorted(start, at))
 
 
-def groups(at: np.ndarray, size: int = 4 * PIECE) -> Iterator[tuple[int, int]]:
+def groups(at: np.ndarray, size: int = GROUP) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` bytes together; a longer text stands alone."""
     i, n = 0, len(at) - 1
     while i < n:
@@ -177,6 +184,45 @@ def cache(owner: str) -> dict:
     return _CACHES.setdefault(owner, {})
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Returns free memory of Arrow and of the C library to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A ``mapInArrow`` function that tidies up after each batch."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                tidy()
+
+        yield from run(each())
+        tidy()
+
+    return tidied
+
+
+def lean_column(run: Callable) -> Callable:
+    """A column function that tidies up after each batch."""
+
+    @functools.wraps(run)
+    def tidied(*columns: pa.Array) -> pa.Array:
+        out = run(*columns)
+        tidy()
+        return out
+
+    return tidied
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

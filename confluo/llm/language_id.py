@@ -133,7 +133,7 @@ def train(labelled: DataFrame, scratch: Scratch, *, max_train: int) -> Model | N
     if not langs:
         return None
     schema = "lang string, grams binary, scripts binary"
-    parts = rows.coalesce(16).mapInArrow(_counter(langs), schema)
+    parts = rows.coalesce(16).mapInArrow(K.lean(_counter(langs)), schema)
     got = {r["lang"]: r for r in parts.groupBy("lang").applyInArrow(_added, schema).collect()}
     return Model(langs, np.array([np.frombuffer(got[x]["grams"], "<i8") for x in langs]), np.array([np.frombuffer(got[x]["scripts"], "<i8") for x in langs]))
 
@@ -212,7 +212,7 @@ class Labeller:
     def __call__(self, text: pa.Array, spans: bool) -> list:
         buf, at = K.text_bytes(text)
         out = []
-        for i, j in K.groups(at, 2 * K.PIECE):
+        for i, j in K.groups(at):
             w, scores = self.words(buf, at[i : j + 1])
             n, size = np.diff(w.ptr), (w.end - w.start).astype(np.float64)
             total = np.zeros((j - i, scores.shape[1]))
@@ -260,7 +260,7 @@ def labels(model: Model | None, text: Column, *, spans: bool = True, penalty: fl
         return pa.array([{"lang": a, "score": b, "spans": [{"lang": x, "start": y, "end": z} for x, y, z in c]} for a, b, c in got], packed)
 
     # so marked, a filter and a projection on the result share one evaluation
-    return F.arrow_udf(run, _KIND).asNondeterministic()(text)
+    return F.arrow_udf(K.lean_column(run), _KIND).asNondeterministic()(text)
 
 
 def fit(docs: DataFrame, *, held_out: Column | None = None, max_train: int = 8000) -> Model | None:

@@ -76,7 +76,7 @@ def _kept(window: int):
                 texts.append("\n".join(buf[w.start[x] : w.end[x]].tobytes().decode("utf-8", "replace") for x in chosen))
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(lines), pa.array(gone)], ["text", "n_lines", "n_removed"])
 
-    return F.arrow_udf(run, T.StructType().add("text", "string").add("n_lines", "long").add("n_removed", "long"))
+    return F.arrow_udf(K.lean_column(run), T.StructType().add("text", "string").add("n_lines", "long").add("n_removed", "long"))
 
 
 def dedup_lines(docs: DataFrame, *, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,7 +88,7 @@ def dedup_lines(docs: DataFrame, *, window: int = 3, id_col: str = "doc_id", tex
     scratch = Scratch(docs.sparkSession)
     text = F.col(text_col).cast("string")
     work = wrapped(docs, doc_id=F.col(id_col).cast("long"), text=text, t=F.xxhash64(text))
-    found = work.where("doc_id is not null").select("doc_id", "t", "text").mapInArrow(_windows(window), "a long, b long, doc_id long, t long, pos long")
+    found = work.where("doc_id is not null").select("doc_id", "t", "text").mapInArrow(K.lean(_windows(window)), "a long, b long, doc_id long, t long, pos long")
     place = F.struct("doc_id", "pos", "t")
     first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first")
     later = found.join(first, ["a", "b"]).where(place > F.col("first"))

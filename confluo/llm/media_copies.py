@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.scratch import Scratch
+from . import kernel as K
 from .minhash_dedup import _runs
 
 POINTS = 40
@@ -268,10 +269,10 @@ def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
     scratch = Scratch(images.sparkSession)
     base = images.select(F.col(id_col).cast("long").alias("id"), image.cast("binary").alias("image"))
     base = scratch.table(base.withColumn("rid", F.xxhash64("id", "image")))
-    named = scratch.table(base.mapInArrow(_classes, "id long, rid long, c long"))
+    named = scratch.table(base.mapInArrow(K.lean(_classes), "id long, rid long, c long"))
     classes = named.where("c is not null").groupBy("c").agg(F.min(F.struct("id", "rid")).alias("at"), F.min("id").alias("class_id"))
     wanted = classes.select("c", F.col("at.rid").alias("rid"))
-    described = scratch.table(base.select("rid", "image").join(wanted, "rid").dropDuplicates(["c"]).select("c", "image").mapInArrow(_described, "c long, feats binary, keys array<long>"))
+    described = scratch.table(base.select("rid", "image").join(wanted, "rid").dropDuplicates(["c"]).select("c", "image").mapInArrow(K.lean(_described), "c long, feats binary, keys array<long>"))
     feats = described.select("c", "feats")
     member = described.select(F.explode("keys").alias("b"), "c")
     stars = member.groupBy("b").agg(F.min("c").alias("y"), F.count("*").alias("k")).where("k > 1")
@@ -280,7 +281,7 @@ def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = pairs.join(feats.select(F.col("c").alias("x"), F.col("feats").alias("fx")), "x")
         two = one.join(feats.select(F.col("c").alias("y"), F.col("feats").alias("fy")), "y")
-        return two.select("x", "y", "fx", "fy").mapInArrow(_agreeing, "x long, y long")
+        return two.select("x", "y", "fx", "fy").mapInArrow(K.lean(_agreeing), "x long, y long")
 
     tried = scratch.table(members.where("c != y").select(F.greatest("c", "y").alias("x"), F.least("c", "y").alias("y")).distinct())
     links = scratch.table(confirmed(tried))
@@ -296,7 +297,7 @@ def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
         now = scratch.table(now.join(mixed, "b").select("b", "c", "component", "nb"))
         blocks = now.withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         blocks = blocks.select("b", "c", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-        offered = blocks.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(_proposals(most), "x long, y long").distinct()
+        offered = blocks.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(K.lean(_proposals(most)), "x long, y long").distinct()
         offered = scratch.table(offered.join(tried, ["x", "y"], "left_anti"))
         large = now.select("b", "c")
         if offered.isEmpty():

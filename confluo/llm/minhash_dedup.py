@@ -155,23 +155,31 @@ def _confirmed(width: int, percent: int):
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Whole groups of rows that are sorted by ``keys``, across batches."""
-    left = None
+    parts: list[pa.RecordBatch] = []  # of the group that is open, joined once when it ends
+    last = None
+
+    def joined() -> pa.Table:
+        return pa.Table.from_batches(parts).combine_chunks()
+
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if left is not None:
-            table = pa.concat_tables([left, table]).combine_chunks()
-        if not table.num_rows:
+        if not batch.num_rows:
             continue
-        cols = [table.column(k).to_numpy() for k in keys]
-        new = np.zeros(table.num_rows, bool)
+        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
-        cuts = np.concatenate(([0], np.flatnonzero(new)))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield table.slice(a, b - a)
-        left = table.slice(cuts[-1])
-    if left is not None and left.num_rows:
-        yield left
+        new[0] = last is not None and last != [c[0] for c in cols]
+        last = [c[-1] for c in cols]
+        at = 0
+        for cut in np.flatnonzero(new):
+            if cut > at:
+                parts.append(batch.slice(at, cut - at))
+            yield joined()
+            parts.clear()
+            at = cut
+        parts.append(batch.slice(at))
+    if parts:
+        yield joined()
 
 
 def _pairs(part: pa.Table, percent: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -283,7 +291,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    signed = scratch.table(base.mapInArrow(_signatures(width), "doc_id long, t long, n long, c long, s2 long, sig binary, bands array<long>"))
+    signed = scratch.table(base.mapInArrow(K.lean(_signatures(width)), "doc_id long, t long, n long, c long, s2 long, sig binary, bands array<long>"))
     rows = signed.select("doc_id", "t", "n", "c")
     some = signed.where("c is not null")
     classes = scratch.table(some.groupBy("c", "s2", "n").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.min("doc_id").alias("class_id"), F.min(_order()).alias("lead"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("c", "n", "at", "class_id", "lead", "sig", "bands"))
@@ -293,7 +301,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     stars = member.groupBy("b").agg(F.min("c").alias("y"), F.count("*").alias("k")).where("k > 1")
     members = scratch.table(member.join(stars, "b").select("b", "c", "y", "k"))
     tried = _with_bits(members.where("c != y").select(F.col("c").alias("x"), "y").distinct(), sigs, percent)
-    tried = scratch.table(tried.mapInArrow(_likely(percent), "x long, y long"))
+    tried = scratch.table(tried.mapInArrow(K.lean(_likely(percent)), "x long, y long"))
 
     near = members.select("c").distinct()
     wanted = classes.join(near, "c", "left_semi").select("c", "at.doc_id", "at.t")
@@ -302,7 +310,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("c").alias("x"), F.col("text").alias("tx")), "x")
         two = one.join(texts.select(F.col("c").alias("y"), F.col("text").alias("ty")), "y")
-        return two.select("x", "y", "tx", "ty").mapInArrow(_confirmed(width, percent), "x long, y long")
+        return two.select("x", "y", "tx", "ty").mapInArrow(K.lean(_confirmed(width, percent)), "x long, y long")
 
     links = scratch.table(confirmed(tried))
     labels = scratch.table(connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch))
@@ -314,10 +322,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     blocks = named.join(mixed, "b").withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     blocks = blocks.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "n").join(classes.select("c", "sig", "bands"), "c")
     fields = ["b", "i", "j", "side", "c", "component", "n", "sig", "bands"]
-    opened = blocks.select(*fields).repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(_open(percent), "b long, i int, j int, side int, c long, component long, n long, sig binary, bands array<long>")
+    opened = blocks.select(*fields).repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(K.lean(_open(percent)), "b long, i int, j int, side int, c long, component long, n long, sig binary, bands array<long>")
     opened = scratch.table(opened)
     met = opened.join(texts, "c").select(*fields, "text").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
-    links = scratch.table(links.unionByName(met.mapInArrow(_linking(width, percent), "x long, y long")))
+    links = scratch.table(links.unionByName(met.mapInArrow(K.lean(_linking(width, percent)), "x long, y long")))
     labels = scratch.table(connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch))
 
     group = classes.select("c", "class_id", "lead").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))

@@ -206,7 +206,7 @@ def _placed(keys: np.ndarray, firsts: np.ndarray, offsets: np.ndarray):
         at = np.searchsorted(keys, key, "right") - 1
         return pa.StructArray.from_arrays([pa.array(firsts[at] + key - keys[at]), pa.array(offsets[at])], ["sequence_id", "offset"])
 
-    return F.arrow_udf(run, "struct<sequence_id: long, offset: long>")
+    return F.arrow_udf(K.lean_column(run), "struct<sequence_id: long, offset: long>")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -215,7 +215,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    pieces = scratch.table(base.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema))
+    pieces = scratch.table(base.mapInArrow(K.lean(_pieces(tokenizer, capacity, end_id, with_ids)), schema))
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in pieces.groupBy("length").count().collect():  # capacity rows at most
         counts[n] = c

@@ -153,7 +153,7 @@ def _windows(window: int):
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "t"))
             starts = batch.column("starts")
             buf, at = K.text_bytes(batch.column("todo"))
-            for i, j in K.groups(at, K.PIECE):
+            for i, j in K.groups(at):
                 w = K.words(buf, at[i : j + 1], K.SPACE)
                 a, b = K.window_hash(w.hash, window, 1), K.window_hash(w.hash, window, 2)
                 each = [starts[k].values.to_numpy() for k in range(i, j)]
@@ -202,21 +202,21 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, digest: bool = False)
     base = base.withColumn("t", F.xxhash64("text"))
     known = base.where("doc_id is not null")
 
-    sums = known.select("doc_id", "text").mapInArrow(_summed_anchors(window), "h long, lo long, hi long")
+    sums = known.select("doc_id", "text").mapInArrow(K.lean(_summed_anchors(window)), "h long, lo long, hi long")
     shared = sums.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("h")
-    placed = known.mapInArrow(_placed_anchors(window), "h long, doc_id long, t long, pos int")
+    placed = known.mapInArrow(K.lean(_placed_anchors(window)), "h long, doc_id long, t long, pos int")
     places = scratch.table(placed.join(shared, "h", "left_semi").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("places")))
 
     key = F.sha2("text", 256).alias("k")
     first = known.select(key, "doc_id").groupBy("k").agg(F.min("doc_id").alias("first"))
     ranked = known.select(key, "doc_id", "t").distinct().join(first, "k").where("first < doc_id").select("doc_id", "t", "first")
     notes = ranked.join(places, ["doc_id", "t"], "full_outer")
-    sorted_out = scratch.table(base.join(notes, ["doc_id", "t"], "left").select("doc_id", "t", "text", "first", "places").mapInArrow(_sorted_out(window, digest), _SCHEMA))
+    sorted_out = scratch.table(base.join(notes, ["doc_id", "t"], "left").select("doc_id", "t", "text", "first", "places").mapInArrow(K.lean(_sorted_out(window, digest)), _SCHEMA))
 
     todo = sorted_out.where("todo is not null").select("doc_id", "t", "todo", "starts")
-    found = todo.mapInArrow(_windows(window), "a long, b long, doc_id long, t long, pos int")
+    found = todo.mapInArrow(K.lean(_windows(window)), "a long, b long, doc_id long, t long, pos int")
     least = found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
     hits = scratch.table(found.join(least, ["a", "b"]).where("doc_id > lo").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("hits")))
-    cut = todo.drop("starts").join(hits, ["doc_id", "t"], "left").select("doc_id", "t", "todo", "hits").mapInArrow(_cut(window, digest), "doc_id long, t long, n_words long, n_removed long, kept string")
+    cut = todo.drop("starts").join(hits, ["doc_id", "t"], "left").select("doc_id", "t", "todo", "hits").mapInArrow(K.lean(_cut(window, digest)), "doc_id long, t long, n_words long, n_removed long, kept string")
     ended = sorted_out.where("todo is null").select("doc_id", "t", "n_words", "n_removed", "kept")
     return scratch.finish(ended.unionByName(cut).select("doc_id", "n_words", "n_removed", "kept"))

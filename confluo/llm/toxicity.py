@@ -64,7 +64,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column("label").to_numpy(zero_copy_only=False)
         buf, at = K.text_bytes(batch.column("text"))
-        for i, j in K.groups(at, K.PIECE):
+        for i, j in K.groups(at):
             h, p = features(buf, at[i : j + 1])
             doc = np.searchsorted(at[i : j + 1], p, "right") - 1
             order = np.lexsort((doc, h))
@@ -107,7 +107,7 @@ def _bags(hashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, at = K.text_bytes(batch.column("text"))
-            for i, j in K.groups(at, K.PIECE):
+            for i, j in K.groups(at):
                 f, s, first, starts = model.sentences(buf, at[i : j + 1])
                 cut = np.searchsorted(s, first)
                 yield pa.record_batch(
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, m
         scratch.drop()
         rate = (pos + 0.0) / max(n, 1)
         return Model(np.zeros(0, K.U64), np.zeros(0), 20.0 if rate else -20.0)
-    found = sample.mapInArrow(_frequencies, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where("a >= 5")
+    found = sample.mapInArrow(K.lean(_frequencies), "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where("a >= 5")
     P, N = F.lit(float(pos)), F.lit(float(n - pos))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
 
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, m
     g2 = 2 * (part(a, P) + part(b, N))
     best = found.withColumn("g", g2).where(F.col("g") >= MIN_G2).orderBy(F.desc("g"), "h").limit(MAX_FEATURES).select("h").collect()
     hashes = np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
-    bags = sample.mapInArrow(_bags(hashes), "label long, n long, f array<long>, s array<long>").collect()  # feature numbers of the bounded sample
+    bags = sample.mapInArrow(K.lean(_bags(hashes)), "label long, n long, f array<long>, s array<long>").collect()  # feature numbers of the bounded sample
     y = np.array([r[0] for r in bags], float)
     entries = np.array([len(r[2]) for r in bags])
     owner = np.repeat(np.arange(len(bags)), entries)
@@ -195,7 +195,7 @@ def scores(model: Model, text: Column, *, offending: float = 0.5) -> Column:
     def run(column: pa.Array) -> pa.Array:
         buf, at = K.text_bytes(column)
         out = []
-        for i, j in K.groups(at, K.PIECE):
+        for i, j in K.groups(at):
             f, s, first, starts = model.sentences(buf, at[i : j + 1])
             z = model.logits(f, s, len(starts))
             p = 1 / (1 + np.exp(-z))
@@ -211,4 +211,4 @@ def scores(model: Model, text: Column, *, offending: float = 0.5) -> Column:
         return pa.array(out, packed)
 
     # so marked, a filter and a projection on the result share one evaluation
-    return F.arrow_udf(run, _KIND).asNondeterministic()(text)
+    return F.arrow_udf(K.lean_column(run), _KIND).asNondeterministic()(text)
