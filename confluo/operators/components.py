@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..plans.scratch import Scratch
 
 
+#: Edges of which a round's shuffles are not worth a collection of the driver's garbage.
+FEW = 1_000_000
+
+
 def _rounded(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges ``(hi, lo)``, hi > lo."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -29,11 +33,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, *, src: str = "src"
     ``node``, ``component``.
     """
     pairs = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).distinct()
-    pairs = scratch.table(pairs)
+    pairs = scratch.table(pairs, release=False)
     alone = pairs.where("hi = lo").select(F.col("hi").alias("node"), F.col("hi").alias("component"))
     now, mark = pairs.where("hi != lo"), None
     while True:
-        now = scratch.table(_rounded(now))
+        now = scratch.table(_rounded(now), release=mark is None or mark[0] > FEW)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(found) == mark or not found[0]:
             break

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only where the session names no checkpoint folder and all runs in one process, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
 
 #: Arrow batches of long texts are cut at this size, unless the session sets its own: two Python workers beside
@@ -19,11 +19,15 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; sets one where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local session without one gets one."""
     context = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if place is None:
-        place = context.getCheckpointDir() or DEFAULT_DIR
+        place = context.getCheckpointDir()
+    if place is None:
+        if not (context.master or "").startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+        place = DEFAULT_DIR
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(place)
     return place.rstrip("/")
@@ -41,7 +45,7 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 class Scratch:
-    """Parquet tables of one call, deleted at its end.
+    """Parquet tables of one call, deleted at its end, or at the driver's where the call fails or its result still reads them.
 
     Cutting an operator into written tables bounds its lineage, survives lost
     executors (the folder is shared) and lets finished shuffles be freed.
@@ -51,14 +55,22 @@ class Scratch:
         self.spark = ready(spark)
         self.path = f"{checkpoint_dir(spark)}/confluo-{uuid.uuid4().hex}"
         self.count = 0
+        path, files = self._files(self.path)
+        files.deleteOnExit(path)
+
+    def _files(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def table(self, df: DataFrame, *, partitions: int | None = None) -> DataFrame:
+    def table(self, df: DataFrame, *, partitions: int | None = None, release: bool = True) -> DataFrame:
+        """Writes and reads a table. ``release`` frees the shuffles it took; a small table's can wait."""
         self.count += 1
         at = f"{self.path}/t{self.count}"
         schema = df.schema
         (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(at)
         del df
-        self.release()
+        if release:
+            self.release()
         return self.spark.read.schema(schema).parquet(at)
 
     def release(self) -> None:
@@ -67,12 +79,15 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def finish(self, df: DataFrame) -> DataFrame:
-        """Checkpoints the result, so that it no longer needs this call's tables, and deletes them."""
-        out = df.checkpoint(eager=True)
-        self.drop()
+        """Writes the result, so that it no longer needs this call's tables, and deletes those."""
+        before = range(1, self.count + 1)
+        out = self.table(df)
+        for k in before:
+            path, files = self._files(f"{self.path}/t{k}")
+            files.delete(path, True)
         return out
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Deletes everything."""
+        path, files = self._files(self.path)
+        files.delete(path, True)
