@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import fixed, pyround, sorted_ignoring_case, strip
+from ..plans.scratch import Scratch
 from .resolve import pairwise_signals
 
 # --- Fixed values: they decide results and are stated as the specification has them. ---
@@ -138,7 +139,7 @@ def overall_confidence(of: dict[str, Column]) -> Column:
 _META = ["confidence", "trust_score", "penalty", "sources", "reasoning", "conflict"]
 
 
-def profiles(rows: DataFrame) -> DataFrame:
+def profiles(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per cluster: the canonical fields, a ``meta_<field>`` struct each, and the cluster's scores."""
     long = evidence(rows)
     scalar = field_confidence(long, survivors(long)).select("cluster_id", "field", F.struct("selected", "selected_num", *_META).alias("m"))
@@ -151,8 +152,7 @@ def profiles(rows: DataFrame) -> DataFrame:
     values["skills"] = F.coalesce(values["skills"], F.array().cast("array<string>")).alias("skills")
     overall = overall_confidence({f: F.col(f)["confidence"] for f in FIELDS})
     out = joined.select("cluster_id", "n_records", *values.values(), *meta.values(), overall.alias("overall_confidence"))
-    several = rows.join(clusters.where("n_records > 1").select("cluster_id"), "cluster_id", "left_semi")
-    match = pairwise_signals(several).select("cluster_id", "match_probability")
+    match = pairwise_signals(rows, scratch).select("cluster_id", "match_probability")
     out = out.join(match, "cluster_id", "left").withColumn("match_probability", F.coalesce("match_probability", F.lit(1.0)))
     return out.withColumn("needs_review", F.col("overall_confidence") < REVIEW_BELOW)
 

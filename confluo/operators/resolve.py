@@ -6,7 +6,7 @@ import difflib
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +96,14 @@ def known_signals(l: str = "l", r: str = "r") -> dict[str, Column]:
     }
 
 
+def signals_of_others(l: str = "l", r: str = "r") -> dict[str, Column]:
+    """``known_signals`` of two signatures whose records have no key in common."""
+    out = known_signals(l, r)
+    for key in ("email", "phone"):
+        out[key] = F.when(F.col(f"{l}.has_{key}") & F.col(f"{r}.has_{key}"), 0.0)
+    return out
+
+
 def match_probability(signals: dict[str, Column]) -> Column:
     """The weighted mean of the signals through a logistic curve, three decimals."""
     total = sum(WEIGHTS[k] for k in signals)
@@ -111,35 +119,133 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return left.join(right, "block").where("l.seq < r.seq").select("l", "r")
 
 
-def matched_pairs(rows: DataFrame) -> DataFrame:
-    """Edges between records of a block whose signals reach the match probability, or whose e-mail or phone agree."""
-    pairs = candidate_pairs(rows)
-    known = {k: F.coalesce(v, F.lit(UNKNOWN)) for k, v in known_signals().items()}
+#: What a pair's decision rests on besides the equality of keys.
+SIGNATURE = ["names", "has_email", "has_phone", "country", "experience_yrs", "skills"]
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """Records with ``sig``, a hash of all that their match probability with a record of other keys rests on."""
+    known = rows.withColumn("has_email", F.nullif("email", F.lit("")).isNotNull()).withColumn("has_phone", F.nullif("phone", F.lit("")).isNotNull())
+    return known.withColumn("sig", F.sha2(F.to_json(F.struct(*SIGNATURE), {"ignoreNullFields": "false"}), 256))
+
+
+def _signature_pairs(sigs: DataFrame) -> DataFrame:
+    """Pairs (l, r) of signatures of one formal first name that may match, each once; a signature with itself included.
+
+    With both keys known and different the others can't make up for it. With
+    one of them different, less than 0.63 of the other signals' 3.5 may be
+    missing, so a known country has to be equal and is part of the join's key.
+    """
+    side = F.struct("sig", "lo", "hi", "n", *SIGNATURE)
+    blocks = sigs.select(side.alias("x"), "country", F.explode(F.filter(name_blocks(F.col("names")), lambda b: b.startswith("first:"))).alias("block"))
+    left, right = blocks.withColumnRenamed("x", "l"), blocks.withColumnRenamed("x", "r")
+    differ = (F.col("l.has_email") & F.col("r.has_email")).cast("int") + (F.col("l.has_phone") & F.col("r.has_phone")).cast("int")
+    once = F.col("l.sig") <= F.col("r.sig")
+    open_ = left.drop("country").join(right.drop("country"), "block").where(once & (differ == 0))
+    same = left.join(right, ["block", "country"]).where(once & (differ == 1))
+    none = left.drop("country").join(right.where("country is null").drop("country"), "block").where((differ == 1) & (F.col("l.country").isNotNull() | once))
+    return open_.select("l", "r").unionByName(same.select("l", "r")).unionByName(none.select("l", "r"))
+
+
+def matched_edges(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges that join what the pairs of records that match by their signals join, without a row per pair.
+
+    A pair's probability rests on the two signatures, and by the name on which
+    record comes first; pairs of one e-mail key or phone are linked by their
+    stars anyway. So pairs of signatures are judged, and where both orders
+    match all records of both hang together. Where one order does, the first
+    record of the one side is linked to all later ones of the other, and the
+    last of the other to all earlier ones of the first.
+    """
+    members = scratch.table(signed(rows).select("seq", "sig", *SIGNATURE))
+    sigs = scratch.table(members.groupBy("sig", *SIGNATURE).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n")))
+    known = {k: F.coalesce(v, F.lit(UNKNOWN)) for k, v in signals_of_others().items()}
     without_name = sum((known[k] * WEIGHTS[k] for k in known), F.lit(0.0))
-    same = (F.col("l.email_key") == F.col("r.email_key")) | (F.col("l.phone") == F.col("r.phone"))
-    # pairs of one e-mail key or phone are linked by their stars; others need so much besides the name
-    open_ = pairs.where(~F.coalesce(same, F.lit(False)) & (without_name >= LEAST_WITHOUT_NAME))
-    named = open_.withColumn("name", name_similarity(F.col("l.names"), F.col("r.names")))
-    probability = match_probability(known | {"name": F.col("name")})
-    return named.withColumn("p", probability).where(F.col("p") >= MATCH).select(F.col("l.seq").alias("src"), F.col("r.seq").alias("dst")).distinct()
+    pairs = _signature_pairs(sigs).where(without_name >= LEAST_WITHOUT_NAME)
+    names = scratch.table(pairs.select(F.col("l.names").alias("a"), F.col("r.names").alias("b"), F.struct(*[v.alias(k) for k, v in known.items()]).alias("known"), F.struct("l.sig", "l.lo", "l.hi", "l.n").alias("l"), F.struct("r.sig", "r.lo", "r.hi", "r.n").alias("r")).distinct())
+    both = names.select("a", "b").distinct()
+    both = both.withColumn("ab", name_similarity(F.col("a"), F.col("b"))).withColumn("ba", name_similarity(F.col("b"), F.col("a")))
+    judged = names.join(scratch.table(both), ["a", "b"])
+
+    def matches(name: str) -> Column:
+        return match_probability({k: F.col(f"known.{k}") for k in known} | {"name": F.col(name)}) >= MATCH
+
+    judged = scratch.table(judged.select("l", "r", matches("ab").alias("fore"), matches("ba").alias("back")).where("fore or back").where("l.sig != r.sig or l.n > 1"))
+    whole = judged.where("fore and back")
+    links = whole.where("l.sig != r.sig").select(F.least("l.lo", "r.lo").alias("src"), F.greatest("l.lo", "r.lo").alias("dst"))
+    full = whole.select(F.explode(F.array("l", "r")).alias("s")).select("s.sig", F.col("s.lo").alias("src")).distinct()
+    stars = members.join(full, "sig").where("seq != src").select("src", F.col("seq").alias("dst"))
+    halves = judged.where("fore != back").select(F.when(F.col("fore"), F.col("l")).otherwise(F.col("r")).alias("x"), F.when(F.col("fore"), F.col("r")).otherwise(F.col("l")).alias("y"))
+    after = members.join(halves.select(F.col("y.sig").alias("sig"), F.col("x.lo").alias("src")).distinct(), "sig").where("seq > src").select("src", F.col("seq").alias("dst"))
+    before = members.join(halves.select(F.col("x.sig").alias("sig"), F.col("y.hi").alias("dst")).distinct(), "sig").where("seq < dst").select(F.col("seq").alias("src"), "dst")
+    return links.unionByName(stars).unionByName(after).unionByName(before)
 
 
 def resolve(records: DataFrame, scratch: Scratch) -> DataFrame:
     """Records with ``cluster_id``, the smallest ``seq`` of all that are the same person."""
     rows = keyed(records)
-    edges = star_edges(rows, "email_key").unionByName(star_edges(rows, "phone")).unionByName(matched_pairs(rows))
+    edges = star_edges(rows, "email_key").unionByName(star_edges(rows, "phone")).unionByName(matched_edges(rows, scratch))
     labels = connected_components(edges, scratch)
     out = rows.join(labels.select(F.col("node").alias("seq"), "component"), "seq", "left")
     return out.withColumn("cluster_id", F.coalesce("component", "seq")).drop("component")
 
 
-def pairwise_signals(rows: DataFrame) -> DataFrame:
-    """Mean of each signal over a cluster's pairs that define it, a half if none does, and the match probability."""
-    side = F.struct("seq", "email", "email_key", "phone", "country", "experience_yrs", "skills", "names")
-    left = rows.select("cluster_id", side.alias("l"))
-    right = rows.select("cluster_id", side.alias("r"))
-    pairs = left.join(right, "cluster_id").where("l.seq < r.seq")
-    named = F.when((F.size("l.names") > 0) | (F.size("r.names") > 0), name_similarity(F.col("l.names"), F.col("r.names")))
-    signals = known_signals() | {"name": named}
-    means = pairs.select("cluster_id", *[v.alias(k) for k, v in signals.items()]).groupBy("cluster_id").agg(*[F.coalesce(F.avg(k), F.lit(UNKNOWN)).alias(k) for k in signals])
+def _value_pairs(rows: DataFrame, value: str) -> DataFrame:
+    """Per cluster the pairs of distinct values (x, y) and how many pairs of records have them; a value with itself included."""
+    counts = rows.groupBy("cluster_id", value).agg(F.count("*").alias("n"), F.min("seq").alias("at"))
+    left = counts.select("cluster_id", F.col(value).alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    right = counts.select("cluster_id", F.col(value).alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    pairs = left.join(right, "cluster_id").where("ax <= ay")
+    weight = F.when(F.col("ax") == F.col("ay"), F.col("nx") * (F.col("nx") - 1) / 2).otherwise((F.col("nx") * F.col("ny")).cast("double"))
+    return pairs.withColumn("w", weight).where("w > 0")
+
+
+def _weighted(pairs: DataFrame, signal: Column, name: str) -> DataFrame:
+    some = pairs.withColumn("s", signal).where("s is not null")
+    return some.groupBy("cluster_id").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias(name))
+
+
+def _equal_share(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """The share of a cluster's pairs that agree in a key, of those that have values on both sides."""
+    counts = rows.where(F.nullif(value, F.lit("")).isNotNull()).groupBy("cluster_id", key).agg(F.count("*").alias("n"))
+    sums = counts.groupBy("cluster_id").agg(F.sum("n").alias("all"), F.sum(F.when(F.col(key).isNotNull(), F.col("n") * (F.col("n") - 1))).alias("agree")).where("all > 1")
+    return sums.select("cluster_id", (F.coalesce("agree", F.lit(0)) / (F.col("all") * (F.col("all") - 1))).alias(value))
+
+
+def _name_means(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The mean name similarity, each pair with its earlier record on the left; of pairs of distinct name lists."""
+    pairs = scratch.table(_value_pairs(rows, "names").where("size(x) > 0 or size(y) > 0"))
+    both = pairs.select("x", "y").distinct()
+    both = scratch.table(both.withColumn("xy", name_similarity(F.col("x"), F.col("y"))).withColumn("yx", name_similarity(F.col("y"), F.col("x"))))
+    judged = scratch.table(pairs.join(both, ["x", "y"]))
+    even = judged.where("xy = yx or ax = ay").select("cluster_id", F.col("xy").alias("s"), "w")
+    # the others need the number of pairs whose record with x comes first: from ranks among both and ranks among y
+    odd = judged.where("xy != yx and ax != ay").select("cluster_id", "ax", "ay", "xy", "yx", "w", F.explode(F.array(F.struct(F.col("x").alias("names"), F.lit(0).alias("late")), F.struct(F.col("y").alias("names"), F.lit(1).alias("late")))).alias("side"))
+    odd = odd.select("*", F.col("side.names").alias("names"), F.col("side.late").alias("late")).drop("side")
+    met = odd.join(rows.select("cluster_id", "names", "seq"), ["cluster_id", "names"])
+    rank = F.row_number().over(Window.partitionBy("cluster_id", "ax", "ay").orderBy("seq"))
+    ranked = met.withColumn("rank", rank).where("late = 1").groupBy("cluster_id", "ax", "ay", "xy", "yx", "w").agg(F.sum("rank").alias("sum"), F.count("*").alias("m"))
+    fore = F.col("sum") - F.col("m") * (F.col("m") + 1) / 2
+    split = ranked.select("cluster_id", F.explode(F.array(F.struct(F.col("xy").alias("s"), fore.alias("w")), F.struct(F.col("yx").alias("s"), (F.col("w") - fore).alias("w")))).alias("p")).select("cluster_id", "p.s", "p.w")
+    return even.unionByName(split).groupBy("cluster_id").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("name"))
+
+
+def pairwise_signals(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Mean of each signal over a cluster's pairs that define it, a half if none does, and the match probability.
+
+    Equal keys are counted, and other signals computed once per pair of distinct
+    values with the number of pairs that have them: a cluster's size doesn't
+    count, only how many values it has.
+    """
+    rows = scratch.table(rows.select("cluster_id", "seq", "email", "email_key", "phone", "country", "experience_yrs", F.array_sort(F.array_distinct(F.coalesce("skills", F.array().cast("array<string>")))).alias("skills"), "names"))
+    several = rows.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1").select("cluster_id")
+    x, y = F.col("x"), F.col("y")
+    years = _weighted(_value_pairs(rows.where("experience_yrs is not null"), "experience_yrs"), F.greatest(F.lit(0.0), 1.0 - F.abs(x - y) / F.greatest(x, y, F.lit(1.0))), "experience")
+    union = F.size(F.array_union("x", "y"))
+    skills = _weighted(_value_pairs(rows, "skills"), F.when(union > 0, F.size(F.array_intersect("x", "y")) / union), "skills")
+    parts = [_equal_share(rows, "email", "email_key"), _equal_share(rows, "phone", "phone"), _equal_share(rows, "country", "country"), years, skills, _name_means(rows, scratch)]
+    means = several
+    for part in parts:
+        means = means.join(part, "cluster_id", "left")
+    means = means.select("cluster_id", *[F.coalesce(k, F.lit(UNKNOWN)).alias(k) for k in WEIGHTS])
     return means.withColumn("match_probability", match_probability({k: F.col(k) for k in WEIGHTS}))

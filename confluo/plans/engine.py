@@ -36,7 +36,7 @@ class Engine:
         scratch = Scratch(self.spark)
         rows = scratch.table(records)
         resolved = scratch.table(resolve(rows, scratch))
-        return scratch.finish(profiles(resolved))
+        return scratch.finish(profiles(resolved, scratch))
 
     def run(self, config: dict | str | None = None, **paths: Iterable[str]) -> DataFrame:
         """Projected profiles in output order."""
@@ -51,6 +51,16 @@ class Engine:
         return project(in_order(found), checked), run_metrics(records.count(), found)
 
 
+def run_transform(spark: SparkSession, config: dict | str | None = None, **paths: Iterable[str]) -> DataFrame:
+    """``Engine.run`` in one call."""
+    return Engine(spark).run(config, **paths)
+
+
+def run_transform_with_metrics(spark: SparkSession, config: dict | str | None = None, **paths: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+    """``Engine.run_with_metrics`` in one call."""
+    return Engine(spark).run_with_metrics(config, **paths)
+
+
 def _rows(df: DataFrame, omit: bool) -> Iterator[dict]:
     for row in df.toLocalIterator():
         full = row.asDict(recursive=True)

@@ -12,12 +12,11 @@ COUNTRY = ["US", "GB", "IN", "CA", "AU", "DE", "FR", "SG"]
 SKILL = ["Python", "SQL", "Gen Ai", "Generative Ai", "Machine Learning", "Structured Query Language", "PyTorch", "Data Science"]
 
 
-#: The orders that are Resume records in the queries that are compared with SQL; the SQL states it too.
-FEW_ORDERS = "o_orderkey % 50 = 0"
+def view_sql(dialect: str, table: str = "{}") -> str:
+    """The records as one SELECT: a row per customer, supplier, order and turn of a conversation.
 
-
-def view_sql(dialect: str, table: str = "{}", orders: str = FEW_ORDERS) -> str:
-    """The records as one SELECT; ``dialect`` is ``spark`` or ``duckdb``, ``table`` a template of table names, ``orders`` a filter."""
+    ``dialect`` is ``spark`` or ``duckdb``, ``table`` a template of table names.
+    """
     spark = dialect == "spark"
 
     def item(values: list[str], i: str) -> str:
@@ -41,23 +40,23 @@ def view_sql(dialect: str, table: str = "{}", orders: str = FEW_ORDERS) -> str:
     null = f"CAST(NULL AS {text})"
     num = "DOUBLE"
 
-    def part(rank: int, kind: str, priority: int, source: str, key: str, p: str, where: str, name: str, email: str, phone_: str, country: str, skills: str, years: str) -> str:
-        inner = f"SELECT {key} AS k, {p} AS p, * FROM {table.format(source)}" + (f" WHERE {where}" if where else "")
+    def part(rank: int, kind: str, priority: int, source: str, key: str, p: str, name: str, email: str, phone_: str, country: str, skills: str, years: str) -> str:
+        inner = f"SELECT {key} AS k, {p} AS p, * FROM {table.format(source)}"
         return f"SELECT {rank} AS rank, k, '{kind}' AS source_type, '{kind}:' || CAST(k AS {text}) AS source_tag, {priority} AS priority, {name} AS full_name, {email} AS email, {phone_} AS phone, {country} AS country, {skills} AS skills, CAST({years} AS {num}) AS experience_yrs FROM ({inner})" + ("" if spark else " AS t")
 
     parts = [
-        part(0, "CSV", 80, "customer", "c_custkey", "c_custkey", "", f"{title(first)} || ' ' || {title(last)}", f"CASE WHEN p % 3 <> 0 THEN lower({first} || '.' || {last} || CAST(p AS {text}) || '+' || c_mktsegment || '@gmail.com') END", phone, item(COUNTRY, "c_nationkey % 8"), two, "p % 20"),
-        part(1, "ATS", 100, "supplier", "s_suppkey", "s_suppkey * 7", "", f"{title(nick)} || ' ' || {title(last)}", f"{first} || {last} || CAST(p AS {text}) || '@googlemail.com'", null, item(COUNTRY, "s_nationkey % 8"), array(a), "p % 20 + 1"),
-        part(2, "Resume", 60, "orders", "o_orderkey", "o_custkey", orders, f"{title(first)} || ' Q. ' || {title(last)}", null, phone, null, f"CASE WHEN p % 8 = {div('p', 8)} % 8 THEN {array(a, c)} WHEN (p + 3) % 8 = {div('p', 8)} % 8 THEN {array(a, b)} ELSE {array(a, b, c)} END", "NULL"),
-        part(3, "Notes", 40, "conversations", "conv_id", "conv_id * 5", "turn = 0", f"{title(nick)} || ' ' || {title(last)}", null, null, item(COUNTRY, "p % 8"), two, "NULL"),
+        part(0, "CSV", 80, "customer", "c_custkey", "c_custkey", f"{title(first)} || ' ' || {title(last)}", f"CASE WHEN p % 3 <> 0 THEN lower({first} || '.' || {last} || CAST(p AS {text}) || '+' || c_mktsegment || '@gmail.com') END", phone, item(COUNTRY, "c_nationkey % 8"), two, "p % 20"),
+        part(1, "ATS", 100, "supplier", "s_suppkey", "s_suppkey * 7", f"{title(nick)} || ' ' || {title(last)}", f"{first} || {last} || CAST(p AS {text}) || '@googlemail.com'", null, item(COUNTRY, "s_nationkey % 8"), array(a), "p % 20 + 1"),
+        part(2, "Resume", 60, "orders", "o_orderkey", "o_custkey", f"{title(first)} || ' Q. ' || {title(last)}", null, phone, null, f"CASE WHEN p % 8 = {div('p', 8)} % 8 THEN {array(a, c)} WHEN (p + 3) % 8 = {div('p', 8)} % 8 THEN {array(a, b)} ELSE {array(a, b, c)} END", "NULL"),
+        part(3, "Notes", 40, "conversations", "conv_id * 100000 + turn", "conv_id * 5", f"{title(nick)} || ' ' || {title(last)}", null, null, item(COUNTRY, "p % 8"), two, "NULL"),
     ]
     union = " UNION ALL ".join(parts)
     return f"SELECT CAST(rank AS BIGINT) * 1000000000000 + k AS seq, source_type, source_tag, priority, full_name, email, phone, country, skills, experience_yrs FROM ({union})" + ("" if spark else " AS u")
 
 
-def people(spark: SparkSession, sf_dir: str, *, orders: str = FEW_ORDERS) -> DataFrame:
-    """The records as a DataFrame of the record schema's columns; with ``orders`` empty every order is one."""
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as a DataFrame of the record schema's columns."""
     for name in ("customer", "supplier", "orders", "conversations"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"confluo_{name}")
-    df = spark.sql(view_sql("spark", "confluo_{}", orders))
+    df = spark.sql(view_sql("spark", "confluo_{}"))
     return df.withColumn("aliases", F.array().cast("array<string>")).withColumn("date_of_birth", F.lit(None).cast("string")).withColumn("source_id", F.substring_index("source_tag", ":", -1))

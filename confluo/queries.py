@@ -54,7 +54,11 @@ def _duck_round(x: str, digits: int) -> str:
 
 
 PEOPLE = f"people AS ({view_sql('duckdb')})"
-_EMAIL_RE = "[A-Z0-9._%+\\-'']+@[A-Z0-9.\\-]+\\.[A-Z]{2,}"
+
+
+def _pattern(p: str) -> str:
+    """A fixed pattern as a literal of SQL, which says elsewhere that case doesn't count."""
+    return p.removeprefix("(?i)").replace("'", "''")
 
 
 def _sql_phone(p: str) -> str:
@@ -72,12 +76,12 @@ def _sql_email_key(e: str) -> str:
 # --- Scalar functions ---------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, list_transform(regexp_extract_all(text, '{_EMAIL_RE}', 0, 'i'), lambda e: lower(e))[1] AS email FROM documents")
+@query(f"SELECT doc_id, list_transform(regexp_extract_all(text, '{_pattern(prose.EMAIL_IN_TEXT)}', 0, 'i'), lambda e: lower(e))[1] AS email FROM documents")
 def extract_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", prose.first_email(F.col("text")).alias("email"))
 
 
-@query(f"SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\\+?\\d[\\d\\s().-]{{7,}}\\d'), lambda p: {_sql_phone('p')}), lambda p: p IS NOT NULL)[1] AS phone FROM documents")
+@query(f"SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '{_pattern(prose.PHONE_IN_TEXT)}'), lambda p: {_sql_phone('p')}), lambda p: p IS NOT NULL)[1] AS phone FROM documents")
 def extract_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", prose.first_phone(F.col("text")).alias("phone"))
 
@@ -92,7 +96,7 @@ _TITLED = "list_aggregate(list_transform(string_split({x}, ' '), lambda w: list_
 
 @query(
     "WITH raw AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name || ' 2' ELSE '  Dr. ' || upper(p_name) || '-' || p_type || ' ;' END AS n FROM part), "
-    "clean AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(n, '\\s+', ' ', 'g'), '^[ ,;]+|[ ,;]+$', '', 'g'), '^(mr|mrs|ms|miss|dr|prof|sir|madam)\\.?\\s+', '', 'i')) AS n FROM raw) "
+    f"clean AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(n, '\\s+', ' ', 'g'), '^[ ,;]+|[ ,;]+$', '', 'g'), '{_pattern(identity.SALUTATION)}', '', 'i')) AS n FROM raw) "
     f"SELECT p_partkey, CASE WHEN n <> '' AND NOT regexp_matches(n, '[0-9@]') THEN {_TITLED.format(x='n')} END AS name FROM clean"
 )
 def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +124,7 @@ def name_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_detect(text: str) -> str:
     plain = f"regexp_replace(regexp_replace(lower({text}), '[^a-zA-Z. ]', ' ', 'g'), ' +', ' ', 'g')"
-    hits = " ".join(f"WHEN regexp_matches(x, '(^|[^a-z]){a.replace('.', chr(92) + '.')}([^a-z]|$)') THEN '{c}'" for a, c in identity.by_length(identity.COUNTRY_OF))
+    hits = " ".join(f"WHEN regexp_matches(x, '(^|[^a-z]){a.replace('.', '\\.')}([^a-z]|$)') THEN '{c}'" for a, c in identity.by_length(identity.COUNTRY_ALIASES))
     return f"list_transform([{plain}], lambda x: CASE {hits} END)[1]"
 
 
@@ -136,7 +140,7 @@ _COUNTRY_FORMS = ["  U.S.A. ", "United   States", "u.k", "Great Britain", "india
     f"WITH raw AS (SELECT c_custkey, list_extract([{_quoted(_COUNTRY_FORMS)}], CAST(c_custkey % {len(_COUNTRY_FORMS)} AS INT) + 1) AS v FROM customer), "
     "keys AS (SELECT c_custkey, trim(v) AS raw, regexp_replace(lower(trim(v)), '\\s+', ' ', 'g') AS low FROM raw), "
     "more AS (SELECT *, trim(regexp_replace(regexp_replace(low, '[^a-z. ]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM keys) "
-    f"SELECT c_custkey, coalesce({_duck_map(identity.COUNTRY_OF)}[low], {_duck_map(identity.COUNTRY_OF)}[plain], {_duck_map(identity.COUNTRY_OF)}[regexp_replace(plain, '[. ]', '', 'g')]) AS country FROM more"
+    f"SELECT c_custkey, coalesce({_duck_map(identity.COUNTRY_ALIASES)}[low], {_duck_map(identity.COUNTRY_ALIASES)}[plain], {_duck_map(identity.COUNTRY_ALIASES)}[regexp_replace(plain, '[. ]', '', 'g')]) AS country FROM more"
 )
 def normalize_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.element_at(F.array(*[F.lit(x) for x in _COUNTRY_FORMS]), (F.col("c_custkey") % len(_COUNTRY_FORMS) + 1).cast("int"))
@@ -159,7 +163,7 @@ def _sql_sorted(values: str) -> str:
     return f"array_to_string(list_transform(list_sort(list_transform(list_distinct({values}), lambda s: lower(s) || chr(1) || s)), lambda s: split_part(s, chr(1), 2)), '|')"
 
 
-@query(f"SELECT p_partkey, {_sql_sorted('list_filter(list_transform(regexp_split_to_array(raw, ' + repr('[,;/|' + chr(10) + ']+') + '), lambda q: ' + _sql_skill('q') + '), lambda q: q IS NOT NULL)')} AS skills FROM (SELECT p_partkey, p_name || ', ml;SQL /' || lower(p_type) || ' ai| machine-learning ,c,' || p_brand AS raw FROM part)")
+@query(f"SELECT p_partkey, {_sql_sorted('list_filter(list_transform(regexp_split_to_array(raw, ' + "'[,;/|\\n]+'" + '), lambda q: ' + _sql_skill('q') + '), lambda q: q IS NOT NULL)')} AS skills FROM (SELECT p_partkey, p_name || ', ml;SQL /' || lower(p_type) || ' ai| machine-learning ,c,' || p_brand AS raw FROM part)")
 def normalize_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat("p_name", F.lit(", ml;SQL /"), F.lower("p_type"), F.lit(" ai| machine-learning ,c,"), "p_brand")
     return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(skills.normalize_skills(skills.skill_list(raw)), "|").alias("skills"))
@@ -208,11 +212,12 @@ def _sql_words(x: str) -> str:
     return f"CASE WHEN len({known}) > 0 THEN list_sum({known}) + {half} END"
 
 
+_FOUND_YEARS = " ".join(f"WHEN regexp_matches(t, '{p}', 'i') THEN regexp_extract(t, '{p}', 1, 'i')" for p in map(_pattern, skills.EXPERIENCE_PATTERNS))
+
+
 @query(
     f"WITH raw AS (SELECT c_custkey, {_experience_text('c_custkey', 'duckdb')} AS t FROM customer), found AS (SELECT c_custkey, "
-    "CASE WHEN regexp_matches(t, '(\\d+(?:\\.\\d+)?)\\+?\\s*(?:years|yrs)\\s+(?:of\\s+)?experience', 'i') THEN regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\+?\\s*(?:years|yrs)\\s+(?:of\\s+)?experience', 1, 'i') "
-    "WHEN regexp_matches(t, 'experience\\s*[:\\-]?\\s*(\\d+(?:\\.\\d+)?)', 'i') THEN regexp_extract(t, 'experience\\s*[:\\-]?\\s*(\\d+(?:\\.\\d+)?)', 1, 'i') "
-    "WHEN regexp_matches(t, 'experience\\s*[:\\-]?\\s*([a-z]+(?:\\s+[a-z]+){0,3})\\s*(?:years|yrs)', 'i') THEN regexp_extract(t, 'experience\\s*[:\\-]?\\s*([a-z]+(?:\\s+[a-z]+){0,3})\\s*(?:years|yrs)', 1, 'i') END AS f FROM raw) "
+    f"CASE {_FOUND_YEARS} END AS f FROM raw) "
     f"SELECT c_custkey, coalesce(try_cast(regexp_extract(f, '\\d+(?:\\.\\d+)?') AS DOUBLE), {_sql_words('f')}) AS years FROM found"
 )
 def experience_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +237,7 @@ def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALIAS_TEXT = "CASE WHEN conv_id % 3 = 0 THEN 'Candidate goes by jon. ' || text WHEN conv_id % 3 = 1 THEN 'aka: mary-ann smith, ' || text ELSE text END"
-_SQL_ALIAS = f"list_filter(list_transform(regexp_extract_all(t, '(?:goes by|preferred name|nickname|aka|also known as)\\s*[:\\-]?\\s*([a-z][a-z''.-]*(?:\\s+[a-z][a-z''.-]*){{0,2}})', 1, 'i'), lambda a: list_transform([trim(regexp_extract(a, '^[^.;,\\n]*'))], lambda n: CASE WHEN n <> '' THEN {_TITLED.format(x='n')} END)[1]), lambda a: a IS NOT NULL)"
+_SQL_ALIAS = f"list_filter(list_transform(regexp_extract_all(t, '{_pattern(prose.ALIAS)}', 1, 'i'), lambda a: list_transform([trim(regexp_extract(a, '^[^.;,\\n]*'))], lambda n: CASE WHEN n <> '' THEN {_TITLED.format(x='n')} END)[1]), lambda a: a IS NOT NULL)"
 
 
 @query(f"WITH raw AS (SELECT conv_id, turn, {_ALIAS_TEXT} AS t FROM conversations) SELECT conv_id, turn, {_sql_sorted(_SQL_ALIAS)} AS aliases FROM raw")
@@ -335,8 +340,8 @@ def match_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """difflib ratios with boosts have no SQL form; over every order."""
-    return _star_pairs(people(spark, sf_dir, orders="")).select("src", "dst", pyround(resolve.name_similarity(F.col("l.names"), F.col("r.names")), 4).alias("similarity"))
+    """difflib ratios with boosts have no SQL form."""
+    return _star_pairs(people(spark, sf_dir)).select("src", "dst", pyround(resolve.name_similarity(F.col("l.names"), F.col("r.names")), 4).alias("similarity"))
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,7 +458,8 @@ _OVERALL = (
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.profiles(_clusters(spark, sf_dir))
+    scratch = Scratch(spark)
+    return scratch.finish(merge.profiles(_clusters(spark, sf_dir), scratch))
 
 
 @query(f"WITH {_OVERALL} SELECT cluster_id, overall_confidence FROM overall")
@@ -471,8 +477,8 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT r AS records_processed, p AS profiles_generated, r - p AS records_merged, {_duck_round('(r - p) / r * 100', 1)} AS duplicate_rate, c AS conflicts_found, {_duck_round('m', 2)} AS average_confidence, h AS high_confidence_profiles, w AS manual_review_required FROM sums"
 )
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _clusters(spark, sf_dir)
-    return evaluate.run_metrics(rows.count(), merge.profiles(rows))
+    rows, scratch = _clusters(spark, sf_dir), Scratch(spark)
+    return evaluate.run_metrics(rows.count(), scratch.finish(merge.profiles(rows, scratch)))
 
 
 @query(
@@ -480,7 +486,8 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT cluster_id, {', '.join(_duck_round(f'coalesce(avg({k}), 0.5)', 4) + f' AS {k}' for k in _sql_signals())} FROM pairs GROUP BY cluster_id"
 )
 def pairwise_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve.pairwise_signals(_clusters(spark, sf_dir))
+    scratch = Scratch(spark)
+    found = scratch.finish(resolve.pairwise_signals(_clusters(spark, sf_dir), scratch))
     return found.select("cluster_id", *[pyround(F.col(k), 4).alias(k) for k in ("email", "phone", "country", "experience", "skills")])
 
 
@@ -491,7 +498,8 @@ def _first_of(field: str, column: str = "selected") -> str:
     return f"max({column}) FILTER (field = '{field}')"
 
 
-_WIDE = f"{_OVERALL}, wide AS (SELECT cluster_id, {', '.join(f'{_first_of(f)} AS {f}, {_first_of(f, chr(99) + chr(111) + chr(110) + chr(102) + chr(105) + chr(100) + chr(101) + chr(110) + chr(99) + chr(101))} AS c_{f}, {_first_of(f, chr(115) + chr(111) + chr(117) + chr(114) + chr(99) + chr(101) + chr(115))} AS s_{f}' for f in ('full_name', 'email', 'phone', 'country'))} FROM fields GROUP BY cluster_id)"
+_WIDE_COLUMNS = ", ".join(f"{_first_of(f)} AS {f}, {_first_of(f, 'confidence')} AS c_{f}, {_first_of(f, 'sources')} AS s_{f}" for f in ("full_name", "email", "phone", "country"))
+_WIDE = f"{_OVERALL}, wide AS (SELECT cluster_id, {_WIDE_COLUMNS} FROM fields GROUP BY cluster_id)"
 
 
 @query(f"WITH {_WIDE} SELECT full_name AS name, c_full_name AS name_confidence, s_full_name AS name_provenance, upper(email) AS email, coalesce(c_email, 0) AS email_confidence, coalesce(s_email, '') AS email_provenance FROM wide")
@@ -551,9 +559,9 @@ def precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def golden_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole engine, with name matching, over every order: merged profiles in output order."""
+    """The whole engine, with name matching: merged profiles in output order."""
     scratch = Scratch(spark)
-    rows = scratch.table(people(spark, sf_dir, orders=""))
+    rows = scratch.table(people(spark, sf_dir))
     resolved = scratch.table(resolve.resolve(rows, scratch))
-    found = scratch.finish(merge.profiles(resolved))
+    found = scratch.finish(merge.profiles(resolved, scratch))
     return merge.in_order(found).select("cluster_id", "n_records", *merge.FIELDS, "overall_confidence", "needs_review", "match_probability")
