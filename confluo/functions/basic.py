@@ -8,10 +8,6 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Two ASCII characters that no value holds, for sorting and joining inside arrays.
-MARK = "\u0001"
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
@@ -38,8 +34,8 @@ def literal_map(pairs: dict[str, str]) -> Column:
 
 def sorted_ignoring_case(values: Column) -> Column:
     """Distinct values in the order of their lower case, equal ones by code points."""
-    keyed = F.transform(F.array_distinct(values), lambda s: F.concat(F.lower(s), F.lit(MARK), s))
-    return F.transform(F.array_sort(keyed), lambda s: F.substring_index(s, MARK, -1))
+    keyed = F.transform(F.array_distinct(values), lambda s: F.struct(F.lower(s).alias("low"), s.alias("value")))
+    return F.transform(F.array_sort(keyed), lambda s: s["value"])
 
 
 def first_spellings(values: Column) -> Column:

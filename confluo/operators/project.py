@@ -77,6 +77,23 @@ class Config:
         return self.on_missing == "error" or bool(wanted)
 
 
+#: What a required field of a flat output has to be.
+KINDS = {f: "string" for f in FIELDS} | {"skills": "array<string>", "experience_yrs": "double"}
+FROM_KINDS = {"emails": "array<string>", "phones": "array<string>", "skills[].name": "array<struct<name:string>>"}
+
+
+def checked_types(out: DataFrame, config: Config) -> DataFrame:
+    """The output itself, unless a required field has another type than its name promises. Types are the plan's, so no row is read."""
+    kinds = dict(out.dtypes)
+    for field in config.fields:
+        if not config.required(field) or config.output_format == "enterprise":
+            continue
+        want, got = FROM_KINDS.get(field.get("from"), KINDS[config.key(field)]), kinds[config.name(field)]
+        if got != want:
+            raise ProjectionError(f"{config.name(field)} is {got}, not {want}")
+    return out
+
+
 def _extracted(field: dict, key: str) -> Column:
     """What ``from`` makes of the value."""
     c, how = F.col(key), field.get("from")
@@ -137,4 +154,4 @@ def project(profiles: DataFrame, config: Config) -> DataFrame:
             out.append(of("sources", no_list).alias(f"{name}_provenance"))
     if config.output_format == "enterprise":
         out += [F.col("overall_confidence"), F.col("needs_review"), F.col("match_probability")]
-    return profiles.select(*out)
+    return checked_types(profiles.select(*out), config)
