@@ -31,19 +31,68 @@ from .ranking import buckets_for, ranked
 from .rows import ROW, unwrapped, wrapped
 
 MATRIX = 1_000_000
-_EXACT = 10**9  # numpy draws exactly below this population
+_NUMPY = 10**9  # numpy takes populations below this
+_FEW = 30.0  # a mean from which rejection is used
+
+
+def _grown(a: int, d: int) -> float:
+    """``log((a + d)!) - log(a!) - d * log(a)`` for a > 0 and d > -a, without large terms that cancel."""
+    t = d / a
+    if abs(t) < 1e-2:
+        curve, term = 0.0, t
+        for k in range(2, 12):
+            term *= t
+            curve += term / (k * (k - 1)) if k % 2 == 0 else -term / (k * (k - 1))
+    else:
+        curve = (1 + t) * math.log1p(t) - t
+    return a * curve + 0.5 * math.log1p(t) + (1 / (a + d) - 1 / a) / 12 - (1 / (a + d) ** 3 - 1 / a**3) / 360 + (1 / (a + d) ** 5 - 1 / a**5) / 1260
+
+
+def _large_hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """The exact law for populations of any size, on whole numbers of Python.
+
+    By symmetry the smaller side is counted. A small mean is drawn by adding up
+    probabilities from zero, a larger one by ratio-of-uniforms rejection, whose
+    logarithms are taken relative to the mode.
+    """
+    n = good + bad
+    if 2 * draws > n:
+        return good - _large_hypergeometric(rng, good, bad, n - draws)
+    if 2 * good > n:
+        return draws - _large_hypergeometric(rng, bad, good, draws)
+    g, k = max(good, draws), min(good, draws)  # both roles are symmetric
+    whole, rest = divmod(g * k, n)
+    if g * k < _FEW * n:
+        u, x = rng.random(), 0
+        # log((n-g)! (n-k)! / (n! (n-g-k)!))
+        p = math.exp(k * math.log1p(-g / n) + _grown(n, -k) - _grown(n - g, -k))
+        while u > p and x < k:
+            u -= p
+            p *= (g - x) * (k - x) / ((x + 1) * (n - g - k + x + 1))
+            x += 1
+        return x
+    mode = (g + 1) * (k + 1) // (n + 2)
+    parts = (mode, n - g - k + mode, g - mode, k - mode)
+    tilt = math.log1p((parts[0] * parts[1] - parts[2] * parts[3]) / (parts[2] * parts[3]))
+    away = whole - mode + rest / n + 0.5
+    spread = math.sqrt(g * k / n * ((n - g) / n) * ((n - k) / (n - 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        d = math.floor(away + width * (v - 0.5) / u)
+        if not -mode < d < k - mode:  # the ends have probabilities below 1e-12 here
+            continue
+        log_ratio = -d * tilt - _grown(parts[0], d) - _grown(parts[1], d) - _grown(parts[2], -d) - _grown(parts[3], -d)
+        if 2 * math.log(u) <= log_ratio:
+            return mode + d
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
     if not good or not draws:
         return 0
-    if good + bad < _EXACT:
+    if good + bad < _NUMPY:
         return int(rng.hypergeometric(good, bad, draws))
-    # Beyond numpy's range: the normal approximation within the distribution's support (relative error below 1e-4).
-    n = good + bad
-    p = good / n
-    x = round(rng.normal(draws * p, math.sqrt(max(draws * p * (1 - p) * (n - draws) / (n - 1), 0))))
-    return int(min(max(x, draws - bad, 0), good, draws))
+    return _large_hypergeometric(rng, good, bad, draws)
 
 
 def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.ndarray:
