@@ -7,9 +7,9 @@ script in training. Viterbi with a penalty for each switch labels every word,
 so that a text of several languages falls into spans; the language with the
 most letters, each word of a mixed text taken once, is the document's.
 
-Viterbi is exact but mostly free: where no stretch of words gains more than the
-penalty in any other language, the best path stays in one, which running sums
-over all words of a batch decide at once. Only texts that may switch are walked
+Viterbi is exact but mostly free: where no stretch of words gains more than half
+the penalty in any other language, the best path stays in one, which running
+sums over all words of a batch decide at once. Only texts that may switch are walked
 word by word.
 
 The model is trained on at most about ``max_train`` labelled documents, drawn by
@@ -139,7 +139,13 @@ def train(labelled: DataFrame, scratch: Scratch, *, max_train: int) -> Model | N
 
 
 def _may_switch(scores: np.ndarray, ptr: np.ndarray, best: np.ndarray, penalty: float) -> np.ndarray:
-    """Texts in which a stretch of words gains more than the penalty in another language than the best."""
+    """Texts in which a stretch of words gains more than half the penalty in another language than the best.
+
+    A path without the best language has one switch less than stretches and
+    together they gain no more than the switches cost, unless one gains more
+    than half a penalty (two stretches, one switch); any other path with
+    switches needs a stretch that gains more than that.
+    """
     n = np.diff(ptr)
     owner = np.repeat(np.arange(len(n)), n)
     out = np.zeros(len(n), bool)
@@ -155,7 +161,7 @@ def _may_switch(scores: np.ndarray, ptr: np.ndarray, best: np.ndarray, penalty:
         c -= np.repeat(start, n[some])
         before -= np.repeat(start, n[some])
         gain = c - (np.minimum.accumulate(before - far) + far)
-        out[some] |= np.maximum.reduceat(gain, ptr[some]) > penalty
+        out[some] |= np.maximum.reduceat(gain, ptr[some]) > penalty / 2
     return out
 
 
