@@ -43,7 +43,7 @@ _PLAIN = re.compile(rb"[!-~]*")
 
 
 class WordIds(dict):
-    """From a white-space-free word (bytes, ASCII lower-cased) to its ids as little-endian 32-bit integers.
+    """From a white-space-free word (bytes, ASCII lower-cased unless it holds ``<|``) to its ids as little-endian 32-bit integers.
 
     Plain ASCII words take the model's own tokenize; all others, and those that
     may hold a special token, take the tokenizer as a whole.
@@ -77,7 +77,10 @@ class WordIds(dict):
                     nexts = [x for x in (raw.find(b" ", at + _SEGMENT), raw.find(b"\n", at + _SEGMENT)) if x > 0]
                     cut = min(nexts, default=end)
                 end = cut
-            out += b"".join(map(self.__getitem__, raw[at:end].lower().replace(b"\n", b" ").split(b" ")))
+            part = raw[at:end].replace(b"\n", b" ")
+            # special tokens are matched before the tokenizer folds case
+            words = part.lower().split(b" ") if b"<|" not in part else [w if b"<|" in w else w.lower() for w in part.split(b" ")]
+            out += b"".join(map(self.__getitem__, words))
             at = end
             if len(self) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
                 self.clear()
