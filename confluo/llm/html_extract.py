@@ -56,6 +56,7 @@ TOKENS = "content main article post entry story body text page nav menu header f
 _BIT = {t: i for i, t in enumerate(TOKENS)} | {t + "s": i for i, t in enumerate(TOKENS)} | {"ads": TOKENS.index("ad"), "stories": TOKENS.index("story"), "entries": TOKENS.index("entry"), "adv": TOKENS.index("advert"), "sponsored": TOKENS.index("sponsor"), "sharing": TOKENS.index("share"), "bodies": TOKENS.index("body"), "navbar": TOKENS.index("nav")}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_OPEN = re.compile(r"<[!?]")
 _ATTRIBUTES = re.compile(r"(class|id|role|data-y|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE = re.compile(r"[.!?](?:\s|$)")
@@ -72,6 +73,8 @@ def parse(page: str):
     parts: list[str] = []
     link_depth = link_chars = 0
     silent = 0
+    opened: dict[str, int] = {}  # open block elements by name
+    inner: list[dict[str, int]] = [{}]  # other open elements by name, of each open block
 
     def flush() -> None:
         nonlocal parts, link_chars
@@ -88,18 +91,21 @@ def parse(page: str):
 
     def close(name: str) -> None:
         nonlocal link_depth, silent
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == name:
-                break
-            if name not in BLOCKS and stack[k][0] in BLOCKS:
-                return
-        else:
+        if not (opened if name in BLOCKS else inner[-1]).get(name):
             return
+        k = len(stack) - 1
+        while stack[k][0] != name:
+            k -= 1
         if any(t in BLOCKS for t, _ in stack[k:]):
             flush()
-        for t, _ in stack[k:]:
+        for t, _ in reversed(stack[k:]):
             link_depth -= t == "a"
             silent -= t in SILENT
+            if t in BLOCKS:
+                opened[t] -= 1
+                inner.pop()
+            else:
+                inner[-1][t] -= 1
         del stack[k:]
 
     def end_head() -> None:
@@ -107,9 +113,8 @@ def parse(page: str):
             close("head")
 
     at, n = 0, len(page)
-    for m in _MARKUP.finditer(page):
-        if m.start() < at:
-            continue
+    last = page.rfind(">") + 1  # past that there is no tag that ends
+    while at < last and (m := _MARKUP.search(page, at, last)):
         if m.start() > at:
             t = page[at : m.start()]
             if t.strip():
@@ -119,12 +124,15 @@ def parse(page: str):
                 if link_depth:
                     link_chars += len(t.strip())
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):  # a comment without an end
+            at = n
+            break
         name = m[2]
         if name is None:
             continue
         name = name.lower()
         if m[1]:
-            if name == "p" and not any(t == "p" for t, _ in stack):
+            if name == "p" and not opened.get("p"):
                 flush()
             close(name)
             continue
@@ -145,12 +153,12 @@ def parse(page: str):
             continue
         nodes[stack[-1][1]][_INSIDE] += 1
         if name in BLOCKS:
-            if name in CLOSES_P and any(t == "p" for t, _ in stack):
+            if name in CLOSES_P and opened.get("p"):
                 close("p")
             elif name == "li" or name in ("dd", "dt", "td", "th", "tr", "option"):
                 kin = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}[name]
                 limit = ("ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot") if name != "td" and name != "th" else ("tr", "table")
-                for t, _ in reversed(stack):
+                for t, _ in reversed(stack) if any(opened.get(t) for t in kin) else ():
                     if t in kin:
                         close(t)
                         break
@@ -179,14 +187,18 @@ def parse(page: str):
             nodes.append([name, up, parent[_DEPTH] + 1, parent[_TAGS] | (0 if g is None else 1 << g), parent[_ATTR] | attr, 0, 0, 0, parent[_KIDS], y if y is not None else parent[_Y], 0, 0])
             parent[_KIDS] += 1
             stack.append((name, len(nodes) - 1))
+            opened[name] = opened.get(name, 0) + 1
+            inner.append({})
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             stack.append((name, stack[-1][1]))
+            inner[-1][name] = inner[-1].get(name, 0) + 1
             link_depth += name == "a"
             silent += name in SILENT
-    if page[at:].strip():
+    rest = _OPEN.split(page[at:], maxsplit=1)[0]
+    if rest.strip():
         end_head()
-    if at < n and not silent:
-        parts.append(page[at:])
+    if not silent:
+        parts.append(rest)
     flush()
     return nodes, blocks
 
