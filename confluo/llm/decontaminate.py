@@ -25,6 +25,9 @@ columns are ignored by ``find_contamination`` and kept by ``decontaminate``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -220,15 +223,21 @@ def _finder(names: list, texts: list, window: int):
     return F.arrow_udf(K.lean_column(run), _FOUND).asNondeterministic()
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[tuple[list, list]]:
-    """The benchmark in blocks of a bounded size, one at a time."""
+def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
+    """The benchmark in blocks of ``BLOCK_BYTES`` of text at most (or one item), one at a time; at least one."""
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(1.25 * total) // BLOCK_BYTES)) if total > BLOCK_BYTES else 1
-    for k in range(n):
-        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        got = block.orderBy("item", "text").collect()
-        yield [r[0] for r in got], [r[1] for r in got]
+    ordered = rows.orderBy("item", "text")
+    names, texts, size = [], [], 0
+    for name, text in ordered.toLocalIterator() if total > BLOCK_BYTES else ordered.collect():
+        n = len(text.encode())
+        if names and size + n > BLOCK_BYTES:
+            yield names, texts
+            names, texts, size = [], [], 0
+        names.append(name)
+        texts.append(text)
+        size += n
+    yield names, texts
 
 
 def _merged_spans(lists: pa.Array) -> pa.Array:
@@ -244,13 +253,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text
     ready(docs.sparkSession)
     text = F.col(text_col).cast("string")
     work = wrapped(docs, doc_id=F.col(id_col), text=text)
-    blocks = list(_blocks(benchmark, item_col, item_text)) if benchmark is not None else [([], [])]
-    if len(blocks) == 1:
-        return work.withColumn("found", _finder(*blocks[0], window)("text"))
+    blocks = _blocks(benchmark, item_col, item_text)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return work.withColumn("found", _finder(*block, window)("text"))
     scratch = Scratch(docs.sparkSession)
     keyed = work.withColumn("t", F.xxhash64("text"))
     parts = None
-    for block in blocks:
+    for block in chain((block, following), blocks):
         hit = keyed.select("doc_id", "t", _finder(*block, window)("text").alias("f")).where("f.n_hit > 0").distinct()
         part = scratch.table(hit.select("doc_id", "t", "f"))
         parts = part if parts is None else parts.unionByName(part)
