@@ -227,6 +227,35 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows that are sorted by ``keys``, across batches."""
+    parts: list[pa.RecordBatch] = []  # of the group that is open, joined once when it ends
+    last = None
+
+    def joined() -> pa.Table:
+        return pa.Table.from_batches(parts).combine_chunks()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = last is not None and last != [c[0] for c in cols]
+        last = [c[-1] for c in cols]
+        at = 0
+        for cut in np.flatnonzero(new):
+            if cut > at:
+                parts.append(batch.slice(at, cut - at))
+            yield joined()
+            parts.clear()
+            at = cut
+        parts.append(batch.slice(at))
+    if parts:
+        yield joined()
+
+
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges overlapping or touching intervals given in order of their starts."""
     if not len(starts):

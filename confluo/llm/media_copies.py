@@ -1,20 +1,27 @@
 """Cropped or edited copies of images by local descriptors.
 
-1. Images (PGM, PPM or PNG bytes) of equal pixels are one class.
-2. Each class gives up to ``POINTS`` Harris corners over a pyramid of scales.
-   A corner has an orientation (intensity centroid) and 64 binary tests, turned
-   by it: brightness comparisons that changes of light and small edits keep.
+1. One scan describes the images (PGM, PPM or PNG bytes). Images of equal pixels
+   are one class from there on, however many there are.
+2. Corners are the Harris maxima on levels that shrink by ``STEP`` each, the
+   strongest ``PER_CELL`` of each cell of ``CELL`` pixels a side: their number
+   grows with the picture, which is worked on at ``SIDE`` pixels a side at most.
+   A corner has a place between pixels, an orientation (intensity centroid) and
+   128 binary tests turned by it: brightness comparisons that changes of light
+   and small edits keep. Beyond its edges a picture is taken as mirrored.
 3. Hamming tables: the tests are cut into four words. A table's key is that word
-   of a corner and of two of its three nearest corners. Copies agree exactly in some word
-   of many corner triples; unrelated images hardly ever do.
-4. Each bucket is first a star around its smallest class. In buckets whose
-   classes are not in one component then, classes of different components
-   propose each other, in blocks, until no pair is left.
-5. A pair is a link if enough corners match (mutually nearest, few tests
-   differing) and agree in one similarity transform: rotation, scale and shift.
-
-No bucket is enumerated while its images hang together, so a picture with
-thousands of copies costs a star.
+   of a corner and of its two nearest corners on the level. Copies agree exactly
+   in some word of many corner triples; unrelated images hardly ever do.
+4. Each bucket is first a star around its smallest class. A pair is a link if
+   enough corners match (mutually nearest, few tests differing) and agree in one
+   similarity transform: rotation, scale and shift, fitted to all that agree.
+5. Buckets whose classes are in one component then are done. Others of up to
+   ``SMALL`` classes are compared within a task, which returns a forest of links
+   between components. Larger ones are refined by every further key of their
+   classes, and so again; what is large even then is compared in blocks of
+   classes. No pair is ever a row but those of the stars.
+
+So a picture with thousands of copies costs a star, and a detail that many
+unrelated pictures share costs a further key.
 
 Defined cases: a null or undecodable image, or one without corners, is its own
 component (null class for the first two); repeated rows share a class; equal
@@ -37,20 +44,24 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..plans.scratch import Scratch
 from . import kernel as K
-from .minhash_dedup import _runs
-
-POINTS = 40
-LEVELS = (1.0, 1.5, 2.25)
-RADIUS = 9
-TESTS = 64
-NEAR = 10  # differing tests of a match at most
-INLIERS = 8
-SHARE = 0.5  # of the matches that have to agree
-SHIFT = 3.0  # pixels
+
+#: A picture's longer side when it is worked on, and the shorter side of its last level.
+SIDE, LEAST_SIDE = 256, 16
+STEP = 1.2
+CELL, PER_CELL = 16, 4
+RADIUS, DISC = 11, 8
+TESTS, TABLES, WORD_BITS = 128, 4, 24
+NEAR = 14  # differing tests of a match at most
+INLIERS = 8  # matches that have to agree, and their share of all matches
+SHARE = 0.5
+SHIFT = 3.0  # pixels of the level
+SMALL = 64
 BLOCK = 512
-ROUNDS = (4, 64, 0)
+ROUNDS = 3
 
-_pattern = np.random.default_rng(11).normal(0, RADIUS / 2.2, (TESTS, 4)).clip(-RADIUS + 1, RADIUS - 1)
+_pattern = np.random.default_rng(11).normal(0, RADIUS / 2.2, (TESTS, 4)).clip(-0.7 * RADIUS, 0.7 * RADIUS)
+_d = np.arange(-DISC, DISC + 1)
+_DY, _DX = (x[np.add.outer(_d * _d, _d * _d) <= DISC * DISC].astype(float) for x in np.meshgrid(_d, _d, indexing="ij"))
 
 
 def decode_image(data: bytes | None) -> np.ndarray | None:
@@ -111,210 +122,336 @@ def _png(data: bytes) -> np.ndarray | None:
 
 
 def _smooth(a: np.ndarray) -> np.ndarray:
-    p = np.pad(a, 2, mode="edge")
-    p = (p[:, :-4] + 4 * p[:, 1:-3] + 6 * p[:, 2:-2] + 4 * p[:, 3:-1] + p[:, 4:]) / 16
-    return (p[:-4] + 4 * p[1:-3] + 6 * p[2:-2] + 4 * p[3:-1] + p[4:]) / 16
+    """Binomial smoothing of the last two axes."""
+    p = np.concatenate((a[..., :1], a[..., :1], a, a[..., -1:], a[..., -1:]), -1)
+    p = (p[..., :-4] + 4 * p[..., 1:-3] + 6 * p[..., 2:-2] + 4 * p[..., 3:-1] + p[..., 4:]) / 16
+    p = np.concatenate((p[..., :1, :], p[..., :1, :], p, p[..., -1:, :], p[..., -1:, :]), -2)
+    return (p[..., :-4, :] + 4 * p[..., 1:-3, :] + 6 * p[..., 2:-2, :] + 4 * p[..., 3:-1, :] + p[..., 4:, :]) / 16
 
 
 def _scaled(a: np.ndarray, by: float) -> np.ndarray:
+    """The last two axes shrunk ``by`` times, between pixels."""
     if by == 1.0:
         return a
-    h, w = (max(1, int(n / by)) for n in a.shape)
-    y, x = np.minimum(np.arange(h) * by, a.shape[0] - 1), np.minimum(np.arange(w) * by, a.shape[1] - 1)
+    h, w = (max(1, int(n / by)) for n in a.shape[-2:])
+    y, x = np.minimum(np.arange(h) * by, a.shape[-2] - 1), np.minimum(np.arange(w) * by, a.shape[-1] - 1)
     y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
-    fy, fx = (y - y0)[:, None], x - x0
-    return (a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx) * (1 - fy) + (a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx) * fy
-
-
-def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corners (x, y, scale, angle) and their tests, packed in 8 bytes each."""
-    found, tests = [], []
-    base = _smooth(image)
-    for by in LEVELS:
-        a = _scaled(base, by)
-        if min(a.shape) < 2 * RADIUS + 3:
-            break
-        gy, gx = np.gradient(a)
-        xx, yy, xy = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
-        r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        inner = r[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]
-        if not inner.size:
-            break
-        p = np.pad(r, 2, constant_values=-np.inf)
-        around = np.max([p[2 + dy : 2 + dy + r.shape[0], 2 + dx : 2 + dx + r.shape[1]] for dy in range(-2, 3) for dx in range(-2, 3)], axis=0)[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]
-        y, x = np.nonzero((inner >= around) & (inner > 1.0))
-        order = np.argsort(-inner[y, x], kind="stable")[: POINTS // 2 if by == 1.0 else POINTS // 4]
-        y, x = y[order] + RADIUS + 1, x[order] + RADIUS + 1
-        if not len(y):
-            continue
-        d = np.arange(-7, 8)
-        dy, dx = np.meshgrid(d, d, indexing="ij")
-        disc = dy * dy + dx * dx <= 49
-        dy, dx = dy[disc], dx[disc]
-        patch = a[y[:, None] + dy, x[:, None] + dx]
-        angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
-        c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-
-        def at(px: np.ndarray, py: np.ndarray, a=a, x=x, y=y, c=c, s=s) -> np.ndarray:
-            u = np.clip(np.rint(x[:, None] + c * px - s * py).astype(int), 0, a.shape[1] - 1)
-            v = np.clip(np.rint(y[:, None] + s * px + c * py).astype(int), 0, a.shape[0] - 1)
-            return a[v, u]
-
-        tests.append(np.packbits(at(_pattern[:, 0], _pattern[:, 1]) < at(_pattern[:, 2], _pattern[:, 3]), axis=1))
-        found.append(np.stack((x * by, y * by, np.full(len(x), by), angle), 1).astype(np.float32))
-    if not found:
-        return np.zeros((0, 4), np.float32), np.zeros((0, TESTS // 8), np.uint8)
-    return np.concatenate(found), np.concatenate(tests)
-
-
-def table_keys(points: np.ndarray, tests: np.ndarray) -> np.ndarray:
-    """Keys per table and corner: the table's word of the corner and of two of its three nearest on the same level."""
-    out = []
-    words = tests.copy().view("<u2").astype(np.int64)  # four words
-    for by in np.unique(points[:, 2]):
-        own = np.flatnonzero(points[:, 2] == by)
-        if len(own) < 3:
-            continue
-        p = points[own, :2]
-        d = ((p[:, None] - p[None]) ** 2).sum(2)
-        near = np.argsort(d, axis=1, kind="stable")[:, 1:4]
-        for t in range(words.shape[1]):
-            w = words[own, t]
-            for a, b in ((0, 1), (0, 2), (1, 2))[: 1 if near.shape[1] < 3 else 3]:
-                pair = np.sort(w[near[:, [a, b]]], axis=1)
-                out.append((t << 48) | (w << 32) | (pair[:, 0] << 16) | pair[:, 1])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
-    """Matching corners, and how many agree in the best similarity transform."""
-    (pa_, ta), (pb, tb) = a, b
-    if not len(pa_) or not len(pb):
+    y1, x1 = np.minimum(y0 + 1, a.shape[-2] - 1), np.minimum(x0 + 1, a.shape[-1] - 1)
+    fy, fx = (y - y0)[:, None].astype(a.dtype), (x - x0).astype(a.dtype)
+    up, low = a[..., y0, :], a[..., y1, :]
+    return (up[..., x0] * (1 - fx) + up[..., x1] * fx) * (1 - fy) + (low[..., x0] * (1 - fx) + low[..., x1] * fx) * fy
+
+
+def _working(image: np.ndarray) -> np.ndarray:
+    a = image.astype(np.float32)
+    while max(a.shape) >= 2 * SIDE:
+        a = _smooth(a)[::2, ::2]
+    return _scaled(a, max(a.shape) / SIDE) if max(a.shape) > SIDE else a
+
+
+def _levels(base: np.ndarray) -> Iterator[tuple[int, float, np.ndarray]]:
+    """Number, scale and pictures of each level; from twice the scale on, of a picture halved before."""
+    octave, k = 1.0, 0
+    while True:
+        by = STEP**k
+        while by / octave >= 2:
+            base, octave = _smooth(base)[..., ::2, ::2], octave * 2
+        a = _scaled(base, by / octave)
+        if min(a.shape[-2:]) < LEAST_SIDE or k > 255:
+            return
+        yield k, by, a
+        k += 1
+
+
+def _corners(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Picture, row and column (between pixels) of the corners of a stack of pictures."""
+    gy, gx = np.gradient(a, axis=(1, 2))
+    xx, yy, xy = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
+    r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+    inner = r[:, 2:-2, 2:-2]
+    h, w = inner.shape[1:]
+    rows = np.maximum.reduce([r[:, :, k : k + w] for k in range(5)])
+    top = np.maximum.reduce([rows[:, k : k + h] for k in range(5)])
+    n, y, x = np.nonzero((inner >= top) & (inner > 1.0))
+    y, x = y + 2, x + 2
+    cell = (n * 4096 + y // CELL) * 4096 + x // CELL
+    order = np.lexsort((x, y, -r[n, y, x], cell))
+    first = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0)) if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    order = np.sort(order[rank < PER_CELL])
+    n, y, x = n[order], y[order], x[order]
+
+    def peak(low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+        bend = np.minimum(low - 2 * mid + high, -1e-9)
+        return ((low - high) / (2 * bend)).clip(-0.5, 0.5)
+
+    mid = r[n, y, x]
+    return n, y + peak(r[n, y - 1, x], mid, r[n, y + 1, x]), x + peak(r[n, y, x - 1], mid, r[n, y, x + 1])
+
+
+def _tests(a: np.ndarray, n: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Orientation and packed tests of corners."""
+    edge = RADIUS + 5
+    q = _smooth(np.pad(a, ((0, 0), (edge, edge), (edge, edge)), mode="reflect" if min(a.shape[1:]) > edge else "symmetric"))
+    w, flat = q.shape[2], q.ravel()
+    at, y, x = (n * q.shape[1] * w)[:, None], (y + edge)[:, None], (x + edge)[:, None]
+
+    def sample(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        v0, u0 = v.astype(np.int64), u.astype(np.int64)
+        fv, fu = (v - v0).astype(np.float32), (u - u0).astype(np.float32)
+        k = at + v0 * w + u0
+        return (flat[k] * (1 - fu) + flat[k + 1] * fu) * (1 - fv) + (flat[k + w] * (1 - fu) + flat[k + w + 1] * fu) * fv
+
+    patch = sample(y + _DY, x + _DX)
+    angle = np.arctan2((patch * _DY).sum(1), (patch * _DX).sum(1))
+    c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
+
+    def turned(px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        return sample(y + s * px + c * py, x + c * px - s * py)
+
+    return angle, np.packbits(turned(_pattern[:, 0], _pattern[:, 1]) < turned(_pattern[:, 2], _pattern[:, 3]), axis=1)
+
+
+#: A corner as it is kept: place in sixteenths of a pixel, level, angle in 256 steps, tests.
+_CORNER = np.dtype([("x", "<u2"), ("y", "<u2"), ("level", "u1"), ("angle", "u1"), ("tests", "u1", TESTS // 8)])
+
+
+def describe(images: list[np.ndarray]) -> list[np.ndarray]:
+    """The corners of each image; those of equal size are worked on together."""
+    out = [np.zeros(0, _CORNER)] * len(images)
+    small = [_working(a) for a in images]
+    shapes: dict[tuple, list[int]] = {}
+    for i, a in enumerate(small):
+        if a.size:
+            shapes.setdefault(a.shape, []).append(i)
+    for (h, w), every in shapes.items():
+        step = max(1, (1 << 18) // (h * w))
+        for lo in range(0, len(every), step):
+            own = every[lo : lo + step]
+            owners, corners = [], []
+            for level, by, a in _levels(_smooth(np.stack([small[i] for i in own]))):
+                n, y, x = _corners(a)
+                for k in range(0, len(n), 2048):
+                    part = slice(k, k + 2048)
+                    angle, tests = _tests(a, n[part], y[part], x[part])
+                    c = np.zeros(len(angle), _CORNER)
+                    c["x"], c["y"], c["level"] = np.rint(x[part] * by * 16), np.rint(y[part] * by * 16), level
+                    c["angle"] = np.rint(angle * 128 / np.pi).astype(int) & 255
+                    c["tests"] = tests
+                    owners.append(n[part])
+                    corners.append(c)
+            if corners:
+                owner, c = np.concatenate(owners), np.concatenate(corners)
+                order = np.argsort(owner, kind="stable")
+                cut = np.searchsorted(owner[order], np.arange(len(own) + 1))
+                for k, i in enumerate(own):
+                    out[i] = c[order[cut[k] : cut[k + 1]]]
+    return out
+
+
+def _near_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.empty((len(x), 2), np.int64)
+    for k in range(0, len(x), 512):
+        d = (x[k : k + 512, None] - x) ** 2 + (y[k : k + 512, None] - y) ** 2
+        d[np.arange(len(d)), np.arange(k, k + len(d))] = np.iinfo(d.dtype).max
+        first = d.argmin(1)
+        d[np.arange(len(d)), first] = np.iinfo(d.dtype).max
+        out[k : k + 512, 0], out[k : k + 512, 1] = first, d.argmin(1)
+    return out
+
+
+def table_keys(corners: np.ndarray) -> np.ndarray:
+    """Distinct keys per table and corner: the table's word of the corner and of its two nearest on the same level."""
+    x, y = corners["x"].astype(np.int64), corners["y"].astype(np.int64)
+    words = np.ascontiguousarray(corners["tests"]).view("<u4").reshape(len(corners), TABLES).astype(K.U64) & K.U64((1 << WORD_BITS) - 1)
+    out, level = [], corners["level"]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(level)) + 1, [len(level)]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > 2:
+            near = _near_two(x[a:b], y[a:b]) + a
+            pair = np.sort(words[near], axis=1)
+            out.append(K.mix(K.mix(K.mix(words[a:b] + K.U64(1)) ^ pair[:, 0]) ^ (pair[:, 1] * K.U64(TABLES) + np.arange(TABLES, dtype=K.U64))).ravel())
+    return np.unique(K.signed(np.concatenate(out))) if out else np.zeros(0, np.int64)
+
+
+def consensus(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Matching corners, and how many of them agree in the best similarity transform."""
+    if not len(a) or not len(b):
         return 0, 0
-    d = _BITS[ta[:, None] ^ tb[None]].sum(2, dtype=np.int32)
-    to = d.argmin(1)
-    ok = np.flatnonzero((d[np.arange(len(d)), to] <= NEAR) & (d.argmin(0)[to] == np.arange(len(d))))
+    s, t = (np.ascontiguousarray(c["tests"]).view("<u8").reshape(len(c), -1).T.copy() for c in (a, b))
+    to, least = np.empty(len(a), np.int64), np.empty(len(a), np.uint8)
+    back, nearest = np.zeros(len(b), np.int64), np.full(len(b), 255, np.uint8)
+    for k in range(0, len(a), 256):
+        d = np.bitwise_count(s[0, k : k + 256, None] ^ t[0])
+        d += np.bitwise_count(s[1, k : k + 256, None] ^ t[1])
+        there, here = d.argmin(1), d.argmin(0)
+        to[k : k + 256], least[k : k + 256] = there, d[np.arange(len(d)), there]
+        low = d[here, np.arange(len(b))]
+        better = low < nearest
+        back[better], nearest[better] = here[better] + k, low[better]
+    ok = np.flatnonzero((least <= NEAR) & (back[to] == np.arange(len(a))))
     if len(ok) < INLIERS:
         return len(ok), 0
-    u, v = pa_[ok].astype(float), pb[to[ok]].astype(float)
-    turn, size = v[:, 3] - u[:, 3], v[:, 2] / u[:, 2]
-    c, s = size * np.cos(turn), size * np.sin(turn)
-    x, y = u[:, 0], u[:, 1]
-    rx, ry = c[:, None] * (x[None] - x[:, None]) - s[:, None] * (y[None] - y[:, None]), s[:, None] * (x[None] - x[:, None]) + c[:, None] * (y[None] - y[:, None])
-    off = np.hypot(rx - (v[None, :, 0] - v[:, None, 0]), ry - (v[None, :, 1] - v[:, None, 1]))
-    return len(ok), int((off <= SHIFT * np.maximum(size, 1)[:, None]).sum(1).max())
+    u, v = a[ok], b[to[ok]]
+    p, q = (c["x"] / 16 + 1j * (c["y"] / 16) for c in (u, v))
+    size = STEP ** (v["level"].astype(float) - u["level"])
+    turn = size * np.exp(1j * np.pi / 128 * (v["angle"].astype(float) - u["angle"]))
+    allowed = SHIFT * STEP ** v["level"].astype(float)
+    best = np.zeros(0, np.int64)
+    for k in range(0, len(ok), 256):  # from each match: loosely, as level and angle are coarse
+        away = p[None] - p[k : k + 256, None]
+        off = np.abs(turn[k : k + 256, None] * away - (q[None] - q[k : k + 256, None]))
+        good = off <= allowed[None] + 0.12 * np.abs(away) * size[k : k + 256, None]
+        row = good.sum(1).argmax()
+        if good[row].sum() > len(best):
+            best = np.flatnonzero(good[row])
+    for _ in range(3):  # fitted to those that agree
+        if len(best) < 3:
+            break
+        x, y = p[best] - p[best].mean(), q[best] - q[best].mean()
+        m = (np.conj(x) * y).sum() / max((np.abs(x) ** 2).sum(), 1e-9)
+        off = np.abs(m * (p - p[best].mean()) + q[best].mean() - q)
+        best = np.flatnonzero(off <= allowed)
+    return len(ok), len(best)
 
 
-def _packed(points: np.ndarray, tests: np.ndarray) -> bytes:
-    return points.astype("<f4").tobytes() + tests.tobytes()
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    matched, agree = consensus(a, b)
+    return agree >= INLIERS and agree >= SHARE * matched
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // (16 + TESTS // 8)
-    return np.frombuffer(data, "<f4", 4 * n).reshape(n, 4), np.frombuffer(data, np.uint8, offset=16 * n).reshape(n, TESTS // 8)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, _CORNER)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class and corners of each image; an image that is in the batch before is described once."""
     for batch in batches:
-        keys = []
+        keys: list[int | None] = []
+        new: dict[int, np.ndarray] = {}
         for data in batch.column("image"):
             a = decode_image(data.as_py())
-            keys.append(None if a is None else int.from_bytes(hashlib.sha256(np.array(a.shape).tobytes() + a.tobytes()).digest()[:8], "little", signed=True))
-        yield pa.record_batch([batch.column("id"), batch.column("rid"), pa.array(keys, pa.int64())], ["id", "rid", "c"])
+            if a is None:
+                keys.append(None)
+                continue
+            keys.append(int.from_bytes(hashlib.sha256(np.array(a.shape).tobytes() + a.tobytes()).digest()[:8], "little", signed=True))
+            new.setdefault(keys[-1], _working(a))
+        feats = {c: f.tobytes() for c, f in zip(new, describe(list(new.values())), strict=True)}
+        yield pa.record_batch([batch.column("id"), pa.array(keys, pa.int64()), pa.array([None if k is None else feats[k] for k in keys], pa.binary())], ["id", "c", "feats"])
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per class and key."""
     for batch in batches:
-        feats, keys = [], []
-        for data in batch.column("image"):
-            p, t = describe(decode_image(data.as_py()))
-            feats.append(_packed(p, t))
-            keys.append(table_keys(p, t))
-        yield pa.record_batch([batch.column("c"), pa.array(feats, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["c", "feats", "keys"])
+        each = [table_keys(_unpacked(x)) for x in batch.column("feats").to_pylist()]
+        c = np.repeat(batch.column("c").to_numpy(), [len(k) for k in each])
+        yield pa.record_batch([pa.array(np.concatenate(each) if each else np.zeros(0, np.int64)), pa.array(c)], ["b", "c"])
+
+
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets by a bucket's key and a further key of the class."""
+    for batch in batches:
+        for b, c, x in zip(batch.column("b").to_pylist(), batch.column("c").to_pylist(), batch.column("feats").to_pylist(), strict=True):
+            k = table_keys(_unpacked(x))
+            both = np.unique(K.signed(K.mix(k.view(K.U64)) + K.mix(np.array([b], np.int64).view(K.U64))))
+            yield pa.record_batch([pa.array(both), pa.array(np.full(len(both), c, np.int64))], ["b", "c"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for a, b in zip(batch.column("fx").to_pylist(), batch.column("fy").to_pylist(), strict=True):
-            matched, agree = consensus(_unpacked(a), _unpacked(b))
-            good.append(agree >= INLIERS and agree >= SHARE * matched)
+        good = [linked(_unpacked(a), _unpacked(b)) for a, b in zip(batch.column("fx").to_pylist(), batch.column("fy").to_pylist(), strict=True)]
         keep = pa.array(np.flatnonzero(good))
         yield pa.record_batch([batch.column(k).take(keep) for k in ("x", "y")], ["x", "y"])
 
 
-def _proposals(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, ["b", "i", "j"]):
-            c, comp, side, i, j = (part.column(k).to_numpy() for k in ("c", "component", "side", "i", "j"))
-            right = np.flatnonzero(side == j)
-            xs, ys = [], []
-            for k in np.flatnonzero(side == i):
-                r = right[comp[right] != comp[k]]
-                r = r[:most] if most else r
-                xs.append(np.maximum(c[r], c[k]))
-                ys.append(np.minimum(c[r], c[k]))
-            if xs:
-                yield pa.record_batch([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
-
-    return run
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components within a bucket, or a pair of its blocks: a forest of them."""
+    for part in K.runs(batches, ["b", "i", "j"]):
+        c, comp, side = (part.column(k).to_numpy() for k in ("c", "component", "side"))
+        i, j, first = part.column("i")[0].as_py(), part.column("j")[0].as_py(), part.column("y")[0].as_py()
+        feats = [_unpacked(x) for x in part.column("feats").to_pylist()]
+        top: dict[int, int] = {}
+
+        def root(x: int, top: dict[int, int] = top) -> int:
+            while (up := top.get(x, x)) != x:
+                x = up
+            return x
+
+        xs, ys = [], []
+        right = np.flatnonzero(side == j)
+        for k in np.flatnonzero(side == i).tolist():
+            for r in right.tolist():
+                if (i == j and r >= k) or first in (c[k], c[r]):  # the bucket's star has been tried
+                    continue
+                p, q = root(int(comp[k])), root(int(comp[r]))
+                if p != q and linked(feats[k], feats[r]):
+                    top[max(p, q)] = min(p, q)
+                    xs.append(int(c[k]))
+                    ys.append(int(c[r]))
+        if xs:
+            yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
 
 def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
     """A row per input row: its id, ``class_id`` (smallest id of equal pixels), ``n_points``, ``component_id`` and ``kept``."""
     scratch = Scratch(images.sparkSession)
+    return scratch.finish(_copies(images, scratch, id_col, image))
+
+
+def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) -> DataFrame:
     base = images.select(F.col(id_col).cast("long").alias("id"), image.cast("binary").alias("image"))
-    base = scratch.table(base.withColumn("rid", F.xxhash64("id", "image")))
-    named = scratch.table(base.mapInArrow(K.lean(_classes), "id long, rid long, c long"))
-    classes = named.where("c is not null").groupBy("c").agg(F.min(F.struct("id", "rid")).alias("at"), F.min("id").alias("class_id"))
-    wanted = classes.select("c", F.col("at.rid").alias("rid"))
-    described = scratch.table(base.select("rid", "image").join(wanted, "rid").dropDuplicates(["c"]).select("c", "image").mapInArrow(K.lean(_described), "c long, feats binary, keys array<long>"))
-    feats = described.select("c", "feats")
-    member = described.select(F.explode("keys").alias("b"), "c")
-    stars = member.groupBy("b").agg(F.min("c").alias("y"), F.count("*").alias("k")).where("k > 1")
-    members = scratch.table(member.join(stars, "b"))
+    rows = scratch.table(base.mapInArrow(K.lean(_described), "id long, c long, feats binary"))
+    classes = scratch.table(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats")))
+    feats = classes.select("c", "feats")
+    links = scratch.table(feats.limit(0).select(F.col("c").alias("x"), F.col("c").alias("y")))
+    tried, labels = links, links.select(F.col("x").alias("node"), F.col("y").alias("component"))
+    member = feats.mapInArrow(K.lean(_keyed), "b long, c long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = pairs.join(feats.select(F.col("c").alias("x"), F.col("feats").alias("fx")), "x")
         two = one.join(feats.select(F.col("c").alias("y"), F.col("feats").alias("fy")), "y")
         return two.select("x", "y", "fx", "fy").mapInArrow(K.lean(_agreeing), "x long, y long")
 
-    tried = scratch.table(members.where("c != y").select(F.greatest("c", "y").alias("x"), F.least("c", "y").alias("y")).distinct())
-    links = scratch.table(confirmed(tried))
-
     def components() -> DataFrame:
         return scratch.table(connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch))
 
-    labels = components()
-    large = members.where("k > 2").select("b", "c")
-    for most in ROUNDS:
-        now = large.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        mixed = now.groupBy("b").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("k")).where("p != q").select("b", F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"))
-        now = scratch.table(now.join(mixed, "b").select("b", "c", "component", "nb"))
-        blocks = now.withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        blocks = blocks.select("b", "c", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-        offered = blocks.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(K.lean(_proposals(most)), "x long, y long").distinct()
-        offered = scratch.table(offered.join(tried, ["x", "y"], "left_anti"))
-        large = now.select("b", "c")
-        if offered.isEmpty():
-            continue
-        links = scratch.table(links.unionByName(confirmed(offered)))
-        tried = scratch.table(tried.unionByName(offered))
+    for k in range(ROUNDS):
+        shared = member.groupBy("b").agg(F.min("c").alias("y"), F.count("*").alias("k")).where("k > 1")
+        members = scratch.table(member.join(shared, "b"))
+        stars = members.where("c != y").select(F.col("c").alias("x"), "y").distinct()
+        stars = scratch.table(stars.join(tried, ["x", "y"], "left_anti") if k else stars)
+        tried = tried.unionByName(stars)
+        links = scratch.table(links.unionByName(confirmed(stars)))
         labels = components()
+        now = members.where("k > 2").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        mixed = now.groupBy("b").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("b")
+        now = scratch.table(now.join(mixed, "b", "left_semi"))
+        large = now.where(F.col("k") > SMALL)
+        last = k == ROUNDS - 1 or large.isEmpty()
+        done = now if last else now.where(F.col("k") <= SMALL)
+        blocks = F.when(F.col("k") <= SMALL, 1).otherwise(F.ceil(F.col("k") / BLOCK).cast("int"))
+        done = done.withColumn("nb", blocks).withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        done = done.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "y").join(feats, "c")
+        met = done.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "c").mapInArrow(K.lean(_joining), "x long, y long")
+        links = scratch.table(links.unionByName(met))
+        if last:
+            break
+        member = large.select("b", "c").join(feats, "c").mapInArrow(K.lean(_refined), "b long, c long")
+    labels = components()
 
-    group = classes.select("c", "class_id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    group = classes.select("c", "class_id", (F.octet_length("feats") / _CORNER.itemsize).cast("int").alias("n_points")).join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = group.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    group = group.join(least, "component").join(described.select("c", (F.octet_length("feats") / (16 + TESTS // 8)).cast("int").alias("n_points")), "c", "left").select("c", "class_id", "component_id", "n_points")
-    out = named.join(group, "c", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return scratch.finish(out.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_points", F.lit(0)).alias("n_points"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")))
+    group = group.join(least, "component").select("c", "class_id", "component_id", "n_points")
+    out = rows.select("id", "c").join(group, "c", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_points", F.lit(0)).alias("n_points"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+#: Pixels between the components of a vector in its picture.
+APART = 7
 
 
 def picture(vector: pa.Array) -> pa.Array:
-    """A grey picture (PGM) of each vector: its components on a square grid, interpolated, six pixels apart."""
+    """A grey picture (PGM) of each vector: its components on a square grid, interpolated, ``APART`` pixels apart."""
     out: list[bytes | None] = []
     for v in vector:
         if not v.is_valid or not len(v):
@@ -324,6 +461,6 @@ def picture(vector: pa.Array) -> pa.Array:
         side = int(np.ceil(np.sqrt(len(x))))
         grid = np.zeros(side * side)
         grid[: len(x)] = np.tanh(x / (np.sqrt((x * x).mean()) + 1e-12))
-        a = _scaled(grid.reshape(side, side) * 100 + 128, 1 / 6)
+        a = _scaled(grid.reshape(side, side) * 100 + 128, 1 / APART)
         out.append(b"P5 %d %d 255\n" % (a.shape[1], a.shape[0]) + np.rint(a).clip(0, 255).astype(np.uint8).tobytes())
     return pa.array(out, pa.binary())

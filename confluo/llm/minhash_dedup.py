@@ -153,35 +153,6 @@ def _confirmed(width: int, percent: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of rows that are sorted by ``keys``, across batches."""
-    parts: list[pa.RecordBatch] = []  # of the group that is open, joined once when it ends
-    last = None
-
-    def joined() -> pa.Table:
-        return pa.Table.from_batches(parts).combine_chunks()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        new[0] = last is not None and last != [c[0] for c in cols]
-        last = [c[-1] for c in cols]
-        at = 0
-        for cut in np.flatnonzero(new):
-            if cut > at:
-                parts.append(batch.slice(at, cut - at))
-            yield joined()
-            parts.clear()
-            at = cut
-        parts.append(batch.slice(at))
-    if parts:
-        yield joined()
-
-
 def _pairs(part: pa.Table, percent: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """Each class of a pair of blocks with its likely partners in other components, best first.
 
@@ -215,7 +186,7 @@ def _open(percent: int):
     least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, ["b", "i", "j"]):
+        for part in K.runs(batches, ["b", "i", "j"]):
             wanted = np.zeros(part.num_rows, bool)
             for k, r in _pairs(part, percent, least):
                 wanted[k] = True
@@ -231,7 +202,7 @@ def _linking(width: int, percent: int):
     least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, ["b", "i", "j"]):
+        for part in K.runs(batches, ["b", "i", "j"]):
             c, comp = part.column("c").to_numpy(), part.column("component").to_numpy()
             top: dict[int, int] = {}
 
