@@ -45,3 +45,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, *, src: str = "src"
     roots = now.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
     out = now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
     return out.unionByName(alone.join(out, "node", "left_anti")).distinct()
+
+
+def joined_components(labels: DataFrame, edges: DataFrame, scratch: Scratch, *, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``labels`` (``node``, ``component``) after further edges: only the graph between components is worked on."""
+    found = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+    for side in ("a", "b"):
+        found = found.join(labels.select(F.col("node").alias(side), "component"), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+    up = scratch.table(connected_components(found.where("a != b"), scratch, src="a", dst="b"), release=False)
+    moved = labels.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return moved.select("node", F.coalesce("top", "component").alias("component")).unionByName(up.join(labels, "node", "left_anti").select("node", "component"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.basic import fixed, pyround, sorted_ignoring_case, strip
@@ -136,6 +136,7 @@ def overall_confidence(of: dict[str, Column]) -> Column:
     return F.when(weight > 0, pyround(top / weight, 2)).otherwise(0.0)
 
 
+_ORDER = ["coalesce(email, '')", "coalesce(full_name, '')", "coalesce(phone, '')", "cluster_id"]
 _META = ["confidence", "trust_score", "penalty", "sources", "reasoning", "conflict"]
 
 
@@ -157,6 +158,15 @@ def profiles(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return out.withColumn("needs_review", F.col("overall_confidence") < REVIEW_BELOW)
 
 
+def positions(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds ``position``, the place (from 0) in the output order: ranks within ranges of the order, and the sizes of those before."""
+    placed = scratch.table(in_order(df).withColumn("__range", F.spark_partition_id()))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("n"))  # a row per range
+    starts = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*map(F.expr, _ORDER))) - 1
+    return placed.withColumn("__rank", rank).join(starts, "__range").withColumn("position", F.col("at") + F.col("__rank")).drop("__range", "__rank", "at")
+
+
 def in_order(df: DataFrame) -> DataFrame:
     """The output order: e-mail, name, phone, then the first record."""
-    return df.orderBy(*[F.coalesce(F.col(c), F.lit("")) for c in ("email", "full_name", "phone")], "cluster_id")
+    return df.orderBy(*map(F.expr, _ORDER))
