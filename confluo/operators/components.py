@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 
 
-#: Edges of which a round's shuffles are not worth a collection of the driver's garbage.
+#: Edges at most that one task takes on (a few dozen bytes each); more are worked on in rounds over the whole cluster.
 FEW = 1_000_000
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of one task: roots are hooked to smaller ones and paths halved until no edge joins two."""
+    parts = [[b.column(k).to_numpy() for k in ("hi", "lo")] for b in batches]
+    hi, lo = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    nodes = np.unique(np.concatenate((hi, lo)))
+    a, b = np.searchsorted(nodes, hi), np.searchsorted(nodes, lo)
+    top = np.arange(len(nodes))
+    while True:
+        p, q = top[a], top[b]
+        apart = p != q
+        if not apart.any():
+            break
+        np.minimum.at(top, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (up := top[top]).tobytes() != top.tobytes():
+            top = up
+    yield pa.record_batch([pa.array(nodes), pa.array(nodes[top])], ["node", "component"])
+
+
 def _rounded(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges ``(hi, lo)``, hi > lo."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -25,19 +47,22 @@ def _rounded(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, scratch: Scratch, *, src: str = "src", dst: str = "dst") -> DataFrame:
     """Labels every node that has an edge with the smallest node of its component.
 
-    Alternating large-star and small-star steps: each replaces the neighbours of
-    a node by links to the smallest one, so the number of edges never grows and
-    a logarithmic number of rounds suffices. A hub is one key of a min()
+    Up to ``FEW`` edges are one task's work. For more there are alternating
+    large-star and small-star steps: each replaces the neighbours of a node by
+    links to the smallest one, so the number of edges never grows and a
+    logarithmic number of rounds suffices. A hub is one key of a min()
     aggregate and of a join that can be split; nothing goes to the driver but
     a count and a checksum. Self-loops label their node with itself. Returns
     ``node``, ``component``.
     """
     pairs = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).distinct()
     pairs = scratch.table(pairs, release=False)
+    if pairs.count() <= FEW:
+        return pairs.select(F.col("hi").cast("long").alias("hi"), F.col("lo").cast("long").alias("lo")).coalesce(1).mapInArrow(_united, "node long, component long")
     alone = pairs.where("hi = lo").select(F.col("hi").alias("node"), F.col("hi").alias("component"))
     now, mark = pairs.where("hi != lo"), None
     while True:
-        now = scratch.table(_rounded(now), release=mark is None or mark[0] > FEW)
+        now = scratch.table(_rounded(now))
         found = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(found) == mark or not found[0]:
             break

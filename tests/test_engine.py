@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confluo.cli import main
-from confluo.operators import evaluate, merge, resolve
-from confluo.operators.components import connected_components
+from confluo.operators import components, evaluate, merge, resolve
 from confluo.operators.project import Config, ProjectionError
 from confluo.plans.engine import Engine
 from confluo.plans.scratch import Scratch
@@ -58,12 +57,18 @@ def test_match_probability(spark):
     assert _probability(spark, skills=1.0, country=0.0) == 0.540  # 8
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(1, 2), (2, 3), (5, 4), (6, 6), (9, 3), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)] + [(100, k) for k in range(101, 160)]
-    got = dict(connected_components(spark.createDataFrame(edges, "src long, dst long"), scratch := Scratch(spark)).collect())
+    labels = components.connected_components(spark.createDataFrame(edges, "src long, dst long"), scratch := Scratch(spark))
+    want = {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4, 6: 6, **{k: 20 for k in range(20, 26)}, **{k: 100 for k in range(100, 160)}}
+    assert dict(labels.collect()) == want
+    more = components.joined_components(labels, spark.createDataFrame([(25, 130), (7, 9), (7, 8), (6, 6), (200, 201)], "src long, dst long"), scratch)
+    moved = {k: 20 if v == 100 else v for k, v in want.items()}
+    assert dict(more.collect()) == moved | {7: 1, 8: 1, 200: 200, 201: 200}
     scratch.drop()
-    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4, 6: 6, **{k: 20 for k in range(20, 26)}, **{k: 100 for k in range(100, 160)}}
-    assert connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark)).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark)).count() == 0
 
 
 def test_confidence_parts(spark):
