@@ -63,15 +63,21 @@ class Scratch:
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def table(self, df: DataFrame, *, partitions: int | None = None, release: bool = True) -> DataFrame:
-        """Writes and reads a table. ``release`` frees the shuffles it took; a small table's can wait."""
+        """Writes and reads a table; ``release`` first frees the shuffles of the tables before, whose plans the caller has let go by then."""
+        if release and self.count:
+            self.release()
         self.count += 1
         at = f"{self.path}/t{self.count}"
         schema = df.schema
         (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(at)
-        del df
-        if release:
-            self.release()
-        return self.spark.read.schema(schema).parquet(at)
+        out = self.spark.read.schema(schema).parquet(at)
+        out.scratch_path = at
+        return out
+
+    def discard(self, table: DataFrame) -> None:
+        """Deletes a table that nothing will read any more."""
+        path, files = self._files(table.scratch_path)
+        files.delete(path, True)
 
     def release(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
