@@ -9,19 +9,21 @@
    128 binary tests turned by it: brightness comparisons that changes of light
    and small edits keep. Beyond its edges a picture is taken as mirrored.
 3. Hamming tables: the tests are cut into four words. A table's key is that word
-   of a corner and of its two nearest corners on the level. Copies agree exactly
-   in some word of many corner triples; unrelated images hardly ever do.
+   of a corner and of its two nearest corners on the level, and the sector in
+   which those lie, seen from the corner. Copies agree exactly in some word of
+   many corner triples; unrelated images hardly ever do.
 4. Each bucket is first a star around its smallest class. A pair is a link if
    enough corners match (mutually nearest, few tests differing) and agree in one
    similarity transform: rotation, scale and shift, fitted to all that agree.
-5. Buckets whose classes are in one component then are done. Others of up to
-   ``SMALL`` classes are compared within a task, which returns a forest of links
-   between components. Larger ones are refined by every further key of their
-   classes, and so again; what is large even then is compared in blocks of
-   classes. No pair is ever a row but those of the stars.
+5. Buckets whose classes are in one component then are done. In others, cut into
+   blocks of about ``BLOCK`` classes, those of different components are compared
+   within a task for each pair of blocks, a pair that meets in several buckets in
+   the one of its smallest common key. Only a forest of the links found leaves
+   the task, so no link between components is lost and no pair is ever a row but
+   those of the stars.
 
-So a picture with thousands of copies costs a star, and a detail that many
-unrelated pictures share costs a further key.
+So a picture with thousands of copies costs a star. A detail that many unrelated
+pictures share, too small to link them, costs their comparison.
 
 Defined cases: a null or undecodable image, or one without corners, is its own
 component (null class for the first two); repeated rows share a class; equal
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import joined_components
 from ..plans.scratch import Scratch
 from . import kernel as K
 
@@ -50,14 +52,12 @@ SIDE, LEAST_SIDE = 256, 16
 STEP = 1.2
 CELL, PER_CELL = 16, 4
 RADIUS, DISC = 11, 8
-TESTS, TABLES, WORD_BITS = 128, 4, 24
+TESTS, TABLES, WORD_BITS, SECTORS = 128, 4, 24, 8
 NEAR = 14  # differing tests of a match at most
 INLIERS = 8  # matches that have to agree, and their share of all matches
 SHARE = 0.5
 SHIFT = 3.0  # pixels of the level
-SMALL = 64
 BLOCK = 512
-ROUNDS = 3
 
 _pattern = np.random.default_rng(11).normal(0, RADIUS / 2.2, (TESTS, 4)).clip(-0.7 * RADIUS, 0.7 * RADIUS)
 _d = np.arange(-DISC, DISC + 1)
@@ -261,7 +261,7 @@ def _near_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def table_keys(corners: np.ndarray) -> np.ndarray:
-    """Distinct keys per table and corner: the table's word of the corner and of its two nearest on the same level."""
+    """Distinct keys per table and corner: the table's word of the corner and of its two nearest on the same level, and where those lie."""
     x, y = corners["x"].astype(np.int64), corners["y"].astype(np.int64)
     words = np.ascontiguousarray(corners["tests"]).view("<u4").reshape(len(corners), TABLES).astype(K.U64) & K.U64((1 << WORD_BITS) - 1)
     out, level = [], corners["level"]
@@ -270,7 +270,9 @@ def table_keys(corners: np.ndarray) -> np.ndarray:
         if b - a > 2:
             near = _near_two(x[a:b], y[a:b]) + a
             pair = np.sort(words[near], axis=1)
-            out.append(K.mix(K.mix(K.mix(words[a:b] + K.U64(1)) ^ pair[:, 0]) ^ (pair[:, 1] * K.U64(TABLES) + np.arange(TABLES, dtype=K.U64))).ravel())
+            towards = np.arctan2(y[near].sum(1) - 2 * y[a:b], x[near].sum(1) - 2 * x[a:b]) / (2 * np.pi) - corners["angle"][a:b] / 256
+            sector = np.floor(towards % 1 * SECTORS).astype(K.U64)[:, None]
+            out.append(K.mix(K.mix(K.mix(words[a:b] + (sector + K.U64(1)) * K.U64(1 << 40)) ^ pair[:, 0]) ^ (pair[:, 1] * K.U64(TABLES) + np.arange(TABLES, dtype=K.U64))).ravel())
     return np.unique(K.signed(np.concatenate(out))) if out else np.zeros(0, np.int64)
 
 
@@ -348,15 +350,6 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.concatenate(each) if each else np.zeros(0, np.int64)), pa.array(c)], ["b", "c"])
 
 
-def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets by a bucket's key and a further key of the class."""
-    for batch in batches:
-        for b, c, x in zip(batch.column("b").to_pylist(), batch.column("c").to_pylist(), batch.column("feats").to_pylist(), strict=True):
-            k = table_keys(_unpacked(x))
-            both = np.unique(K.signed(K.mix(k.view(K.U64)) + K.mix(np.array([b], np.int64).view(K.U64))))
-            yield pa.record_batch([pa.array(both), pa.array(np.full(len(both), c, np.int64))], ["b", "c"])
-
-
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = [linked(_unpacked(a), _unpacked(b)) for a, b in zip(batch.column("fx").to_pylist(), batch.column("fy").to_pylist(), strict=True)]
@@ -369,7 +362,9 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in K.runs(batches, ["b", "i", "j"]):
         c, comp, side = (part.column(k).to_numpy() for k in ("c", "component", "side"))
         i, j, first = part.column("i")[0].as_py(), part.column("j")[0].as_py(), part.column("y")[0].as_py()
+        b = part.column("b")[0].as_py()
         feats = [_unpacked(x) for x in part.column("feats").to_pylist()]
+        keys = [table_keys(x) for x in feats]
         top: dict[int, int] = {}
 
         def root(x: int, top: dict[int, int] = top) -> int:
@@ -384,7 +379,7 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (i == j and r >= k) or first in (c[k], c[r]):  # the bucket's star has been tried
                     continue
                 p, q = root(int(comp[k])), root(int(comp[r]))
-                if p != q and linked(feats[k], feats[r]):
+                if p != q and np.intersect1d(keys[k], keys[r], assume_unique=True)[0] == b and linked(feats[k], feats[r]):
                     top[max(p, q)] = min(p, q)
                     xs.append(int(c[k]))
                     ys.append(int(c[r]))
@@ -403,8 +398,9 @@ def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) ->
     rows = scratch.table(base.mapInArrow(K.lean(_described), "id long, c long, feats binary"))
     classes = scratch.table(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats")))
     feats = classes.select("c", "feats")
-    links = scratch.table(feats.limit(0).select(F.col("c").alias("x"), F.col("c").alias("y")))
-    tried, labels = links, links.select(F.col("x").alias("node"), F.col("y").alias("component"))
+    named = scratch.table(rows.select("id", "c"))
+    scratch.discard(rows)
+    labels = feats.limit(0).select(F.col("c").alias("node"), F.col("c").alias("component"))
     member = feats.mapInArrow(K.lean(_keyed), "b long, c long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -412,37 +408,25 @@ def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) ->
         two = one.join(feats.select(F.col("c").alias("y"), F.col("feats").alias("fy")), "y")
         return two.select("x", "y", "fx", "fy").mapInArrow(K.lean(_agreeing), "x long, y long")
 
-    def components() -> DataFrame:
-        return scratch.table(connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch))
-
-    for k in range(ROUNDS):
-        shared = member.groupBy("b").agg(F.min("c").alias("y"), F.count("*").alias("k")).where("k > 1")
-        members = scratch.table(member.join(shared, "b"))
-        stars = members.where("c != y").select(F.col("c").alias("x"), "y").distinct()
-        stars = scratch.table(stars.join(tried, ["x", "y"], "left_anti") if k else stars)
-        tried = tried.unionByName(stars)
-        links = scratch.table(links.unionByName(confirmed(stars)))
-        labels = components()
-        now = members.where("k > 2").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        mixed = now.groupBy("b").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("b")
-        now = scratch.table(now.join(mixed, "b", "left_semi"))
-        large = now.where(F.col("k") > SMALL)
-        last = k == ROUNDS - 1 or large.isEmpty()
-        done = now if last else now.where(F.col("k") <= SMALL)
-        blocks = F.when(F.col("k") <= SMALL, 1).otherwise(F.ceil(F.col("k") / BLOCK).cast("int"))
-        done = done.withColumn("nb", blocks).withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        done = done.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "y").join(feats, "c")
-        met = done.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "c").mapInArrow(K.lean(_joining), "x long, y long")
-        links = scratch.table(links.unionByName(met))
-        if last:
-            break
-        member = large.select("b", "c").join(feats, "c").mapInArrow(K.lean(_refined), "b long, c long")
-    labels = components()
+    def joined(found: DataFrame) -> DataFrame:
+        return scratch.table(joined_components(labels, scratch.table(found), scratch, src="x", dst="y"))
+
+    # written, so that the join's large side is a shuffle of its own, which Spark can split at a frequent key
+    shared = scratch.table(member.groupBy("b").agg(F.min("c").alias("y"), F.count("*").alias("k")).where("k > 1"))
+    members = scratch.table(member.join(shared, "b"))
+    stars = scratch.table(members.where("c != y").select(F.col("c").alias("x"), "y").distinct())
+    labels = joined(confirmed(stars))
+    now = members.where("k > 2").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    mixed = now.groupBy("b").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("b")
+    now = now.join(mixed, "b", "left_semi").withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int"))
+    now = now.withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    now = now.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "y").join(feats, "c")
+    labels = joined(now.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "c").mapInArrow(K.lean(_joining), "x long, y long"))
 
     group = classes.select("c", "class_id", (F.octet_length("feats") / _CORNER.itemsize).cast("int").alias("n_points")).join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = group.groupBy("component").agg(F.min("class_id").alias("component_id"))
     group = group.join(least, "component").select("c", "class_id", "component_id", "n_points")
-    out = rows.select("id", "c").join(group, "c", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = named.join(group, "c", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_points", F.lit(0)).alias("n_points"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
