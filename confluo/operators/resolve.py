@@ -129,22 +129,32 @@ def signed(rows: DataFrame) -> DataFrame:
     return known.withColumn("sig", F.sha2(F.to_json(F.struct(*SIGNATURE), {"ignoreNullFields": "false"}), 256))
 
 
-def _signature_pairs(sigs: DataFrame) -> DataFrame:
+def _name_pairs(sigs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Ordered pairs (``na``, ``nb``) of name lists that share a formal first name, with the similarity of each order."""
+    names = scratch.table(sigs.groupBy("nid").agg(F.first("names").alias("names")))
+    blocks = names.select("nid", "names", F.explode(F.filter(name_blocks(F.col("names")), lambda b: b.startswith("first:"))).alias("block"))
+    other = blocks.select("block", F.col("nid").alias("nb"), F.col("names").alias("b"))
+    once = blocks.withColumnsRenamed({"nid": "na", "names": "a"}).join(other, "block").where("na <= nb").select("na", "nb", "a", "b").distinct()
+    once = scratch.table(once.select("na", "nb", name_similarity(F.col("a"), F.col("b")).alias("ab"), name_similarity(F.col("b"), F.col("a")).alias("ba")))
+    return once.unionByName(once.where("na != nb").select(F.col("nb").alias("na"), F.col("na").alias("nb"), F.col("ba").alias("ab"), F.col("ab").alias("ba")))
+
+
+def _signature_pairs(sigs: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (l, r) of signatures of one formal first name that may match, each once; a signature with itself included.
 
     With both keys known and different the others can't make up for it. With
     one of them different, less than 0.63 of the other signals' 3.5 may be
     missing, so a known country has to be equal and is part of the join's key.
     """
-    side = F.struct("sig", "lo", "hi", "n", *SIGNATURE)
-    blocks = sigs.select(side.alias("x"), "country", F.explode(F.filter(name_blocks(F.col("names")), lambda b: b.startswith("first:"))).alias("block"))
-    left, right = blocks.withColumnRenamed("x", "l"), blocks.withColumnRenamed("x", "r")
+    side = F.struct("lo", "hi", "n", "has_email", "has_phone", "country", "experience_yrs", "skills")
+    left = sigs.select(F.col("nid").alias("na"), "country", side.alias("l")).join(names, "na").drop("na")
+    right = sigs.select(F.col("nid").alias("nb"), "country", side.alias("r"))
     differ = (F.col("l.has_email") & F.col("r.has_email")).cast("int") + (F.col("l.has_phone") & F.col("r.has_phone")).cast("int")
-    once = F.col("l.sig") <= F.col("r.sig")
-    open_ = left.drop("country").join(right.drop("country"), "block").where(once & (differ == 0))
-    same = left.join(right, ["block", "country"]).where(once & (differ == 1))
-    none = left.drop("country").join(right.where("country is null").drop("country"), "block").where((differ == 1) & (F.col("l.country").isNotNull() | once))
-    return open_.select("l", "r").unionByName(same.select("l", "r")).unionByName(none.select("l", "r"))
+    once = F.col("l.lo") <= F.col("r.lo")
+    open_ = left.drop("country").join(right.drop("country"), "nb").where(once & (differ == 0))
+    same = left.join(right, ["nb", "country"]).where(once & (differ == 1))
+    none = left.drop("country").join(right.where("country is null").drop("country"), "nb").where((differ == 1) & (F.col("l.country").isNotNull() | once))
+    return open_.unionByName(same.select(*open_.columns)).unionByName(none)
 
 
 def matched_edges(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -155,29 +165,33 @@ def matched_edges(rows: DataFrame, scratch: Scratch) -> DataFrame:
     stars anyway. So pairs of signatures are judged, and where both orders
     match all records of both hang together. Where one order does, the first
     record of the one side is linked to all later ones of the other, and the
-    last of the other to all earlier ones of the first.
+    last of the other to all earlier ones of the first. A signature goes by its
+    first record, a list of names by the first that has it.
     """
-    members = scratch.table(signed(rows).select("seq", "sig", *SIGNATURE))
-    sigs = scratch.table(members.groupBy("sig", *SIGNATURE).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n")))
+    hashed = scratch.table(signed(rows).select("seq", "sig", *SIGNATURE))
+    sigs = hashed.groupBy("sig", *SIGNATURE).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n"))
+    first = sigs.groupBy("names").agg(F.min("lo").alias("nid"))
+    sigs = scratch.table(sigs.join(first, "names"))
+    members = scratch.table(hashed.select("seq", "sig").join(sigs.select("sig", "lo"), "sig").select("seq", "lo"))
     known = {k: F.coalesce(v, F.lit(UNKNOWN)) for k, v in signals_of_others().items()}
     without_name = sum((known[k] * WEIGHTS[k] for k in known), F.lit(0.0))
-    pairs = _signature_pairs(sigs).where(without_name >= LEAST_WITHOUT_NAME)
-    names = scratch.table(pairs.select(F.col("l.names").alias("a"), F.col("r.names").alias("b"), F.struct(*[v.alias(k) for k, v in known.items()]).alias("known"), F.struct("l.sig", "l.lo", "l.hi", "l.n").alias("l"), F.struct("r.sig", "r.lo", "r.hi", "r.n").alias("r")).distinct())
-    both = names.select("a", "b").distinct()
-    both = both.withColumn("ab", name_similarity(F.col("a"), F.col("b"))).withColumn("ba", name_similarity(F.col("b"), F.col("a")))
-    judged = names.join(scratch.table(both), ["a", "b"])
+    pairs = _signature_pairs(sigs, _name_pairs(sigs, scratch)).where(without_name >= LEAST_WITHOUT_NAME)
 
     def matches(name: str) -> Column:
-        return match_probability({k: F.col(f"known.{k}") for k in known} | {"name": F.col(name)}) >= MATCH
+        return match_probability(known | {"name": F.col(name)}) >= MATCH
+
+    def end(side: str) -> Column:
+        return F.struct(f"{side}.lo", f"{side}.hi", f"{side}.n").alias(side)
 
-    judged = scratch.table(judged.select("l", "r", matches("ab").alias("fore"), matches("ba").alias("back")).where("fore or back").where("l.sig != r.sig or l.n > 1"))
+    judged = pairs.select(end("l"), end("r"), matches("ab").alias("fore"), matches("ba").alias("back")).where("fore or back").where("l.lo != r.lo or l.n > 1")
+    judged = scratch.table(judged.distinct())
     whole = judged.where("fore and back")
-    links = whole.where("l.sig != r.sig").select(F.least("l.lo", "r.lo").alias("src"), F.greatest("l.lo", "r.lo").alias("dst"))
-    full = whole.select(F.explode(F.array("l", "r")).alias("s")).select("s.sig", F.col("s.lo").alias("src")).distinct()
-    stars = members.join(full, "sig").where("seq != src").select("src", F.col("seq").alias("dst"))
+    links = whole.where("l.lo != r.lo").select(F.least("l.lo", "r.lo").alias("src"), F.greatest("l.lo", "r.lo").alias("dst"))
+    full = whole.select(F.explode(F.array("l.lo", "r.lo")).alias("lo")).distinct()
+    stars = members.join(full, "lo").where("seq != lo").select(F.col("lo").alias("src"), F.col("seq").alias("dst"))
     halves = judged.where("fore != back").select(F.when(F.col("fore"), F.col("l")).otherwise(F.col("r")).alias("x"), F.when(F.col("fore"), F.col("r")).otherwise(F.col("l")).alias("y"))
-    after = members.join(halves.select(F.col("y.sig").alias("sig"), F.col("x.lo").alias("src")).distinct(), "sig").where("seq > src").select("src", F.col("seq").alias("dst"))
-    before = members.join(halves.select(F.col("x.sig").alias("sig"), F.col("y.hi").alias("dst")).distinct(), "sig").where("seq < dst").select(F.col("seq").alias("src"), "dst")
+    after = members.join(halves.select(F.col("y.lo").alias("lo"), F.col("x.lo").alias("src")).distinct(), "lo").where("seq > src").select("src", F.col("seq").alias("dst"))
+    before = members.join(halves.select(F.col("x.lo").alias("lo"), F.col("y.hi").alias("dst")).distinct(), "lo").where("seq < dst").select(F.col("seq").alias("src"), "dst")
     return links.unionByName(stars).unionByName(after).unionByName(before)
 
 
