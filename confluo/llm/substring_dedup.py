@@ -19,7 +19,8 @@ only a fifth of all positions is hashed and shuffled.
    to documents with larger ids.
 
 A passage that a third of the documents share is one key with partial
-aggregates; nothing collects or pairs the members of a group.
+aggregates, and joins against written tables of keys, whose other side can be
+split at such a key; nothing collects or pairs the members of a group.
 
 Defined cases: null and empty texts have no words; documents with fewer words
 than a window keep all; a null id neither gives nor takes (all words kept);
@@ -203,7 +204,8 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, digest: bool = False)
     known = base.where("doc_id is not null")
 
     sums = known.select("doc_id", "text").mapInArrow(K.lean(_summed_anchors(window)), "h long, lo long, hi long")
-    shared = sums.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("h")
+    # written, so that the join's large side is a shuffle of its own, which Spark can split at a frequent anchor
+    shared = scratch.table(sums.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("h"))
     placed = known.mapInArrow(K.lean(_placed_anchors(window)), "h long, doc_id long, t long, pos int")
     places = scratch.table(placed.join(shared, "h", "left_semi").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("places")))
 
@@ -215,7 +217,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, digest: bool = False)
 
     todo = sorted_out.where("todo is not null").select("doc_id", "t", "todo", "starts")
     found = todo.mapInArrow(K.lean(_windows(window)), "a long, b long, doc_id long, t long, pos int")
-    least = found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+    least = scratch.table(found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo"))
     hits = scratch.table(found.join(least, ["a", "b"]).where("doc_id > lo").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("hits")))
     cut = todo.drop("starts").join(hits, ["doc_id", "t"], "left").select("doc_id", "t", "todo", "hits").mapInArrow(K.lean(_cut(window, digest)), "doc_id long, t long, n_words long, n_removed long, kept string")
     ended = sorted_out.where("todo is null").select("doc_id", "t", "n_words", "n_removed", "kept")
