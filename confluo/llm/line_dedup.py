@@ -90,7 +90,8 @@ def dedup_lines(docs: DataFrame, *, window: int = 3, id_col: str = "doc_id", tex
     work = wrapped(docs, doc_id=F.col(id_col).cast("long"), text=text, t=F.xxhash64(text))
     found = work.where("doc_id is not null").select("doc_id", "t", "text").mapInArrow(K.lean(_windows(window)), "a long, b long, doc_id long, t long, pos long")
     place = F.struct("doc_id", "pos", "t")
-    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first")
+    # written, so that the join's large side is a shuffle of its own, which Spark can split at a frequent window
+    first = scratch.table(found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first"))
     later = found.join(first, ["a", "b"]).where(place > F.col("first"))
     hits = scratch.table(later.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("hits")))
     # A merge join at every size: the hits grow with the corpus, so no plan may rest on their being few.
