@@ -12,8 +12,9 @@
    of a corner and of its two nearest corners on the level, and the sector in
    which those lie, seen from the corner. Copies agree exactly in some word of
    many corner triples; unrelated images hardly ever do.
-4. Each bucket is first a star around its smallest class. A pair is a link if
-   enough corners match (mutually nearest, few tests differing) and agree in one
+4. Each bucket is first a star around its smallest class, and one around its
+   largest, as one picture may be poorer than others. A pair is a link if enough
+   corners match (mutually nearest, few tests differing) and agree in one
    similarity transform: rotation, scale and shift, fitted to all that agree.
 5. Buckets whose classes are in one component then are done. In others, cut into
    blocks of about ``BLOCK`` classes, those of different components are compared
@@ -361,7 +362,8 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between components within a bucket, or a pair of its blocks: a forest of them."""
     for part in K.runs(batches, ["b", "i", "j"]):
         c, comp, side = (part.column(k).to_numpy() for k in ("c", "component", "side"))
-        i, j, first = part.column("i")[0].as_py(), part.column("j")[0].as_py(), part.column("y")[0].as_py()
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        centre = (c == part.column("y")[0].as_py()) | (c == part.column("z")[0].as_py())
         b = part.column("b")[0].as_py()
         feats = [_unpacked(x) for x in part.column("feats").to_pylist()]
         keys = [table_keys(x) for x in feats]
@@ -376,7 +378,7 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = np.flatnonzero(side == j)
         for k in np.flatnonzero(side == i).tolist():
             for r in right.tolist():
-                if (i == j and r >= k) or first in (c[k], c[r]):  # the bucket's star has been tried
+                if (i == j and r >= k) or centre[k] or centre[r]:  # the bucket's stars have been tried
                     continue
                 p, q = root(int(comp[k])), root(int(comp[r]))
                 if p != q and np.intersect1d(keys[k], keys[r], assume_unique=True)[0] == b and linked(feats[k], feats[r]):
@@ -412,15 +414,16 @@ def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) ->
         return scratch.table(joined_components(labels, scratch.table(found), scratch, src="x", dst="y"))
 
     # written, so that the join's large side is a shuffle of its own, which Spark can split at a frequent key
-    shared = scratch.table(member.groupBy("b").agg(F.min("c").alias("y"), F.count("*").alias("k")).where("k > 1"))
+    shared = scratch.table(member.groupBy("b").agg(F.min("c").alias("y"), F.max("c").alias("z"), F.count("*").alias("k")).where("k > 1"))
     members = scratch.table(member.join(shared, "b"))
-    stars = scratch.table(members.where("c != y").select(F.col("c").alias("x"), "y").distinct())
+    pairs = members.select("c", F.explode(F.array("y", "z")).alias("y")).where("c != y")
+    stars = scratch.table(pairs.select(F.greatest("c", "y").alias("x"), F.least("c", "y").alias("y")).distinct())
     labels = joined(confirmed(stars))
     now = members.where("k > 2").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     mixed = now.groupBy("b").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("b")
     now = now.join(mixed, "b", "left_semi").withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int"))
     now = now.withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    now = now.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "y").join(feats, "c")
+    now = now.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "y", "z").join(feats, "c")
     labels = joined(now.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "c").mapInArrow(K.lean(_joining), "x long, y long"))
 
     group = classes.select("c", "class_id", (F.octet_length("feats") / _CORNER.itemsize).cast("int").alias("n_points")).join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
