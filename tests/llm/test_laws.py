@@ -16,10 +16,10 @@ from confluo.llm.packing import WordIds, best_two_fit
 from confluo.llm.queries import tokenizer_path
 
 
-@pytest.mark.parametrize(("good", "bad", "draws"), [(2, 78, 3), (5, 5, 4), (50, 3000, 100), (400, 1600, 1000), (3000, 500, 2900), (1200, 46800, 5000), (7, 0, 3)])
+@pytest.mark.parametrize(("good", "bad", "draws"), [(2, 78, 3), (5, 5, 4), (50, 3000, 100), (400, 1600, 1000), (3000, 500, 2900), (120, 4680, 1500), (7, 0, 3)])
 def test_large_draws_have_the_exact_law(good, bad, draws):
     """The branch for populations beyond numpy's, on populations whose probabilities can be added up."""
-    rng, n = np.random.default_rng(3), 8000
+    rng, n = np.random.default_rng(3), 4000
     lo, hi = max(0, draws - bad), min(good, draws)
     p = np.array([math.comb(good, x) * math.comb(bad, draws - x) / math.comb(good + bad, draws) for x in range(lo, hi + 1)])
     got = np.bincount([S._large_hypergeometric(rng, good, bad, draws) - lo for _ in range(n)], minlength=len(p))
