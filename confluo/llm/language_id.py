@@ -7,9 +7,9 @@ script in training. Viterbi with a penalty for each switch labels every word,
 so that a text of several languages falls into spans; the language with the
 most letters, each word of a mixed text taken once, is the document's.
 
-Viterbi is exact but mostly free: where no stretch of words gains more than half
-the penalty in any other language, the best path stays in one, which running
-sums over all words of a batch decide at once. Only texts that may switch are walked
+Viterbi is exact but mostly free: where no stretch of words gains more than the
+penalty in any other language, nor the first and the last together, the best
+path stays in one, which running sums over all words of a batch decide at once. Only texts that may switch are walked
 word by word.
 
 The model is trained on at most about ``max_train`` labelled documents, drawn by
@@ -139,12 +139,12 @@ def train(labelled: DataFrame, scratch: Scratch, *, max_train: int) -> Model | N
 
 
 def _may_switch(scores: np.ndarray, ptr: np.ndarray, best: np.ndarray, penalty: float) -> np.ndarray:
-    """Texts in which a stretch of words gains more than half the penalty in another language than the best.
+    """Texts whose best path may switch: no other's does.
 
-    A path without the best language has one switch less than stretches and
-    together they gain no more than the switches cost, unless one gains more
-    than half a penalty (two stretches, one switch); any other path with
-    switches needs a stretch that gains more than that.
+    Gains are against the best single language. A path that has it somewhere
+    leaves it for stretches that pay a penalty each at least, so one of them has
+    to gain more. A path without it pays one penalty less than it has stretches;
+    if none gains more than one, the first and the last together have to.
     """
     n = np.diff(ptr)
     owner = np.repeat(np.arange(len(n)), n)
@@ -154,6 +154,7 @@ def _may_switch(scores: np.ndarray, ptr: np.ndarray, best: np.ndarray, penalty:
     base = scores[np.arange(len(owner)), best[owner]]
     far = 1e7 * owner
     some = np.flatnonzero(n)
+    first, last = np.full(len(some), -np.inf), np.full(len(some), -np.inf)
     for k in range(scores.shape[1]):
         c = np.cumsum(scores[:, k].astype(np.float64) - base)
         before = c - (scores[:, k] - base)
@@ -161,7 +162,11 @@ def _may_switch(scores: np.ndarray, ptr: np.ndarray, best: np.ndarray, penalty:
         c -= np.repeat(start, n[some])
         before -= np.repeat(start, n[some])
         gain = c - (np.minimum.accumulate(before - far) + far)
-        out[some] |= np.maximum.reduceat(gain, ptr[some]) > penalty / 2
+        out[some] |= np.maximum.reduceat(gain, ptr[some]) > penalty
+        other = best[some] != k
+        np.maximum(first, np.maximum.reduceat(c, ptr[some]), out=first, where=other)
+        np.maximum(last, c[ptr[some] + n[some] - 1] - np.minimum.reduceat(before, ptr[some]), out=last, where=other)
+    out[some] |= first + last > penalty
     return out
 
 
