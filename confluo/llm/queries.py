@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from . import language_id, toxicity
 from .decontaminate import find_contamination
+from .exact_dedup import exact_duplicates
 from .html_extract import extract_pages
 from .line_dedup import dedup_lines
 from .media_copies import image_copies, picture
@@ -84,6 +85,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=5, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,9 +107,18 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op4_media_copies": op4_media_copies,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_exact_dedup": r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY t)
+""",
     "op2_line_dedup": """
 WITH lines AS (
   SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS l FROM documents
