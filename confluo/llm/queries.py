@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import language_id, toxicity
+from .alignment import align_tokens
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_pages
@@ -85,6 +86,13 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=5, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokens(_documents(spark, sf_dir), a, b, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
@@ -107,6 +115,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op4_media_copies": op4_media_copies,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
