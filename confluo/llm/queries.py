@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from . import language_id, toxicity
 from .alignment import align_tokens
+from .centroids import cluster
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_pages
@@ -93,6 +94,45 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align_tokens(_documents(spark, sf_dir), a, b, digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dims=64, scale=64)
+
+
+def _clustering_sql(k: int, rounds: int, dims: int, scale: int) -> str:
+    parts = [f"""
+v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY h))::INT - 1 AS cluster, v AS c FROM (
+    SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT {k})
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS (
+  SELECT rid, (min({{'d': d, 'k': cluster}}))['d'] AS distance, (min({{'d': d, 'k': cluster}}))['k'] AS cluster
+  FROM (SELECT rid, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r})
+  GROUP BY rid
+)""")
+        if r < rounds:
+            parts.append(f"""
+s{r} AS (
+  SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT cluster, unnest(v) AS x, unnest(range({dims})) AS i FROM v JOIN a{r} USING (rid)) GROUP BY cluster, i
+), m{r} AS (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY cluster
+), c{r + 1} AS (
+  SELECT c{r}.cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster)
+)""")
+    return f"""
+WITH {','.join(parts)}
+SELECT vec_id, a.cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (rid) JOIN c{rounds} c ON a.cluster = c.cluster
+"""
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
@@ -116,10 +156,12 @@ QUERIES = {
     "op4_media_copies": op4_media_copies,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_centroid_clustering": _clustering_sql(16, 3, 64, 64),
     "op13_exact_dedup": r"""
 WITH texts AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
