@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import fixed, pyround, sorted_ignoring_case, strip
 from ..plans.scratch import Scratch
+from .order import numbered
 from .resolve import pairwise_signals
 
 # --- Fixed values: they decide results and are stated as the specification has them. ---
@@ -159,12 +160,8 @@ def profiles(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def positions(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds ``position``, the place (from 0) in the output order: ranks within ranges of the order, and the sizes of those before."""
-    placed = scratch.table(in_order(df).withColumn("__range", F.spark_partition_id()))
-    sizes = placed.groupBy("__range").agg(F.count("*").alias("n"))  # a row per range
-    starts = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*map(F.expr, _ORDER))) - 1
-    return placed.withColumn("__rank", rank).join(starts, "__range").withColumn("position", F.col("at") + F.col("__rank")).drop("__range", "__rank", "at")
+    """Adds ``position``, the place (from 0) in the output order."""
+    return numbered(df, list(map(F.expr, _ORDER)), "position", scratch)
 
 
 def in_order(df: DataFrame) -> DataFrame:

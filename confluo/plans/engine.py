@@ -13,7 +13,7 @@ from ..operators.evaluate import run_metrics
 from ..operators.merge import in_order, profiles
 from ..operators.project import Config, project
 from ..operators.resolve import resolve
-from ..sources.files import KINDS, load_config, parse_many
+from ..sources.files import KIND_SPAN, KINDS, load_config, parse_many
 from .scratch import Scratch
 
 
@@ -27,7 +27,7 @@ class Engine:
         """All records; ``seq`` numbers them in the order of sources, files and rows."""
         out = None
         for k, (kind, paths) in enumerate(zip(KINDS, (csv, ats, resume, notes), strict=True)):
-            part = parse_many(self.spark, paths, kind, k << 16)
+            part = parse_many(self.spark, paths, kind, k * KIND_SPAN)
             out = part if out is None else out.unionByName(part)
         return out
 

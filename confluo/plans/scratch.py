@@ -55,10 +55,11 @@ class Scratch:
         self.spark = ready(spark)
         self.path = f"{checkpoint_dir(spark)}/confluo-{uuid.uuid4().hex}"
         self.count = 0
-        path, files = self._files(self.path)
+        path, files = self.place(self.path)
         files.deleteOnExit(path)
 
-    def _files(self, at: str):
+    def place(self, at: str):
+        """A path and the store that it is in."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -76,7 +77,7 @@ class Scratch:
 
     def discard(self, table: DataFrame) -> None:
         """Deletes a table that nothing will read any more."""
-        path, files = self._files(table.scratch_path)
+        path, files = self.place(table.scratch_path)
         files.delete(path, True)
 
     def release(self) -> None:
@@ -89,11 +90,11 @@ class Scratch:
         before = range(1, self.count + 1)
         out = self.table(df)
         for k in before:
-            path, files = self._files(f"{self.path}/t{k}")
+            path, files = self.place(f"{self.path}/t{k}")
             files.delete(path, True)
         return out
 
     def drop(self) -> None:
         """Deletes everything."""
-        path, files = self._files(self.path)
+        path, files = self.place(self.path)
         files.delete(path, True)

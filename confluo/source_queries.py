@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +14,16 @@ from .operators.project import Config, project
 from .plans.engine import write_json_lines
 from .plans.people import people
 from .plans.scratch import Scratch
-from .queries import _NICK, _OVERALL, _PARTS, _TITLED, _WIDE, PEOPLE, _pattern, _profiles, _quoted, _sql_sorted, _table, query
+from .queries import _NICK, _OVERALL, _PARTS, _TITLED, _WIDE, PEOPLE, _pattern, _profiles, _quoted, _sql_detect, _sql_sorted, _table, query
 from .sources import files
 
 # --- Files --------------------------------------------------------------------------------------------------------
 
+def _write_csv(df: DataFrame, path: str) -> None:
+    """A table in CSV files in the order of the rows, each with a header."""
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 _CSV_NAMES = {"full_name": "Candidate_Name", "email": "mail", "phone": "Cell", "country": "location", "skills": "Technologies", "experience_yrs": "experience"}
 
 
@@ -36,47 +44,95 @@ def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "experience_yrs": F.concat(F.lit('about "'), F.col("experience_yrs").cast("int").cast("string"), F.lit('", roughly')),
     }
     path = f"{scratch.path}/people.csv"
-    rows.orderBy("seq").select(*[c.alias(_CSV_NAMES[k]) for k, c in loose.items()]).coalesce(1).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(path)
-    got = files.parse_csv(spark, path)
+    _write_csv(rows.orderBy("seq").select(*[c.alias(_CSV_NAMES[k]) for k, c in loose.items()]), path)
+    got = files.parse_csv(spark, path, 0, scratch)
     return got.select("seq", "source_tag", "priority", "full_name", "email", "phone", "country", F.array_join("skills", "|").alias("skills"), "experience_yrs")
 
 
 @query(
-    f"WITH {PEOPLE}, ats AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM people WHERE source_type = 'ATS') "
-    f"SELECT 2 * n - 1 AS seq, 'ATS:people.json#' || 2 * n AS source_tag, full_name, email, country, {_sql_sorted('skills')} AS skills, experience_yrs FROM ats"
+    "WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) "
+    "SELECT n - 1 AS seq, 'orders.csv#row' || n AS source_id, CASE WHEN o_orderkey % 3 = 0 THEN 'No Pri\"ority' WHEN o_orderkey % 3 = 1 THEN 'Pay, Later' END AS full_name, 'o' || o_orderkey || '@x.org' AS email, "
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'Data Science|Python|SQL' ELSE 'PyTorch' END AS skills, (o_orderkey % 20)::DOUBLE AS experience_yrs FROM n"
 )
+def csv_line_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per order, with quotes, commas and line feeds inside quotes, from CSV files that are read in ranges."""
+    scratch = Scratch(spark)
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").orderBy(k).select(
+        F.when(k % 2 == 0, 'data science\n"python",\r\nsql\n').otherwise("\npytorch").alias("Skill"),
+        F.when(k % 3 == 0, 'no pri"ority').when(k % 3 == 1, "pay,\nlater").alias(" NAME"),
+        F.concat(F.lit("o"), k, F.lit("@X.org")).alias("mail"),
+        F.concat(k % 20, F.lit(" years\n,")).alias("Experience"),
+    )
+    _write_csv(rows, path := f"{scratch.path}/orders.csv")
+    got = files.parse_csv(spark, path, 0, scratch)
+    return got.select("seq", "source_id", "full_name", "email", F.array_join("skills", "|").alias("skills"), "experience_yrs")
+
+
+_JSON_FILES = 8
+
+
+@query(f"WITH {PEOPLE} SELECT 1 AS odd, full_name, email, country, {_sql_sorted('skills')} AS skills, experience_yrs FROM people WHERE source_type = 'ATS'")
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suppliers' records as objects of a JSON file, an item that is none before each, parsed from it."""
+    """The suppliers' records as objects of lists in JSON files, an item that is none before each, parsed from them."""
     scratch = Scratch(spark)
     rows = people(spark, sf_dir).where("source_type = 'ATS'")
     text = F.to_json(F.struct(F.lit("").alias("name"), F.upper("full_name").alias("Candidate"), F.col("email").alias("email_address"), F.struct("country").getField("country").alias("country_code"), F.col("skills").alias("skill_set"), F.col("experience_yrs").alias("years_experience")))
-    lines = rows.select("seq", text.alias("line")).orderBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: F.concat(F.lit("17,"), x["line"])), ",").alias("all"))
-    path = f"{scratch.path}/people.json"
-    lines.select(F.concat(F.lit('{"other": 1, "profiles": ['), "all", F.lit("]}"))).coalesce(1).write.text(path)
-    got = files.parse_ats(spark, path)
-    return got.select("seq", "source_tag", "full_name", "email", "country", F.array_join("skills", "|").alias("skills"), "experience_yrs")
+
+    def in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            lines = [f"{'' if first and k == 0 else ','}17,{x}" for k, x in enumerate(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_pydict({"value": (['{"other": {"data": [1]}, "profiles": ['] if first else []) + lines})
+            first = False
+        if not first:
+            yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+
+    path = f"{scratch.path}/people"
+    rows.repartition(_JSON_FILES, "seq").select(text.alias("value")).mapInArrow(in_lists, "value string").write.text(path)
+    got = files.parse_ats(spark, path, 0, scratch)
+    return got.select((F.col("seq") % 2).cast("int").alias("odd"), "full_name", "email", "country", F.array_join("skills", "|").alias("skills"), "experience_yrs")
 
 
 _TOWN = ["Germany", "India", "France", "Singapore", "Canada"]
 
 
+_NOTE = "'Candidate goes by ' || r_name || '.' || chr(10) || 'Mail ' || replace(r_name, ' ', '') || '@EXAMPLE.org or (212) 555-010' || r_regionkey || chr(13) || chr(10) || 'DOB: March ' || (r_regionkey + 1) || ', 1980.' || chr(10) || 'Skills: sql / python' || chr(10) || 'Located in ' || {town} || chr(10) || (r_regionkey + 2) || '.5 years of experience' || chr(10)"
+
+
 @query(
-    f"SELECT (r_regionkey::BIGINT + 65536 * 3) * {1 << 40} AS seq, 'Notes' AS source_type, 'Notes:note' || r_regionkey || '.txt' AS source_tag, 40 AS priority, upper(r_name[1]) || lower(r_name[2:]) AS full_name, lower(replace(r_name, ' ', '')) || '@example.org' AS email, "
-    f"'+1212555010' || r_regionkey AS phone, list_extract({['DE', 'IN', 'FR', 'SG', 'CA']}, r_regionkey + 1) AS country, 'Python|SQL' AS skills, '1980-03-0' || (r_regionkey + 1) AS date_of_birth, (r_regionkey + 2.5)::DOUBLE AS experience_yrs FROM region WHERE r_name NOT LIKE '% %'"
+    f"SELECT r_regionkey::BIGINT + {3 * files.KIND_SPAN} AS seq, 'Notes' AS source_type, 'Notes:note' || r_regionkey || '.txt' AS source_tag, 40 AS priority, upper(r_name[1]) || lower(r_name[2:]) AS full_name, lower(replace(r_name, ' ', '')) || '@example.org' AS email, "
+    f"'+1212555010' || r_regionkey AS phone, {_sql_detect(_NOTE.format(town=f'list_extract({_TOWN}, r_regionkey + 1)'))} AS country, 'Python|SQL' AS skills, '1980-03-0' || (r_regionkey + 1) AS date_of_birth, (r_regionkey + 2.5)::DOUBLE AS experience_yrs FROM region WHERE r_name NOT LIKE '% %'"
 )
 def note_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note per region of one word, written as files and parsed in their order; a file that is missing and a blank one give nothing."""
     scratch = Scratch(spark)
-    regions = _table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()  # five rows
-    paths = []
-    for r in regions:
-        text = f"Candidate goes by {r.r_name}.\nMail {r.r_name.replace(' ', '')}@EXAMPLE.org or (212) 555-010{r.r_regionkey}\r\nDOB: March {r.r_regionkey + 1}, 1980.\nSkills: sql / python\nLocated in {_TOWN[r.r_regionkey]}\n{r.r_regionkey}.5+ years of experience; {r.r_regionkey + 2}.5 years of experience\n".replace(f"{r.r_regionkey}.5+ years of experience; ", "")
-        paths.append(f"{scratch.path}/note{r.r_regionkey}.txt")
-        spark.createDataFrame([(text if " " not in r.r_name else " \n\t",)], "value string").coalesce(1).write.text(paths[-1])
-    got = files.parse_many(spark, [*paths, f"{scratch.path}/none.txt"], "notes", 3 << 16)
+    note = F.expr(_NOTE.format(town=f"element_at(array({_quoted(_TOWN)}), CAST(r_regionkey AS INT) + 1)"))
+    regions = _table(spark, sf_dir, "region").select("r_regionkey", F.when(F.col("r_name").contains(" "), F.lit(" \n\t")).otherwise(note).alias("note")).orderBy("r_regionkey").collect()  # five rows
+    paths = [f"{scratch.path}/note{r.r_regionkey}.txt" for r in regions]
+    for path, r in zip(paths, regions, strict=True):
+        at, store = scratch.place(path)
+        out = store.create(at)
+        out.write(bytearray(r.note.encode()))
+        out.close()
+    got = files.parse_many(spark, [*paths, f"{scratch.path}/none.txt"], "notes", 3 * files.KIND_SPAN, scratch)
     return got.select("seq", "source_type", "source_tag", "priority", "full_name", "email", "phone", "country", F.array_join("skills", "|").alias("skills"), "date_of_birth", "experience_yrs")
 
 
+_TURN = "'Mail c' || conv_id || 't' || turn || '@EXAMPLE.org' || chr(10) || 'Skills: sql' || chr(10) || text"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS place, 'c' || conv_id || 't' || turn || '@example.org' AS email, {_sql_detect(_TURN)} AS country FROM conversations")
+def note_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of the conversations as a file of its own, all below one folder, read by one scan in the order of their paths."""
+    scratch = Scratch(spark)
+    name = F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit("-"), F.lpad(F.col("turn").cast("string"), 9, "0"))
+    path = f"{scratch.path}/turns"
+    _table(spark, sf_dir, "conversations").select(name.alias("at"), F.expr(_TURN).alias("value")).write.partitionBy("at").text(path)
+    got = files.parse_many(spark, path, "notes", 3 * files.KIND_SPAN, scratch)
+    return got.select((F.col("seq") - 3 * files.KIND_SPAN).alias("place"), "email", "country")
+
+
 @query("SELECT event_id, nullif(json_extract_string(props, '$.k'), '') AS picked FROM events")
 def pick_alias_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An empty value under the first alias, the wanted one under a later alias in another spelling."""
