@@ -12,15 +12,15 @@ has, the whole sequence as one). Two documents are linked where
    smallest. The packed bits give an estimate of the similarity, corrected for
    chance collisions; what lies six standard deviations below the limit goes.
    The rest is confirmed on the full sets from the texts.
-4. Buckets whose classes are in one component by then are done. In others of up
-   to ``BLOCK`` classes, those of different components are compared within a
-   task: by packed bits first, and what may be linked by full sets, unless it has
-   been joined meanwhile. A pair that meets in several buckets is looked at in
-   one. Only the links found leave the task, a forest of them, so no link between
-   components is lost and no pair is ever a row.
-5. Larger buckets are refined by every further band of their classes and go
-   through the same steps, as similar documents agree in many bands; what is
-   large even then is compared in blocks of a bounded size.
+4. Buckets whose classes are in one component by then are done. In others, those
+   of different components are compared within a task: by packed bits first, and what
+   may be linked by full sets, unless it has been joined meanwhile. A pair that meets in
+   several buckets is looked at in one. Only the links found leave the task, a forest
+   of them, so no link between components is lost and no pair is ever a row.
+5. A bucket of more than ``BLOCK`` classes is cut into blocks, and each pair of blocks is a
+   task's work. Its largest component, within which nothing is left to find, has blocks of its own, which
+   meet only those of the others: a bucket that the star has mostly joined costs its size
+   and, for the few others, a copy per block.
 
 With 32 bands of five rows a pair of similarity 0.85 meets in no bucket with a
 probability of 1e-8, one of 0.8 with 3e-6.
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import joined_components
+from ..operators.components import connected_components, joined_components
 from ..plans.scratch import Scratch
 from . import kernel as K
 
@@ -50,8 +50,6 @@ SIZE = BANDS * ROWS
 #: Classes, and shingles of all of them, in a block at most (a larger document is a block of its own).
 BLOCK = 1024
 BLOCK_SHINGLES = 1_500_000
-#: Buckets of more than BLOCK classes are refined by a further band (once less than this) before they are cut into blocks.
-ROUNDS = 2
 _U = K.U64
 _A = K.mix(np.arange(1, SIZE + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
 _B = K.mix(np.arange(1, SIZE + 1, dtype=_U) * _U(0xA0761D6478BD642F))
@@ -157,11 +155,10 @@ def _confirmed(width: int, percent: int):
     return run
 
 
-def _pairs(part: pa.Table, percent: int, least: float, refined: bool) -> Iterator[tuple[int, np.ndarray]]:
+def _pairs(part: pa.Table, percent: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """Each class of a pair of blocks with its likely partners in other components, best first.
 
-    A pair that meets in several buckets counts in the first of their bands only,
-    unless the bucket is a refined one.
+    A pair that meets in several buckets counts in the first of their bands only.
     """
     b = part.column("b")[0].as_py()
     c, comp, n, side, i, j = (part.column(k).to_numpy() for k in ("c", "component", "n", "side", "i", "j"))
@@ -180,21 +177,20 @@ def _pairs(part: pa.Table, percent: int, least: float, refined: bool) -> Iterato
         r, e = r[e >= least], e[e >= least]
         if not len(r):
             continue
-        if not refined:
-            first = bands[k][(bands[r] == bands[k]).argmax(1)] == b
-            r, e = r[first], e[first]
+        first = bands[k][(bands[r] == bands[k]).argmax(1)] == b
+        r, e = r[first], e[first]
         if len(r):
             yield k, r[np.argsort(-e, kind="stable")]
 
 
-def _open(percent: int, refined: bool):
+def _open(percent: int):
     """The classes that have a likely partner in another component, per pair of blocks."""
     least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.runs(batches, ["b", "i", "j"]):
             wanted = np.zeros(part.num_rows, bool)
-            for k, r in _pairs(part, percent, least, refined):
+            for k, r in _pairs(part, percent, least):
                 wanted[k] = True
                 wanted[r] = True
             if wanted.any():
@@ -203,7 +199,7 @@ def _open(percent: int, refined: bool):
     return run
 
 
-def _linking(width: int, percent: int, refined: bool):
+def _linking(width: int, percent: int):
     """Links between components within a pair of blocks, confirmed on full sets; a spanning forest of them."""
     least = least_estimate(percent)
 
@@ -226,7 +222,7 @@ def _linking(width: int, percent: int, refined: bool):
                 return sets[k]
 
             xs, ys = [], []
-            for k, partners in _pairs(part, percent, least, refined):
+            for k, partners in _pairs(part, percent, least):
                 a = full(k)
                 for r in partners.tolist():
                     p, q = root(comp[k]), root(comp[r])
@@ -285,41 +281,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         two = one.join(texts.select(F.col("c").alias("y"), F.col("text").alias("ty")), "y")
         return two.select("x", "y", "tx", "ty").mapInArrow(K.lean(_confirmed(width, percent)), "x long, y long")
 
-    links = scratch.table(classes.limit(0).select(F.col("c").alias("x"), F.col("c").alias("y")))
-    tried, labels = links, links.select(F.col("x").alias("node"), F.col("y").alias("component"))
-
-    def joined(found: DataFrame) -> DataFrame:
-        return scratch.table(joined_components(labels, scratch.table(found), scratch, src="x", dst="y"))
-
-    for k in range(ROUNDS):
-        if k:
-            members = scratch.table(_shared(member, scratch))
-        stars = members.where("c != y").select(F.col("c").alias("x"), "y").distinct()
-        stars = scratch.table(stars.join(tried, ["x", "y"], "left_anti") if k else stars)
-        tried = tried.unionByName(stars)
-        likely = scratch.table(_with_bits(stars, sigs, percent).mapInArrow(K.lean(_likely(percent)), "x long, y long"))
-        labels = joined(confirmed(likely))
-
-        named = members.where("k > 2").select("b", "c", "k").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        named = named.join(classes.select("c", "n"), "c")
-        share = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
-        mixed = named.groupBy("b").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.ceil(share).cast("int").alias("nb")).where("p != q").select("b", "nb")
-        named = scratch.table(named.join(mixed, "b"))
-        large = named.where(F.col("k") > BLOCK)
-        last = k == ROUNDS - 1 or large.isEmpty()
-        done = named if last else named.where(F.col("k") <= BLOCK)
-        blocks = done.withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        blocks = blocks.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "n").join(classes.select("c", "sig", "bands"), "c")
-        fields = ["b", "i", "j", "side", "c", "component", "n", "sig", "bands"]
-        opened = blocks.select(*fields).repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(K.lean(_open(percent, k > 0)), "b long, i int, j int, side int, c long, component long, n long, sig binary, bands array<long>")
-        opened = scratch.table(opened)
-        met = opened.join(texts, "c").select(*fields, "text").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
-        labels = joined(met.mapInArrow(K.lean(_linking(width, percent, k > 0)), "x long, y long"))
-        if last:
-            break
-        # a pair of the limit's similarity agrees in 14 bands in the mean: in one only with 1e-8
-        further = large.select("b", "c").join(classes.select("c", "bands"), "c").withColumn("other", F.explode("bands"))
-        member = further.where("b != other").select(F.xxhash64(F.least("b", "other"), F.greatest("b", "other")).alias("b"), "c").distinct()
+    stars = scratch.table(members.where("c != y").select(F.col("c").alias("x"), "y").distinct())
+    likely = scratch.table(_with_bits(stars, sigs, percent).mapInArrow(K.lean(_likely(percent)), "x long, y long"))
+    labels = scratch.table(connected_components(scratch.table(confirmed(likely)), scratch, src="x", dst="y"))
+    met = _blocks(members, labels, classes, scratch).join(classes.select("c", "sig", "bands"), "c")
+    fields = ["b", "i", "j", "side", "c", "component", "n", "sig", "bands"]
+    opened = met.select(*fields).repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(K.lean(_open(percent)), "b long, i int, j int, side int, c long, component long, n long, sig binary, bands array<long>")
+    opened = scratch.table(opened)
+    met = opened.join(texts, "c").select(*fields, "text").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
+    links = scratch.table(met.mapInArrow(K.lean(_linking(width, percent)), "x long, y long"))
+    labels = scratch.table(joined_components(labels, links, scratch, src="x", dst="y"))
 
     group = classes.select("c", "class_id", "lead").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = group.groupBy("component").agg(F.min("class_id").alias("component_id"), F.min("lead").alias("lead"))
@@ -333,6 +304,26 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "t")
 
 
+def _blocks(members: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of buckets of several components, per pair of blocks (``i <= j``) that they take part in."""
+    sized = classes.select("c", "n").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = scratch.table(members.where("k > 2").select("b", "c", "k").join(sized, "c"))
+    of = named.groupBy("b", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    share = lambda m, s: F.ceil(F.greatest(m / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    parts = of.groupBy("b").agg(F.max(F.struct("m", "s", "component")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("parts")).where("parts > 1")
+    own, others = share(F.col("top.m"), F.col("top.s")), share(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"))
+    # a bucket that is one block as a whole isn't cut
+    one = share(F.col("m"), F.col("s")) <= 1
+    parts = parts.select("b", F.col("top.component").alias("major"), F.when(one, 0).otherwise(own).alias("own"), F.when(one, 1).otherwise(others).alias("others"))
+    mixed = named.join(parts, "b")
+    # blocks of the largest component come first; they don't meet each other
+    major = (F.col("component") == F.col("major")) & (F.col("own") > 0)
+    side = F.when(major, F.pmod(F.xxhash64("c"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("c"), F.col("others"))).cast("int")
+    meets = F.sequence(F.when(major, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("others") - 1)
+    met = mixed.withColumn("side", side).withColumn("other", F.explode(meets))
+    return met.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "n")
+
+
 def _shared(member: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets of several classes, with the bucket's smallest class and size.
 

@@ -135,7 +135,7 @@ def test_benchmark_blocks_are_bounded(spark, monkeypatch):
     assert list(D._blocks(items.limit(0), "item_id", "text")) == [([], [])]
 
 
-def test_large_buckets_are_refined(spark, make, monkeypatch):
+def test_large_buckets_in_blocks(spark, make, monkeypatch):
     """Near copies around many centres, with buckets of more classes than a block."""
     rng = random.Random(6)
     base = ["w%d" % rng.randrange(10**6) for _ in range(120)]
@@ -147,7 +147,7 @@ def test_large_buckets_are_refined(spark, make, monkeypatch):
         rows.append((k, " ".join(words)))
     plain = {r.doc_id: r.component_id for r in H.near_duplicates(make(rows), percent=85).collect()}
     monkeypatch.setattr(H, "BLOCK", 4)
-    refined = {r.doc_id: r.component_id for r in H.near_duplicates(make(rows), percent=85).collect()}
+    in_blocks = {r.doc_id: r.component_id for r in H.near_duplicates(make(rows), percent=85).collect()}
     sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t in rows]
     top = list(range(60))
     for a in range(60):
@@ -155,7 +155,7 @@ def test_large_buckets_are_refined(spark, make, monkeypatch):
             if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((top[a], top[b]))
                 top = [x if t == y else t for t in top]
-    assert plain == refined == dict(enumerate(top)) and len(set(top)) > 2
+    assert plain == in_blocks == dict(enumerate(top)) and len(set(top)) > 2
 
 
 def test_runs_across_batches():
