@@ -129,32 +129,70 @@ def signed(rows: DataFrame) -> DataFrame:
     return known.withColumn("sig", F.sha2(F.to_json(F.struct(*SIGNATURE), {"ignoreNullFields": "false"}), 256))
 
 
-def _name_pairs(sigs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Ordered pairs (``na``, ``nb``) of name lists that share a formal first name, with the similarity of each order."""
-    names = scratch.table(sigs.groupBy("nid").agg(F.first("names").alias("names")))
-    blocks = names.select("nid", "names", F.explode(F.filter(name_blocks(F.col("names")), lambda b: b.startswith("first:"))).alias("block"))
-    other = blocks.select("block", F.col("nid").alias("nb"), F.col("names").alias("b"))
-    once = blocks.withColumnsRenamed({"nid": "na", "names": "a"}).join(other, "block").where("na <= nb").select("na", "nb", "a", "b").distinct()
-    once = scratch.table(once.select("na", "nb", name_similarity(F.col("a"), F.col("b")).alias("ab"), name_similarity(F.col("b"), F.col("a")).alias("ba")))
-    return once.unionByName(once.where("na != nb").select(F.col("nb").alias("na"), F.col("na").alias("nb"), F.col("ba").alias("ab"), F.col("ab").alias("ba")))
+#: Most skills of a signature that is linked by one of them: two such and a common one are worth at least 1/49.
+FEW_SKILLS = 25
 
 
-def _signature_pairs(sigs: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs (l, r) of signatures of one formal first name that may match, each once; a signature with itself included.
+def _certain_edges(sigs: DataFrame) -> DataFrame:
+    """Links between signatures that match whatever their names are, as stars.
+
+    A common formal first name and last initial make the names worth at least
+    ``BOTH_PARTS``, so the other signals have to weigh 5.53. They do for two that have
+    no kind of key in common (4.5), one of: the same country (1) and years
+    of experience that differ by less than a factor of two (0.5); no country
+    and the same years (0.5 and 1); neither and a common skill (0.5 twice and 1.5/49).
+    """
+    years, country = F.col("experience_yrs"), F.nullif("country", F.lit(""))
+    alike = F.when(years.isNull(), "none").when(years < 0, years.cast("string")).when(years < 1, F.floor(years * 2).cast("string")).otherwise(F.concat(F.lit("^"), F.floor(F.log2(years)).cast("string")))
+    skilled = F.coalesce("skills", F.array().cast("array<string>"))
+    by_skill = F.when(F.size(skilled) == 0, F.array(F.lit("s:"))).when(F.size(skilled) <= FEW_SKILLS, F.transform(F.array_distinct(skilled), lambda x: F.concat(F.lit("s:"), x)))
+    keys = F.when(country.isNotNull(), F.array(F.concat(F.lit("c:"), country, F.lit(":"), alike))).when(years.isNotNull(), F.array(F.concat(F.lit("y:"), years.cast("string")))).otherwise(by_skill)
+    full = F.filter(name_blocks(F.col("names")), lambda b: b.startswith("full:"))
+    rows = sigs.select("lo", "has_email", "has_phone", F.explode(full).alias("block"), keys.alias("keys")).select("lo", "has_email", "has_phone", "block", F.explode("keys").alias("key"))
+    email, phone = F.col("has_email"), F.col("has_phone")
+    hubs = rows.groupBy("block", "key").agg(F.min(F.when(~email & ~phone, F.col("lo"))).alias("neither"), F.min(F.when(email & ~phone, F.col("lo"))).alias("mailed"), F.min(F.when(~email & phone, F.col("lo"))).alias("called"))
+    hub = F.coalesce("neither", F.when(email & ~phone, F.col("called")).when(~email & phone, F.col("mailed")))
+    met = rows.join(hubs, ["block", "key"]).select(hub.alias("a"), F.col("lo").alias("b")).where("a is not null and a != b")
+    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def _part_pairs(parts: DataFrame) -> DataFrame:
+    """Pairs (``p``, ``q``) within a block of what signatures are but for their names, that may match, with their known signals.
 
     With both keys known and different the others can't make up for it. With
     one of them different, less than 0.63 of the other signals' 3.5 may be
     missing, so a known country has to be equal and is part of the join's key.
     """
-    side = F.struct("lo", "hi", "n", "has_email", "has_phone", "country", "experience_yrs", "skills")
-    left = sigs.select(F.col("nid").alias("na"), "country", side.alias("l")).join(names, "na").drop("na")
-    right = sigs.select(F.col("nid").alias("nb"), "country", side.alias("r"))
+    side = F.struct("pid", "has_email", "has_phone", "country", "experience_yrs", "skills")
+    left, right = parts.select("block", "country", side.alias("l")), parts.select("block", "country", side.alias("r"))
     differ = (F.col("l.has_email") & F.col("r.has_email")).cast("int") + (F.col("l.has_phone") & F.col("r.has_phone")).cast("int")
-    once = F.col("l.lo") <= F.col("r.lo")
-    open_ = left.drop("country").join(right.drop("country"), "nb").where(once & (differ == 0))
-    same = left.join(right, ["nb", "country"]).where(once & (differ == 1))
-    none = left.drop("country").join(right.where("country is null").drop("country"), "nb").where((differ == 1) & (F.col("l.country").isNotNull() | once))
-    return open_.unionByName(same.select(*open_.columns)).unionByName(none)
+    once = F.col("l.pid") <= F.col("r.pid")
+    open_ = left.drop("country").join(right.drop("country"), "block").where(once & (differ == 0))
+    same = left.join(right, ["block", "country"]).where(once & (differ == 1))
+    none = left.drop("country").join(right.where("country is null").drop("country"), "block").where((differ == 1) & (F.col("l.country").isNotNull() | once))
+    pairs = open_.unionByName(same.select(*open_.columns)).unionByName(none)
+    known = {k: F.coalesce(v, F.lit(UNKNOWN)) for k, v in signals_of_others().items()}
+    weight = sum((known[k] * WEIGHTS[k] for k in known), F.lit(0.0))
+    return pairs.where(weight >= LEAST_WITHOUT_NAME).select("block", F.col("l.pid").alias("p"), F.col("r.pid").alias("q"), F.struct(*[v.alias(k) for k, v in known.items()]).alias("known"))
+
+
+def _judged(pairs: DataFrame, names: DataFrame, scratch: Scratch) -> DataFrame:
+    """Which pairs (``l``, ``r``, ``known``) of signatures match if a record of the left comes first (``fore``), or one of the right (``back``); those that do in some order."""
+    once = scratch.table(pairs.groupBy("l", "r").agg(F.first("known").alias("known")))
+    wanted = once.select(F.col("l.nid").alias("na"), F.col("r.nid").alias("nb")).distinct()
+    named = wanted.join(names.select(F.col("nid").alias("na"), F.col("names").alias("a")), "na").join(names.select(F.col("nid").alias("nb"), F.col("names").alias("b")), "nb")
+    named = scratch.table(named.select("na", "nb", name_similarity(F.col("a"), F.col("b")).alias("ab"), name_similarity(F.col("b"), F.col("a")).alias("ba")))
+    met = once.withColumn("na", F.col("l.nid")).withColumn("nb", F.col("r.nid")).join(named, ["na", "nb"])
+
+    def matches(name: str) -> Column:
+        return match_probability({k: F.col(f"known.{k}") for k in WEIGHTS if k != "name"} | {"name": F.col(name)}) >= MATCH
+
+    return scratch.table(met.select("l", "r", matches("ab").alias("fore"), matches("ba").alias("back")).where("fore or back"))
+
+
+def _links(judged: DataFrame) -> DataFrame:
+    """Signatures of which every record matches every record of the other."""
+    return judged.where("fore and back").select(F.least("l.lo", "r.lo").alias("src"), F.greatest("l.lo", "r.lo").alias("dst"))
 
 
 def matched_edges(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -166,28 +204,57 @@ def matched_edges(rows: DataFrame, scratch: Scratch) -> DataFrame:
     match all records of both hang together. Where one order does, the first
     record of the one side is linked to all later ones of the other, and the
     last of the other to all earlier ones of the first. A signature goes by its
-    first record, a list of names by the first that has it.
+    first record, a list of names by the first that has it, and so does what is left of a signature without its names.
+
+    Only what is joined counts, so pairs are judged in an order that leaves few:
+    first those whose names need no look (``_certain_edges``), then, for each pair of
+    parts that may match, the first signature of either against all of the other.
+    After that, only pairs of signatures that don't hang together yet.
     """
     hashed = scratch.table(signed(rows).select("seq", "sig", *SIGNATURE))
     sigs = hashed.groupBy("sig", *SIGNATURE).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n"))
-    first = sigs.groupBy("names").agg(F.min("lo").alias("nid"))
-    sigs = scratch.table(sigs.join(first, "names"))
+    sigs = sigs.withColumn("part", F.sha2(F.to_json(F.struct(*SIGNATURE[1:]), {"ignoreNullFields": "false"}), 256))
+    named = sigs.groupBy("names").agg(F.min("lo").alias("nid"))
+    parted = sigs.groupBy("part").agg(F.min("lo").alias("pid"))
+    sigs = scratch.table(sigs.join(named, "names").join(parted, "part").drop("part"))
     members = scratch.table(hashed.select("seq", "sig").join(sigs.select("sig", "lo"), "sig").select("seq", "lo"))
-    known = {k: F.coalesce(v, F.lit(UNKNOWN)) for k, v in signals_of_others().items()}
-    without_name = sum((known[k] * WEIGHTS[k] for k in known), F.lit(0.0))
-    pairs = _signature_pairs(sigs, _name_pairs(sigs, scratch)).where(without_name >= LEAST_WITHOUT_NAME)
-
-    def matches(name: str) -> Column:
-        return match_probability(known | {"name": F.col(name)}) >= MATCH
-
-    def end(side: str) -> Column:
-        return F.struct(f"{side}.lo", f"{side}.hi", f"{side}.n").alias(side)
-
-    judged = pairs.select(end("l"), end("r"), matches("ab").alias("fore"), matches("ba").alias("back")).where("fore or back").where("l.lo != r.lo or l.n > 1")
-    judged = scratch.table(judged.distinct())
-    whole = judged.where("fore and back")
-    links = whole.where("l.lo != r.lo").select(F.least("l.lo", "r.lo").alias("src"), F.greatest("l.lo", "r.lo").alias("dst"))
-    full = whole.select(F.explode(F.array("l.lo", "r.lo")).alias("lo")).distinct()
+    names = sigs.groupBy("nid").agg(F.first("names").alias("names"))
+    first = F.filter(name_blocks(F.col("names")), lambda b: b.startswith("first:"))
+    blocks = scratch.table(sigs.select(F.struct("lo", "hi", "n", "nid").alias("s"), "pid", *SIGNATURE[1:], F.explode(first).alias("block")))
+    parts = blocks.groupBy("block", "pid").agg(F.min("s").alias("hub"), *[F.first(c).alias(c) for c in SIGNATURE[1:]])
+    pairs = scratch.table(_part_pairs(parts))
+    certain = scratch.table(_certain_edges(sigs))
+    near = connected_components(certain, scratch)
+
+    def open_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of signatures (l, r, known) of the pairs of parts, which don't hang together."""
+        met = pairs.join(left.withColumnsRenamed({"pid": "p", "s": "l", "group": "gl"}), ["block", "p"]).join(right.withColumnsRenamed({"pid": "q", "s": "r", "group": "gr"}), ["block", "q"])
+        swap = F.col("l.lo") > F.col("r.lo")
+        return met.where("gl != gr").select(F.when(swap, F.col("r")).otherwise(F.col("l")).alias("l"), F.when(swap, F.col("l")).otherwise(F.col("r")).alias("r"), "known")
+
+    def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        of = groups.select(F.col("node").alias("lo"), F.col("component").alias("group"))
+        return rows.withColumn("lo", F.col("s.lo")).join(of, "lo", "left").withColumn("group", F.coalesce("group", "lo")).drop("lo")
+
+    one = scratch.table(grouped(blocks.select("block", "pid", "s"), near))
+    hubs = one.groupBy("block", "pid").agg(F.min(F.struct("s", "group")).alias("h")).select("block", "pid", "h.s", "h.group")
+    early = _judged(open_pairs(hubs, one).unionByName(open_pairs(one, hubs)), names, scratch)
+    linked = certain.unionByName(_links(early))
+    far = connected_components(linked, scratch)
+    two = scratch.table(grouped(blocks.select("block", "pid", "s"), far))
+    kinds = two.select("block", "pid", "group").distinct()
+    apart = pairs.join(kinds.withColumnsRenamed({"pid": "p", "group": "gl"}), ["block", "p"]).join(kinds.withColumnsRenamed({"pid": "q", "group": "gr"}), ["block", "q"]).where("gl != gr")
+    met = apart.join(two.withColumnsRenamed({"pid": "p", "s": "l", "group": "gl"}), ["block", "p", "gl"]).join(two.withColumnsRenamed({"pid": "q", "s": "r", "group": "gr"}), ["block", "q", "gr"])
+    swap = F.col("l.lo") > F.col("r.lo")
+    late = _judged(met.select(F.when(swap, F.col("r")).otherwise(F.col("l")).alias("l"), F.when(swap, F.col("l")).otherwise(F.col("r")).alias("r"), "known"), names, scratch)
+
+    judged = early.unionByName(late)
+    links = linked.unionByName(_links(late))
+    # a signature's own records: alike in name, so only the other signals count
+    own = signals_of_others("s", "s")
+    alike = match_probability({k: F.coalesce(v, F.lit(UNKNOWN)) for k, v in own.items()} | {"name": F.lit(1.0)}) >= MATCH
+    selves = sigs.where("n > 1").where(F.size(name_blocks(F.col("names"))) > 0).select("lo", F.struct(*SIGNATURE[1:]).alias("s")).where(alike).select("lo")
+    full = links.select(F.explode(F.array("src", "dst")).alias("lo")).unionByName(selves).distinct()
     stars = members.join(full, "lo").where("seq != lo").select(F.col("lo").alias("src"), F.col("seq").alias("dst"))
     halves = judged.where("fore != back").select(F.when(F.col("fore"), F.col("l")).otherwise(F.col("r")).alias("x"), F.when(F.col("fore"), F.col("r")).otherwise(F.col("l")).alias("y"))
     after = members.join(halves.select(F.col("y.lo").alias("lo"), F.col("x.lo").alias("src")).distinct(), "lo").where("seq > src").select("src", F.col("seq").alias("dst"))
