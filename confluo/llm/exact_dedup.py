@@ -74,7 +74,7 @@ def build_index(entries: DataFrame, scratch: Scratch, *, capacity: int = CAPACIT
     """The directory and the index (``bucket, key, chain, chains, keep_id, group_size, text_sha256``) of rows ``doc_id, key, t``."""
     folded = entries.groupBy("key", "t").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     folded = scratch.table(folded.select("key", "keep_id", "group_size", F.sha2("t", 256).alias("text_sha256")))
-    places = scratch.table(directory(folded, capacity, max_depth), partitions=1)
+    places = scratch.table(directory(folded, capacity, max_depth))
     owned = folded.withColumn("leaf", _leaf(max_depth)).join(F.broadcast(places.select("leaf", "bucket")), "leaf").repartition("bucket")
     chain = Window.partitionBy("bucket", "key")
     numbered = owned.select(
