@@ -75,11 +75,19 @@ def variance_penalty(deviation: Column, n: Column) -> Column:
     return F.when(n > 1, F.least(F.lit(0.30), 0.05 * deviation)).otherwise(0.0)
 
 
+def first_values(long: DataFrame, n: int = 3) -> DataFrame:
+    """``variants``: the ``n`` smallest different values of each cluster and field; no more of them meet in one row."""
+    values = long.select("cluster_id", "field", "value").distinct()
+    place = F.row_number().over(Window.partitionBy("cluster_id", "field").orderBy("value"))
+    return values.withColumn("place", place).where(F.col("place") <= n).groupBy("cluster_id", "field").agg(F.collect_list("value").alias("variants"))
+
+
 def field_confidence(long: DataFrame, won: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Confidence, trust, penalty, sources and reasons per cluster and scalar field."""
     rows = long.join(won, ["cluster_id", "field"]).withColumn("yes", _supports()).withColumn("trust", trust(F.col("source_type"), weights))
     tagged = F.array_sort(F.collect_list(F.when(F.col("yes"), F.struct("seq", "source_tag", "source_type", "trust"))))
-    values = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    # numbers are shown all, of other values the first three that differ
+    numbers = F.array_sort(F.collect_list(F.when(F.col("field") == "experience_yrs", F.struct("seq", "value"))))
     stats = rows.groupBy("cluster_id", "field", "selected", "selected_num").agg(
         F.count("*").alias("n"),
         F.count_if("yes").alias("support"),
@@ -87,16 +95,17 @@ def field_confidence(long: DataFrame, won: DataFrame, weights: dict[str, float]
         F.count_distinct(strip(F.lower("value"))).alias("distinct_values"),
         F.stddev_pop("num").alias("deviation"),
         tagged.alias("tagged"),
-        values.alias("all_values"),
+        numbers.alias("numbers"),
     )
+    stats = stats.join(first_values(long), ["cluster_id", "field"])
     base = agreement_base(F.col("support"))
     number = F.col("field") == "experience_yrs"
     penalty = F.when(number, variance_penalty(F.col("deviation"), F.col("n"))).when(F.col("field").isin(_PENALISED), string_penalty(F.col("distinct_values"), F.col("n"))).otherwise(0.0)
     stats = stats.withColumn("base", base).withColumn("trusted", F.coalesce("trusted", F.lit(0.0))).withColumn("penalty", penalty)
     stats = stats.withColumn("confidence", confidence_of(F.col("base"), F.col("trusted"), F.col("penalty")))
     high = F.transform(F.filter("tagged", lambda x: x["trust"] >= HIGH_TRUST), lambda x: x["source_type"])
-    numbers = F.array_join(F.transform("all_values", lambda x: x["value"]), ", ")
-    variants = F.array_join(F.slice(F.array_sort(F.array_distinct(F.transform("all_values", lambda x: x["value"]))), 1, 3), ", ")
+    numbers = F.array_join(F.transform("numbers", lambda x: x["value"]), ", ")
+    variants = F.array_join(F.array_sort("variants"), ", ")
     conflict = F.col("penalty") > 0.01
     reasons = F.array_compact(
         F.array(
@@ -141,12 +150,12 @@ _ORDER = ["coalesce(email, '')", "coalesce(full_name, '')", "coalesce(phone, '')
 _META = ["confidence", "trust_score", "penalty", "sources", "reasoning", "conflict"]
 
 
-def profiles(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per cluster: the canonical fields, a ``meta_<field>`` struct each, and the cluster's scores."""
+def profiles(rows: DataFrame, scratch: Scratch, weights: dict[str, float] | None = None) -> DataFrame:
+    """One row per cluster: the canonical fields, a ``meta_<field>`` struct each, and the cluster's scores; ``weights`` are other trusts of the source types."""
     long = evidence(rows)
-    scalar = field_confidence(long, survivors(long)).select("cluster_id", "field", F.struct("selected", "selected_num", *_META).alias("m"))
+    scalar = field_confidence(long, survivors(long), weights).select("cluster_id", "field", F.struct("selected", "selected_num", *_META).alias("m"))
     wide = scalar.groupBy("cluster_id").pivot("field", [*_SCALARS, "experience_yrs"]).agg(F.first("m"))
-    skilled = skills_confidence(rows).select("cluster_id", F.struct(F.col("skills").alias("selected"), *_META).alias("skills"))
+    skilled = skills_confidence(rows, weights).select("cluster_id", F.struct(F.col("skills").alias("selected"), *_META).alias("skills"))
     clusters = rows.groupBy("cluster_id").agg(F.count("*").alias("n_records"))
     joined = clusters.join(wide, "cluster_id", "left").join(skilled, "cluster_id", "left")
     meta = {f: F.when(F.col(f).isNotNull(), F.struct(*[F.col(f)[k].alias(k) for k in _META])).alias(f"meta_{f}") for f in FIELDS}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,11 +32,11 @@ def keyed(records: DataFrame) -> DataFrame:
     return records.withColumn("email_key", email_identity_key(F.col("email"))).withColumn("names", record_names(F.col("full_name"), F.col("aliases")))
 
 
-def star_edges(rows: DataFrame, key: str) -> DataFrame:
-    """Links each record to the first with its key: one edge less than records, whatever the group's size."""
-    some = rows.where(F.col(key).isNotNull() & (F.col(key) != "")).select("seq", key)
-    first = some.groupBy(key).agg(F.min("seq").alias("src"), F.count("*").alias("n")).where("n > 1").select(key, "src")
-    return some.join(first, key).where("seq != src").select("src", F.col("seq").alias("dst"))
+def star_edges(rows: DataFrame, key: str | Column) -> DataFrame:
+    """Links each record to the first with its key (a column or an expression): one edge less than records, whatever the group's size."""
+    some = rows.select("seq", (F.col(key) if isinstance(key, str) else key).alias("key")).where("key is not null and key != ''")
+    first = some.groupBy("key").agg(F.min("seq").alias("src"), F.count("*").alias("n")).where("n > 1").select("key", "src")
+    return some.join(first, "key").where("seq != src").select("src", F.col("seq").alias("dst"))
 
 
 @lru_cache(maxsize=200_000)
@@ -262,10 +263,12 @@ def matched_edges(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return links.unionByName(stars).unionByName(after).unionByName(before)
 
 
-def resolve(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """Records with ``cluster_id``, the smallest ``seq`` of all that are the same person."""
+def resolve(records: DataFrame, scratch: Scratch, keys: Iterable[str | Column] = ()) -> DataFrame:
+    """Records with ``cluster_id``, the smallest ``seq`` of all that are the same person; ``keys`` are further exact keys of theirs."""
     rows = keyed(records)
-    edges = star_edges(rows, "email_key").unionByName(star_edges(rows, "phone")).unionByName(matched_edges(rows, scratch))
+    edges = matched_edges(rows, scratch)
+    for key in ("email_key", "phone", *keys):
+        edges = edges.unionByName(star_edges(rows, key))
     labels = connected_components(edges, scratch)
     out = rows.join(labels.select(F.col("node").alias("seq"), "component"), "seq", "left")
     return out.withColumn("cluster_id", F.coalesce("component", "seq")).drop("component")

@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import run_metrics
@@ -18,25 +18,44 @@ from .scratch import Scratch
 
 
 class Engine:
-    """Reads records, resolves them to people, merges, and projects."""
+    """Reads records, resolves them to people, merges, and projects.
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    ``trust_weights`` are other trusts of the source types; ``keys`` further exact keys that join records
+    (names of columns, or expressions over them). Tables that results read stay until ``close``, or the end of a ``with``.
+    """
+
+    def __init__(self, spark: SparkSession, *, trust_weights: dict[str, float] | None = None, keys: Iterable[str | Column] = ()):
+        self.spark, self.trust_weights, self.keys = spark, trust_weights, list(keys)
+        self.tables: list[Scratch] = []
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Deletes what results of this engine read; they can't be used after it."""
+        while self.tables:
+            self.tables.pop().drop()
+
+    def _scratch(self) -> Scratch:
+        self.tables.append(Scratch(self.spark))
+        return self.tables[-1]
 
     def read(self, *, csv: Iterable[str] = (), ats: Iterable[str] = (), resume: Iterable[str] = (), notes: Iterable[str] = ()) -> DataFrame:
-        """All records; ``seq`` numbers them in the order of sources, files and rows."""
-        out = None
+        """All records; ``seq`` numbers them in the order of sources, files and rows. Paths may be folders."""
+        scratch, out = self._scratch(), None
         for k, (kind, paths) in enumerate(zip(KINDS, (csv, ats, resume, notes), strict=True)):
-            part = parse_many(self.spark, paths, kind, k * KIND_SPAN)
+            part = parse_many(self.spark, paths, kind, k * KIND_SPAN, scratch)
             out = part if out is None else out.unionByName(part)
         return out
 
     def profiles(self, records: DataFrame) -> DataFrame:
-        """One row per person, with metadata per field; independent of temporary tables."""
-        scratch = Scratch(self.spark)
-        rows = scratch.table(records)
-        resolved = scratch.table(resolve(rows, scratch))
-        return scratch.finish(profiles(resolved, scratch))
+        """One row per person, with metadata per field; independent of temporary tables but its own."""
+        scratch = self._scratch()
+        resolved = scratch.table(resolve(scratch.table(records), scratch, self.keys))
+        return scratch.finish(profiles(resolved, scratch, self.trust_weights))
 
     def run(self, config: dict | str | None = None, **paths: Iterable[str]) -> DataFrame:
         """Projected profiles in output order."""
@@ -44,11 +63,11 @@ class Engine:
         return project(in_order(self.profiles(self.read(**paths))), checked)
 
     def run_with_metrics(self, config: dict | str | None = None, **paths: Iterable[str]) -> tuple[DataFrame, DataFrame]:
-        """Projected profiles and the one row of run metrics, from one resolution."""
+        """Projected profiles and the one row of run metrics, from one resolution; records are counted as they are read."""
         checked = Config(load_config(config) if not isinstance(config, dict) else config)
-        records = self.read(**paths)
-        found = self.profiles(records)
-        return project(in_order(found), checked), run_metrics(records.count(), found)
+        seen = Observation()
+        found = self.profiles(self.read(**paths).observe(seen, F.count(F.lit(1)).alias("records")))
+        return project(in_order(found), checked), run_metrics(seen.get["records"], found)
 
 
 def run_transform(spark: SparkSession, config: dict | str | None = None, **paths: Iterable[str]) -> DataFrame:

@@ -153,9 +153,9 @@ def _sql_word(w: str) -> str:
 
 def _sql_skill(raw: str) -> str:
     known = _duck_map(skills.SYNONYMS)
-    spaced = "trim(regexp_replace(lower(s), '[^a-z0-9+#.]+', ' ', 'g'))"
+    spaced = f"trim(regexp_replace(lower(s), '{skills.NOT_IN_SKILL}', ' ', 'g'))"
     words = f"array_to_string(list_transform(list_filter(string_split({spaced}, ' '), lambda w: w <> ''), lambda w: {_sql_word('w')}), ' ')"
-    value = f"coalesce({known}[lower(s)], {known}[{spaced}], {known}[regexp_replace(lower(s), '[^a-z0-9+#.]+', '', 'g')], CASE WHEN length(s) <= 2 THEN upper(s) ELSE {words} END)"
+    value = f"coalesce({known}[lower(s)], {known}[{spaced}], {known}[regexp_replace(lower(s), '{skills.NOT_IN_SKILL}', '', 'g')], CASE WHEN length(s) <= 2 THEN upper(s) ELSE {words} END)"
     return f"list_transform([trim(regexp_replace({raw}, '\\s+', ' ', 'g'))], lambda s: nullif({value}, ''))[1]"
 
 
@@ -163,7 +163,7 @@ def _sql_sorted(values: str) -> str:
     return f"array_to_string(list_transform(list_sort(list_transform(list_distinct({values}), lambda s: lower(s) || chr(1) || s)), lambda s: split_part(s, chr(1), 2)), '|')"
 
 
-@query(f"SELECT p_partkey, {_sql_sorted('list_filter(list_transform(regexp_split_to_array(raw, ' + "'[,;/|\\n]+'" + '), lambda q: ' + _sql_skill('q') + '), lambda q: q IS NOT NULL)')} AS skills FROM (SELECT p_partkey, p_name || ', ml;SQL /' || lower(p_type) || ' ai| machine-learning ,c,' || p_brand AS raw FROM part)")
+@query(f"SELECT p_partkey, {_sql_sorted('list_filter(list_transform(regexp_split_to_array(raw, ' + f"'{skills.SKILL_SEPARATORS}'" + '), lambda q: ' + _sql_skill('q') + '), lambda q: q IS NOT NULL)')} AS skills FROM (SELECT p_partkey, p_name || ', ml;SQL /' || lower(p_type) || ' ai| machine-learning ,c,' || p_brand AS raw FROM part)")
 def normalize_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat("p_name", F.lit(", ml;SQL /"), F.lower("p_type"), F.lit(" ai| machine-learning ,c,"), "p_brand")
     return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(skills.normalize_skills(skills.skill_list(raw)), "|").alias("skills"))
@@ -187,8 +187,8 @@ _SKILL_TEXT = "CASE WHEN doc_id % 5 = 0 THEN text || ' Enjoys PyTorch and DataSc
 
 @query(
     f"WITH raw AS (SELECT doc_id, {_SKILL_TEXT} AS text FROM documents), "
-    "cut AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9.+#]+', ' ', 'g') AS tokens, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS compact, "
-    f"flatten(list_transform(regexp_extract_all(text, 'skills?\\s*[:\\-]\\s*([^\\n]+)', 1, 'i'), lambda l: list_transform(regexp_split_to_array(l, '[,;/|]+'), lambda q: {_sql_skill('q')}))) AS listed FROM raw) "
+    f"cut AS (SELECT doc_id, regexp_replace(lower(text), '{skills.NOT_IN_TOKEN}', ' ', 'g') AS tokens, regexp_replace(lower(text), '{skills.NOT_IN_WORD}', '', 'g') AS compact, "
+    f"flatten(list_transform(regexp_extract_all(text, '{_pattern(skills.SKILL_LABEL)}', 1, 'i'), lambda l: list_transform(regexp_split_to_array(l, '{skills.SKILL_SEPARATORS}'), lambda q: {_sql_skill('q')}))) AS listed FROM raw) "
     f"SELECT doc_id, {_sql_sorted('list_filter(list_concat(listed, ' + _sql_scan() + '), lambda s: s IS NOT NULL)')} AS skills FROM cut"
 )
 def skills_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +206,7 @@ def _experience_text(n: str, dialect: str) -> str:
 
 
 def _sql_words(x: str) -> str:
-    number = _duck_map({w: float(i) for i, w in enumerate(skills.NUMBERS)})
+    number = _duck_map({w: float(i) for w, i in skills.NUMBERS.items()})
     known = f"list_filter(list_transform(regexp_extract_all(lower({x}), '[a-z]+'), lambda w: {number}[w]), lambda v: v IS NOT NULL)"
     half = f"CASE WHEN regexp_matches(lower({x}), '[a-z]+[^a-z]+half') THEN 0.5 ELSE 0 END"
     return f"CASE WHEN len({known}) > 0 THEN list_sum({known}) + {half} END"

@@ -11,38 +11,55 @@ from confluo.operators.project import Config, ProjectionError
 from confluo.plans.engine import Engine
 from confluo.plans.scratch import Scratch
 
-# Invented people; the expected values below are worked out by hand from the rules.
-CSV = 'full_name,email,phone,country,skills,experience_yrs\nProf. Katherine M. Brandt,KATE.Brandt+jobs@googlemail.com,(212) 555-0187,Great Britain,"SQL; machine-learning | go",7\n , , ,,,\n'
-ATS = {"records": [{"Name": "Kate Brandt", "mail": "katebrandt@gmail.com", "cell": "+1 212 555 0187", "location": "u.k.", "technologies": ["Data Science", "sql"], "experience": 6}, 17]}
-RESUME = "Katherine Maria Brandt\n\nEmail: kate.brandt@gmail.com\nPhone: +1 212-555-0187\nSkills: PyTorch, SQL\nTotal experience: six years\n"
-NOTES = "Candidate goes by Kate.\nKnows pytorch and data science.\n8 years of experience.\nLocated in Scotland.\n"
-CONFIG = {"fields": [{"path": "full_name", "rename": "name"}, {"path": "email"}, {"path": "phone"}, {"path": "country"}, {"path": "skills"}, {"path": "experience_yrs"}], "include_confidence": True, "include_provenance": True}
+# Two invented people. One is in the table and the list, which name different phones; the other in the table and a note.
+CSV = 'display_name,mail,mobile,country_code,technologies,years_experience\nInes Okafor,ines.okafor@post.example,(212) 555-0143,de,"nlp / sql",4\nHenrik Dahl,h.dahl@fjord.example,,canada,,\n'
+ATS = {"data": ["header", {"candidate": "Ines T. Okafor", "email_address": "INES.OKAFOR@post.example", "phone_number": "+1 212 555 0199", "skill_set": ["sql"]}]}
+NOTES = "Wrote to h.dahl@fjord.example, who prefers mornings.\nSkills: python\nDOB: 7 May 1990\n"
+CONFIG = {"fields": [{"path": "full_name", "rename": "name"}, {"path": "email"}, {"path": "phone"}, {"path": "country"}, {"path": "skills"}, {"path": "experience_yrs"}, {"path": "date_of_birth", "rename": "born"}], "include_confidence": True, "include_provenance": True}
 
 
 @pytest.fixture
 def files(tmp_path):
-    for name, text in {"a.csv": CSV, "b.json": json.dumps(ATS), "c.txt": RESUME, "d.txt": NOTES, "config.json": json.dumps(CONFIG), "bad.json": "{"}.items():
+    for name, text in {"a.csv": CSV, "b.json": json.dumps(ATS), "d.txt": NOTES, "config.json": json.dumps(CONFIG), "bad.json": "{"}.items():
         (tmp_path / name).write_text(text, encoding="utf-8")
     return tmp_path
 
 
-def test_files_to_one_profile(spark, files):
-    out, metrics = Engine(spark).run_with_metrics(CONFIG, csv=[f"{files}/a.csv", f"{files}/missing.csv"], ats=[f"{files}/b.json", f"{files}/bad.json"], resume=[f"{files}/c.txt"], notes=[f"{files}/d.txt"])
-    rows = out.collect()
-    assert len(rows) == 1
-    p = rows[0]
-    assert (p.name, p.email, p.phone, p.country, p.experience_yrs) == ("Katherine Maria Brandt", "katebrandt@gmail.com", "+12125550187", "GB", 8.0)
-    assert p.skills == ["Data Science", "GO", "Machine Learning", "PyTorch", "SQL"]
-    assert (p.name_confidence, p.email_confidence, p.phone_confidence) == (0.68, 0.72, 0.94) and p.name_provenance == ["Resume:c.txt"]
-    assert p.email_provenance == ["ATS:b.json#1"]
-    m = metrics.first()
-    assert (m.records_processed, m.profiles_generated, m.records_merged, m.duplicate_rate) == (4, 1, 3, 75.0)
+def _run(engine, files):
+    return engine.run_with_metrics(CONFIG, csv=[f"{files}/a.csv"], ats=[f"{files}/bad.json", f"{files}/b.json"], resume=[f"{files}/missing.txt"], notes=[f"{files}/d.txt"])
+
+
+def test_files_to_profiles(spark, files):
+    with Engine(spark) as engine:
+        out, metrics = _run(engine, files)
+        henrik, ines = out.collect()  # in the order of e-mails
+        m = metrics.first()
+    assert (henrik.name, henrik.email, henrik.phone, henrik.country, henrik.skills, henrik.experience_yrs, henrik.born) == ("Henrik Dahl", "h.dahl@fjord.example", None, "CA", ["Python"], None, "1990-05-07")
+    # the longest name; each phone once, with as many digits, so the source of higher priority decides
+    assert (ines.name, ines.email, ines.phone, ines.country, ines.skills, ines.experience_yrs) == ("Ines T. Okafor", "ines.okafor@post.example", "+12125550199", "DE", ["NLP", "SQL"], 4.0)
+    # one of two sources: 0.85 * (0.6 + 0.4 * 1.0), less 0.2 * (2 - 1) / 2 for the other value
+    assert (ines.name_confidence, ines.phone_confidence) == (0.75, 0.75)
+    # both sources: 0.92 * (0.6 + 0.4 * 0.95) = 0.9016
+    assert ines.email_confidence == 0.9 and sorted(ines.email_provenance) == ["ATS:b.json#2", "CSV:a.csv#row1"]
+    # one source: 0.85 * (0.6 + 0.4 * 0.9) = 0.816, and of Notes 0.85 * (0.6 + 0.4 * 0.8) = 0.782
+    assert (ines.country_confidence, henrik.country_confidence, henrik.skills_confidence) == (0.82, 0.82, 0.78)
+    assert ines.phone_provenance == ["ATS:b.json#2"] and henrik.born_provenance == ["Notes:d.txt"]
+    assert (m.records_processed, m.profiles_generated, m.records_merged, m.duplicate_rate) == (4, 2, 2, 50.0)
+
+
+def test_other_trust_and_keys(spark, files):
+    """Trust decides confidences; a further key joins what nothing else does."""
+    with Engine(spark, trust_weights={"ATS": 0.5, "CSV": 1.0}, keys=[F.coalesce("country", F.lit("none")), F.when(F.col("source_type") == "Notes", "x").when(F.col("country") == "DE", "x")]) as engine:
+        out, metrics = _run(engine, files)
+        (row,) = out.collect()
+    # of four records one has this phone, of the least trusted source: 0.85 * (0.6 + 0.4 * 0.5) - 0.2 * (2 - 1) / 2
+    assert row.phone == "+12125550199" and row.phone_confidence == 0.58
 
 
 def test_command_line(spark, files):
     assert main(["--config", f"{files}/config.json", "--input-notes", f"{files}/d.txt", "--output", f"{files}/out/x.json", "--pretty"]) == 0
     got = json.loads((files / "out/x.json").read_text())
-    assert [x["name"] for x in got] == ["Kate"] and got[0]["email"] is None
+    assert [x["email"] for x in got] == ["h.dahl@fjord.example"] and got[0]["phone"] is None
     assert main(["--config", f"{files}/bad.json", "--output", f"{files}/y.json"]) == 2
 
 
@@ -89,11 +106,11 @@ def test_projection_rules(spark, files):
     from confluo.operators.project import project
 
     row = project(found, Config({"fields": [{"path": "email"}, {"path": "skills", "from": "skills[].name"}, {"path": "phones", "from": "phones"}]})).first()
-    assert row.email is None and row.phones is None and [s.name for s in row.skills] == ["Data Science", "PyTorch"]
-    with pytest.raises(Exception, match="Required field 'email' is missing"):
-        project(found, Config({"fields": [{"path": "email", "required": False}], "on_missing": "error"})).collect()
-    full = project(found, Config({"fields": [{"path": "country"}], "output_format": "enterprise"})).first()
-    assert full.country.value == "GB" and full.country.sources == ["Notes:d.txt"] and full.match_probability == 1.0
+    assert row.email == "h.dahl@fjord.example" and row.phones is None and [s.name for s in row.skills] == ["Python"]
+    with pytest.raises(Exception, match="Required field 'phone' is missing"):
+        project(found, Config({"fields": [{"path": "phone", "required": False}], "on_missing": "error"})).collect()
+    full = project(found, Config({"fields": [{"path": "email"}], "output_format": "enterprise"})).first()
+    assert full.email.value == "h.dahl@fjord.example" and full.email.sources == ["Notes:d.txt"] and full.match_probability == 1.0
     with pytest.raises(ProjectionError, match="not array<string>"):
         project(found.withColumn("skills", F.lit("SQL")), Config({"fields": [{"path": "skills", "required": True}]}))
     for bad in ({"fields": [{"path": "nope"}]}, {"fields": [{"path": "email"}, {"path": "emails", "rename": "email"}]}, {"on_missing": "x"}):
@@ -118,4 +135,4 @@ def test_stream(spark, files, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/n.txt").write_text(NOTES, encoding="utf-8")
     start(text_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
-    assert [(r.full_name, r.country) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("Kate", "GB")]
+    assert [(r.email, r.skills) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("h.dahl@fjord.example", ["Python"])]
