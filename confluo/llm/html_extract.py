@@ -18,7 +18,7 @@ whose blocks are known.
 Pages are worked on one by one, without a shuffle.
 
 Defined cases: a null or empty page, or one without article text, gives an empty
-text; unclosed, misnested and unknown tags are accepted; a page without tags is
+text (a page of a single short element, too, if the trees don't take it for an article); unclosed, misnested and unknown tags are accepted; a page without tags is
 one block; repeated rows get equal results; other columns are kept by
 ``extract_pages`` and ``text`` and ``n_chars`` replace input columns of those
 names.
@@ -48,6 +48,9 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 SILENT = frozenset("head svg math object select button datalist canvas audio video map".split())
 #: What may stand in a head; anything else ends one, whether its end tag is written or not.
 IN_HEAD = frozenset("html base basefont bgsound link meta title style script noscript template noframes".split())
+#: Elements whose start ends an open one of certain names, unless one of others is nearer.
+_LISTS = ("ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot")
+ENDS = {"li": (("li",), _LISTS), "dd": (("dd", "dt"), _LISTS), "dt": (("dd", "dt"), _LISTS), "tr": (("tr",), _LISTS), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot dd dt li legend summary figcaption".split())
 GROUPS = ("p", "h", "li", "div", "section", "cell", "article", "nav", "aside", "header", "footer", "form", "quote", "list")
 GROUP_OF = {"p": 0, **{f"h{i}": 1 for i in range(1, 7)}, "li": 2, "dd": 2, "dt": 2, "div": 3, "center": 3, "section": 4, "td": 5, "th": 5, "article": 6, "main": 6, "nav": 7, "menu": 7, "aside": 8, "dialog": 8, "header": 9, "footer": 10, "address": 10, "form": 11, "fieldset": 11, "search": 11, "blockquote": 12, "pre": 12, "figure": 12, "figcaption": 12, "ul": 13, "ol": 13, "dl": 13, "table": 13}
@@ -65,6 +68,11 @@ _SPACE = re.compile(r"\s+")
 _TAG, _PARENT, _DEPTH, _TAGS, _ATTR, _OWN, _LINK, _ENDS, _INDEX, _Y, _KIDS, _INSIDE = range(12)
 
 
+def _last(opened: dict[str, list[int]], names: tuple[str, ...]) -> int:
+    """The place of the innermost open element of one of these names; -1 without any."""
+    return max((opened[t][-1] for t in names if opened.get(t)), default=-1)
+
+
 def parse(page: str):
     """Block nodes (lists, see the names above) and the page's blocks (node, text) in order."""
     nodes: list[list] = [["html", -1, 0, 0, 0, 0, 0, 0, 0, None, 0, 0]]
@@ -73,7 +81,7 @@ def parse(page: str):
     parts: list[str] = []
     link_depth = link_chars = 0
     silent = 0
-    opened: dict[str, int] = {}  # open block elements by name
+    opened: dict[str, list[int]] = {}  # places in the stack of open block elements, by name
     inner: list[dict[str, int]] = [{}]  # other open elements by name, of each open block
 
     def flush() -> None:
@@ -102,7 +110,7 @@ def parse(page: str):
             link_depth -= t == "a"
             silent -= t in SILENT
             if t in BLOCKS:
-                opened[t] -= 1
+                opened[t].pop()
                 inner.pop()
             else:
                 inner[-1][t] -= 1
@@ -155,15 +163,11 @@ def parse(page: str):
         if name in BLOCKS:
             if name in CLOSES_P and opened.get("p"):
                 close("p")
-            elif name == "li" or name in ("dd", "dt", "td", "th", "tr", "option"):
-                kin = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}[name]
-                limit = ("ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot") if name != "td" and name != "th" else ("tr", "table")
-                for t, _ in reversed(stack) if any(opened.get(t) for t in kin) else ():
-                    if t in kin:
-                        close(t)
-                        break
-                    if t in limit:
-                        break
+            elif name in ENDS:
+                kin, limit = ENDS[name]
+                kin_at = _last(opened, kin)
+                if kin_at > _last(opened, limit):
+                    close(stack[kin_at][0])
             flush()
             if name == "hr":
                 continue
@@ -187,7 +191,7 @@ def parse(page: str):
             nodes.append([name, up, parent[_DEPTH] + 1, parent[_TAGS] | (0 if g is None else 1 << g), parent[_ATTR] | attr, 0, 0, 0, parent[_KIDS], y if y is not None else parent[_Y], 0, 0])
             parent[_KIDS] += 1
             stack.append((name, len(nodes) - 1))
-            opened[name] = opened.get(name, 0) + 1
+            opened.setdefault(name, []).append(len(stack) - 1)
             inner.append({})
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             stack.append((name, stack[-1][1]))

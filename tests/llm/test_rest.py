@@ -185,3 +185,15 @@ def test_pipeline_stages(spark, make, corpus, tmp_path):
     assert 500 not in sizes[0] and {60, 61, 62}.isdisjoint(sizes[0])
     assert sizes[-1] == sizes[3] and {1, 2, 3}.issubset(sizes[-1]) and 65 not in sizes[-1]
 
+
+
+def test_nested_lists_take_time_in_proportion():
+    """Elements that end others look them up; none walks what is open."""
+    import time
+
+    from confluo.llm.html_extract import parse
+
+    for page in ("<li><ul>" + "<span>" * 40_000 + "<li></li>" * 40_000, "<table><tr>" + "<td><div>" * 30_000 + "<tr><td>" * 30_000):
+        began = time.process_time()
+        parse(page)
+        assert time.process_time() - began < 10
