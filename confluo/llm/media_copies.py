@@ -12,14 +12,16 @@
    of a corner and of its two nearest corners on the level, and the sector in
    which those lie, seen from the corner. Copies agree exactly in some word of
    many corner triples; unrelated images hardly ever do.
-4. Each bucket is first a star around its smallest class, and one around its
-   largest, as one picture may be poorer than others. A pair is a link if enough
-   corners match (mutually nearest, few tests differing) and agree in one
-   similarity transform: rotation, scale and shift, fitted to all that agree.
+4. Each bucket is first a star around its smallest class, and then one around its
+   largest, for classes that the first has not joined with it, as one picture may be poorer
+   than others. A pair is a link if enough corners match (mutually nearest, few tests
+   differing) and agree in one similarity transform: rotation, scale and shift,
+   fitted to all that agree.
 5. Buckets whose classes are in one component then are done. In others, cut into
    blocks of about ``BLOCK`` classes, those of different components are compared
    within a task for each pair of blocks, a pair that meets in several buckets in
-   the one of its smallest common key. Only a forest of the links found leaves
+   the one of its smallest common key. A bucket's largest component has blocks of its
+   own, which meet only those of the others. Only a forest of the links found leaves
    the task, so no link between components is lost and no pair is ever a row but
    those of the stars.
 
@@ -389,6 +391,22 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
 
+def _blocks(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of buckets of several components, per pair of blocks (``i <= j``) that they take part in."""
+    named = members.where("k > 2").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = scratch.table(named)
+    of = named.groupBy("b", "component").agg(F.count("*").alias("m"))
+    parts = of.groupBy("b").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    one, own = F.col("m") <= BLOCK, F.ceil(F.col("top.m") / BLOCK).cast("int")
+    others = F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int")
+    parts = parts.select("b", F.col("top.component").alias("major"), F.when(one, 0).otherwise(own).alias("own"), F.when(one, 1).otherwise(others).alias("others"))
+    major = (F.col("component") == F.col("major")) & (F.col("own") > 0)
+    side = F.when(major, F.pmod(F.xxhash64("c"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("c"), F.col("others"))).cast("int")
+    meets = F.sequence(F.when(major, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("others") - 1)
+    met = named.join(parts, "b").withColumn("side", side).withColumn("other", F.explode(meets))
+    return met.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "y", "z")
+
+
 def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
     """A row per input row: its id, ``class_id`` (smallest id of equal pixels), ``n_points``, ``component_id`` and ``kept``."""
     scratch = Scratch(images.sparkSession)
@@ -416,15 +434,19 @@ def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) ->
     # written, so that the join's large side is a shuffle of its own, which Spark can split at a frequent key
     shared = scratch.table(member.groupBy("b").agg(F.min("c").alias("y"), F.max("c").alias("z"), F.count("*").alias("k")).where("k > 1"))
     members = scratch.table(member.join(shared, "b"))
-    pairs = members.select("c", F.explode(F.array("y", "z")).alias("y")).where("c != y")
-    stars = scratch.table(pairs.select(F.greatest("c", "y").alias("x"), F.least("c", "y").alias("y")).distinct())
-    labels = joined(confirmed(stars))
-    now = members.where("k > 2").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    mixed = now.groupBy("b").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("b")
-    now = now.join(mixed, "b", "left_semi").withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int"))
-    now = now.withColumn("side", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    now = now.select("b", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "component", "y", "z").join(feats, "c")
-    labels = joined(now.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "c").mapInArrow(K.lean(_joining), "x long, y long"))
+
+    def star(hub: str) -> DataFrame:
+        """Pairs with a bucket's hub that don't hang together yet."""
+        pairs = members.where(F.col("c") != F.col(hub)).select(F.greatest("c", hub).alias("x"), F.least("c", hub).alias("y")).distinct()
+        of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"{k}_in"))
+        return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where("x_in is null or y_in is null or x_in != y_in").select("x", "y")
+
+    first = scratch.table(star("y"))
+    labels = joined(confirmed(first))
+    second = scratch.table(star("z").join(first, ["x", "y"], "left_anti"))
+    labels = joined(confirmed(second))
+    found = _blocks(members, labels, scratch).join(feats, "c")
+    labels = joined(found.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "c").mapInArrow(K.lean(_joining), "x long, y long"))
 
     group = classes.select("c", "class_id", (F.octet_length("feats") / _CORNER.itemsize).cast("int").alias("n_points")).join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = group.groupBy("component").agg(F.min("class_id").alias("component_id"))
