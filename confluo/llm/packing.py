@@ -23,6 +23,7 @@ there are no sequences.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 from . import kernel as K
+from .alignment import byte_characters
 from .ranking import buckets_for, ranked
 
 CACHE_WORDS = 400_000
@@ -40,13 +42,21 @@ _SEGMENT = 1 << 20
 #: How the tokenizer's pattern cuts a lower-case ASCII word.
 _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(rb"[!-~]*")
+#: The same for words with accented Latin letters (U+00C0 to U+017F but the two signs and the dotted capital I), each of which is one letter in either case.
+_LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+_BYTE_CHARACTERS = {b: c for c, b in byte_characters().items()}
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(dict):
     """From a white-space-free word (bytes, ASCII lower-cased unless it holds ``<|``) to its ids as little-endian 32-bit integers.
 
-    Plain ASCII words take the model's own tokenize; all others, and those that
-    may hold a special token, take the tokenizer as a whole.
+    Words of ASCII and accented Latin letters take the model's own tokenize; all others,
+    and those that may hold a special token, take the tokenizer as a whole.
     """
 
     def __init__(self, tokenizer):
@@ -56,14 +66,22 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if _PLAIN.fullmatch(word) and b"<|" not in word:
             out = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS.findall(word)])
+        elif b"<|" not in word and _LATIN.fullmatch(text := word.decode("utf-8", "replace")):
+            out = b"".join([self.parts.get(p) or self._latin(p) for p in _LATIN_PARTS.findall(text.lower())])
         else:
             ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            out = np.array(ids, "<u4").tobytes()
+            out = _bytes(ids)
         self[word] = out
         return out
 
     def _part(self, part: bytes) -> bytes:
-        out = np.array([t.id for t in self.model.tokenize(part.decode())], "<u4").tobytes()
+        out = _bytes([t.id for t in self.model.tokenize(part.decode())])
+        self.parts[part] = out
+        return out
+
+    def _latin(self, part: str) -> bytes:
+        known = "".join([_BYTE_CHARACTERS[b] for b in part.encode()])
+        out = _bytes([t.id for t in self.model.tokenize(known)])
         self.parts[part] = out
         return out
 
