@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import identity, prose
 from .operators import evaluate, merge
 from .operators.project import Config, project
-from .plans.engine import write_json_lines
+from .plans.engine import Engine, write_json_lines
 from .plans.people import people
 from .plans.scratch import Scratch
 from .queries import _NICK, _OVERALL, _PARTS, _TITLED, _WIDE, PEOPLE, _pattern, _profiles, _quoted, _sql_detect, _sql_sorted, _table, query
 from .sources import files
+from .sources.pdf import pdf_text
 
 # --- Files --------------------------------------------------------------------------------------------------------
 
@@ -72,12 +75,8 @@ def csv_line_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JSON_FILES = 8
 
 
-@query(f"WITH {PEOPLE} SELECT 1 AS odd, full_name, email, country, {_sql_sorted('skills')} AS skills, experience_yrs FROM people WHERE source_type = 'ATS'")
-def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suppliers' records as objects of lists in JSON files, an item that is none before each, parsed from them."""
-    scratch = Scratch(spark)
-    rows = people(spark, sf_dir).where("source_type = 'ATS'")
-    text = F.to_json(F.struct(F.lit("").alias("name"), F.upper("full_name").alias("Candidate"), F.col("email").alias("email_address"), F.struct("country").getField("country").alias("country_code"), F.col("skills").alias("skill_set"), F.col("experience_yrs").alias("years_experience")))
+def _write_json_lists(objects: DataFrame, path: str) -> None:
+    """Objects (a column of text) as items of lists within objects, an item that is none before each; several files, written in parallel."""
 
     def in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = True
@@ -88,8 +87,18 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not first:
             yield pa.RecordBatch.from_pydict({"value": ["]}"]})
 
+    objects.repartition(_JSON_FILES).mapInArrow(in_lists, "value string").write.text(path)
+
+
+@query(f"WITH {PEOPLE} SELECT 1 AS odd, full_name, email, country, {_sql_sorted('skills')} AS skills, experience_yrs FROM people WHERE source_type = 'ATS'")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' records as objects of lists in JSON files, an item that is none before each, parsed from them."""
+    scratch = Scratch(spark)
+    rows = people(spark, sf_dir).where("source_type = 'ATS'")
+    text = F.to_json(F.struct(F.lit("").alias("name"), F.upper("full_name").alias("Candidate"), F.col("email").alias("email_address"), F.struct("country").getField("country").alias("country_code"), F.col("skills").alias("skill_set"), F.col("experience_yrs").alias("years_experience")))
+
     path = f"{scratch.path}/people"
-    rows.repartition(_JSON_FILES, "seq").select(text.alias("value")).mapInArrow(in_lists, "value string").write.text(path)
+    _write_json_lists(rows.select(text.alias("value")), path)
     got = files.parse_ats(spark, path, 0, scratch)
     return got.select((F.col("seq") % 2).cast("int").alias("odd"), "full_name", "email", "country", F.array_join("skills", "|").alias("skills"), "experience_yrs")
 
@@ -133,6 +142,55 @@ def note_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select((F.col("seq") - 3 * files.KIND_SPAN).alias("place"), "email", "country")
 
 
+_SHEET = "c_name || ' (no. ' || c_custkey || ')' || chr(10) || 'Mail c' || c_custkey || '@X.org' || chr(10) || 'Skills: sql, python'"
+
+
+def _pdf(text: str) -> bytes:
+    """A file of one page that shows the lines of a text, compressed."""
+    escaped = text.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("cp1252")
+    content = zlib.compress(b"BT /F1 11 Tf 14 TL 50 700 Td (" + escaped.replace(b"\n", b") Tj T* (") + b") Tj ET")
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(content), content)]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, x) for k, x in enumerate(objects, 1)) + b"%%EOF\n"
+
+
+@F.arrow_udf(T.BinaryType())
+def _pdfs(text: pa.Array) -> pa.Array:
+    return pa.array([_pdf(x.as_py()) for x in text], pa.binary())
+
+
+@query(f"SELECT c_custkey, {_SHEET} AS text, 'c' || c_custkey || '@x.org' AS email, 'Python|SQL' AS skills FROM customer")
+def pdf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF file per customer, and what is read from it."""
+    text = pdf_text(_pdfs(F.expr(_SHEET)))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    fields = files.text_fields(F.col("text"), "Resume")
+    return rows.select("c_custkey", "text", fields["email"].alias("email"), F.array_join(fields["skills"], "|").alias("skills"))
+
+
+_UNIQUE = "'K' || translate(CAST(c_custkey AS {text}), '0123456789', 'abcdefghij') || ' Winter'"
+
+
+@query(
+    f"SELECT {_UNIQUE.format(text='VARCHAR')} AS full_name, 'c' || c_custkey || '@x.org' AS email, '+1' || CASE WHEN c_custkey % 3 = 0 THEN 2100000000 + c_custkey ELSE 2000000000 + c_custkey END AS phone, CASE WHEN c_custkey % 3 = 0 THEN 'DE' ELSE 'FR' END AS country, "
+    "CASE WHEN c_custkey % 3 = 0 THEN 'SQL' END AS skills, (c_custkey % 20 + (c_custkey % 3 = 0)::INT)::DOUBLE AS experience_yrs, CASE WHEN c_custkey % 3 = 0 THEN 0.9 ELSE 0.82 END::DOUBLE AS email_confidence, CASE WHEN c_custkey % 3 = 0 THEN 0.41 ELSE 0.85 END::DOUBLE AS weighted FROM customer"
+)
+def engine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to projected profiles: a CSV row per customer, for each third of them a JSON object of the same address, with the usual trust and another one."""
+    scratch = Scratch(spark)
+    k, rows = F.col("c_custkey"), _table(spark, sf_dir, "customer")
+    table = rows.select(F.expr(_UNIQUE.format(text="STRING")).alias("Name"), F.concat(F.lit("c"), k, F.lit("@x.org")).alias("Mail"), F.concat(F.lit("+1"), k + 2000000000).alias("Cell"), F.lit("France").alias("Location"), (k % 20).alias("Experience"))
+    _write_csv(table, f"{scratch.path}/table.csv")
+    other = F.struct(F.concat(F.lit("C"), k, F.lit("@X.ORG")).alias("mail"), F.concat(F.lit("+1"), k + 2100000000).alias("cell"), F.lit("Germany").alias("location"), F.array(F.lit("sql")).alias("skills"), (k % 20 + 1).alias("experience"))
+    _write_json_lists(rows.where(k % 3 == 0).select(F.to_json(other).alias("value")), f"{scratch.path}/objects")
+    fields = ["full_name", "email", "phone", "country", "skills", "experience_yrs"]
+    config = {"fields": [{"path": f} for f in fields], "include_confidence": True}
+    paths = {"csv": [f"{scratch.path}/table.csv"], "ats": [f"{scratch.path}/objects", f"{scratch.path}/none.json"]}
+    usual = Engine(spark).run(config, **paths)
+    # countries: of the list, which the table contradicts, 0.85 * (0.6 + 0.4 * 0) - 0.2 / 2; of the table alone 0.85 * (0.6 + 0.4 * 1)
+    weighted = Engine(spark, trust_weights={"CSV": 1.0, "ATS": 0.0}).run(config, **paths).select("email", F.col("country_confidence").alias("weighted"))
+    return usual.select(*[F.array_join(f, "|").alias(f) if f == "skills" else f for f in fields], "email_confidence").join(weighted, "email")
+
+
 @query("SELECT event_id, nullif(json_extract_string(props, '$.k'), '') AS picked FROM events")
 def pick_alias_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An empty value under the first alias, the wanted one under a later alias in another spelling."""
