@@ -2,7 +2,8 @@
 
 1. One scan describes the images (PGM, PPM or PNG bytes). Images of equal pixels
    are one class from there on, however many there are.
-2. Corners are the Harris maxima on levels that shrink by ``STEP`` each, the
+2. Corners are the Harris maxima on levels that shrink by ``STEP`` each and, for keys
+   alone, on ``FINE - 1`` levels between, so that a copy of any size is near one. Of those the
    strongest ``PER_CELL`` of each cell of ``CELL`` pixels a side: their number
    grows with the picture, which is worked on at ``SIDE`` pixels a side at most.
    A corner has a place between pixels, an orientation (intensity centroid) and
@@ -19,8 +20,7 @@
    fitted to all that agree.
 5. Buckets whose classes are in one component then are done. In others, cut into
    blocks of about ``BLOCK`` classes, those of different components are compared
-   within a task for each pair of blocks, a pair that meets in several buckets in
-   the one of its smallest common key. A bucket's largest component has blocks of its
+   within a task for each pair of blocks. A bucket's largest component has blocks of its
    own, which meet only those of the others. Only a forest of the links found leaves
    the task, so no link between components is lost and no pair is ever a row but
    those of the stars.
@@ -52,7 +52,7 @@ from . import kernel as K
 
 #: A picture's longer side when it is worked on, and the shorter side of its last level.
 SIDE, LEAST_SIDE = 256, 16
-STEP = 1.2
+STEP, FINE = 1.2, 3
 CELL, PER_CELL = 16, 4
 RADIUS, DISC = 11, 8
 TESTS, TABLES, WORD_BITS, SECTORS = 128, 4, 24, 8
@@ -153,10 +153,10 @@ def _working(image: np.ndarray) -> np.ndarray:
 
 
 def _levels(base: np.ndarray) -> Iterator[tuple[int, float, np.ndarray]]:
-    """Number, scale and pictures of each level; from twice the scale on, of a picture halved before."""
+    """Number, scale and pictures of each level, ``FINE`` to a step; from twice the scale on, of a picture halved before."""
     octave, k = 1.0, 0
     while True:
-        by = STEP**k
+        by = STEP ** (k / FINE)
         while by / octave >= 2:
             base, octave = _smooth(base)[..., ::2, ::2], octave * 2
         a = _scaled(base, by / octave)
@@ -279,8 +279,14 @@ def table_keys(corners: np.ndarray) -> np.ndarray:
     return np.unique(K.signed(np.concatenate(out))) if out else np.zeros(0, np.int64)
 
 
+def whole_levels(corners: np.ndarray) -> np.ndarray:
+    """Those that are compared; the others have only given keys."""
+    return corners[corners["level"] % FINE == 0]
+
+
 def consensus(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Matching corners, and how many of them agree in the best similarity transform."""
+    a, b = whole_levels(a), whole_levels(b)
     if not len(a) or not len(b):
         return 0, 0
     s, t = (np.ascontiguousarray(c["tests"]).view("<u8").reshape(len(c), -1).T.copy() for c in (a, b))
@@ -299,9 +305,9 @@ def consensus(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         return len(ok), 0
     u, v = a[ok], b[to[ok]]
     p, q = (c["x"] / 16 + 1j * (c["y"] / 16) for c in (u, v))
-    size = STEP ** (v["level"].astype(float) - u["level"])
+    size = STEP ** ((v["level"].astype(float) - u["level"]) / FINE)
     turn = size * np.exp(1j * np.pi / 128 * (v["angle"].astype(float) - u["angle"]))
-    allowed = SHIFT * STEP ** v["level"].astype(float)
+    allowed = SHIFT * STEP ** (v["level"].astype(float) / FINE)
     best = np.zeros(0, np.int64)
     for k in range(0, len(ok), 256):  # from each match: loosely, as level and angle are coarse
         away = p[None] - p[k : k + 256, None]
@@ -330,7 +336,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class and corners of each image; an image that is in the batch before is described once."""
+    """Class, corners and keys of each image; one that is in the batch more than once is described once."""
     for batch in batches:
         keys: list[int | None] = []
         new: dict[int, np.ndarray] = {}
@@ -341,16 +347,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             keys.append(int.from_bytes(hashlib.sha256(np.array(a.shape).tobytes() + a.tobytes()).digest()[:8], "little", signed=True))
             new.setdefault(keys[-1], _working(a))
-        feats = {c: f.tobytes() for c, f in zip(new, describe(list(new.values())), strict=True)}
-        yield pa.record_batch([batch.column("id"), pa.array(keys, pa.int64()), pa.array([None if k is None else feats[k] for k in keys], pa.binary())], ["id", "c", "feats"])
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per class and key."""
-    for batch in batches:
-        each = [table_keys(_unpacked(x)) for x in batch.column("feats").to_pylist()]
-        c = np.repeat(batch.column("c").to_numpy(), [len(k) for k in each])
-        yield pa.record_batch([pa.array(np.concatenate(each) if each else np.zeros(0, np.int64)), pa.array(c)], ["b", "c"])
+        found = {c: (whole_levels(f).tobytes(), table_keys(f)) for c, f in zip(new, describe(list(new.values())), strict=True)}
+        feats = pa.array([None if k is None else found[k][0] for k in keys], pa.binary())
+        tables = pa.array([None if k is None else found[k][1] for k in keys], pa.list_(pa.int64()))
+        yield pa.record_batch([batch.column("id"), pa.array(keys, pa.int64()), feats, tables], ["id", "c", "feats", "keys"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,9 +366,7 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, comp, side = (part.column(k).to_numpy() for k in ("c", "component", "side"))
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
         centre = (c == part.column("y")[0].as_py()) | (c == part.column("z")[0].as_py())
-        b = part.column("b")[0].as_py()
         feats = [_unpacked(x) for x in part.column("feats").to_pylist()]
-        keys = [table_keys(x) for x in feats]
         top: dict[int, int] = {}
 
         def root(x: int, top: dict[int, int] = top) -> int:
@@ -383,7 +381,7 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (i == j and r >= k) or centre[k] or centre[r]:  # the bucket's stars have been tried
                     continue
                 p, q = root(int(comp[k])), root(int(comp[r]))
-                if p != q and np.intersect1d(keys[k], keys[r], assume_unique=True)[0] == b and linked(feats[k], feats[r]):
+                if p != q and linked(feats[k], feats[r]):
                     top[max(p, q)] = min(p, q)
                     xs.append(int(c[k]))
                     ys.append(int(c[r]))
@@ -415,13 +413,13 @@ def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
 
 def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) -> DataFrame:
     base = images.select(F.col(id_col).cast("long").alias("id"), image.cast("binary").alias("image"))
-    rows = scratch.table(base.mapInArrow(K.lean(_described), "id long, c long, feats binary"))
-    classes = scratch.table(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats")))
+    rows = scratch.table(base.mapInArrow(K.lean(_described), "id long, c long, feats binary, keys array<long>"))
+    classes = scratch.table(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats"), F.first("keys").alias("keys")))
     feats = classes.select("c", "feats")
     named = scratch.table(rows.select("id", "c"))
     scratch.discard(rows)
     labels = feats.limit(0).select(F.col("c").alias("node"), F.col("c").alias("component"))
-    member = feats.mapInArrow(K.lean(_keyed), "b long, c long")
+    member = classes.select(F.explode("keys").alias("b"), "c")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = pairs.join(feats.select(F.col("c").alias("x"), F.col("feats").alias("fx")), "x")

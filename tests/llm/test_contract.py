@@ -140,7 +140,9 @@ def test_op4_recall_by_edit():
         "larger": lambda p: M._scaled(p, 1 / 1.5),
         "crop 84": lambda p: crop(p, 0.84),
         "crop 70": lambda p: crop(p, 0.7),
-        "smaller": lambda p: M._scaled(p, 1 / 0.7),
+        "crop 60": lambda p: crop(p, 0.6),
+        **{f"shrunk to {by}": lambda p, by=by: M._scaled(p, 1 / by) for by in (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6)},
+        "shrunk and noise": lambda p: M._scaled(p, 1 / 0.77) + rng.normal(0, 4, M._scaled(p, 1 / 0.77).shape),
         "turned": lambda p: p.T[::-1],
     }
     for name, edit in edits.items():
