@@ -9,7 +9,7 @@
    A corner has a place between pixels, an orientation (intensity centroid) and
    128 binary tests turned by it: brightness comparisons that changes of light
    and small edits keep. Beyond its edges a picture is taken as mirrored.
-3. Hamming tables: the tests are cut into four words. A table's key is that word
+3. Hamming tables: two words of the tests have a table each. A table's key is that word
    of a corner and of its two nearest corners on the level, and the sector in
    which those lie, seen from the corner. Copies agree exactly in some word of
    many corner triples; unrelated images hardly ever do.
@@ -55,7 +55,7 @@ SIDE, LEAST_SIDE = 256, 16
 STEP, FINE = 1.2, 3
 CELL, PER_CELL = 16, 4
 RADIUS, DISC = 11, 8
-TESTS, TABLES, WORD_BITS, SECTORS = 128, 4, 24, 8
+TESTS, TABLES, WORD_BITS, SECTORS = 128, 2, 20, 8
 NEAR = 14  # differing tests of a match at most
 INLIERS = 8  # matches that have to agree, and their share of all matches
 SHARE = 0.5
@@ -266,7 +266,7 @@ def _near_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def table_keys(corners: np.ndarray) -> np.ndarray:
     """Distinct keys per table and corner: the table's word of the corner and of its two nearest on the same level, and where those lie."""
     x, y = corners["x"].astype(np.int64), corners["y"].astype(np.int64)
-    words = np.ascontiguousarray(corners["tests"]).view("<u4").reshape(len(corners), TABLES).astype(K.U64) & K.U64((1 << WORD_BITS) - 1)
+    words = np.ascontiguousarray(corners["tests"]).view("<u4").reshape(len(corners), -1)[:, :TABLES].astype(K.U64) & K.U64((1 << WORD_BITS) - 1)
     out, level = [], corners["level"]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(level)) + 1, [len(level)]))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -336,7 +336,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class, corners and keys of each image; one that is in the batch more than once is described once."""
+    """Class and corners of each image (rows with ``image``), and the keys of each class; one that is in the batch more than once is described once."""
     for batch in batches:
         keys: list[int | None] = []
         new: dict[int, np.ndarray] = {}
@@ -348,9 +348,15 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(int.from_bytes(hashlib.sha256(np.array(a.shape).tobytes() + a.tobytes()).digest()[:8], "little", signed=True))
             new.setdefault(keys[-1], _working(a))
         found = {c: (whole_levels(f).tobytes(), table_keys(f)) for c, f in zip(new, describe(list(new.values())), strict=True)}
-        feats = pa.array([None if k is None else found[k][0] for k in keys], pa.binary())
-        tables = pa.array([None if k is None else found[k][1] for k in keys], pa.list_(pa.int64()))
-        yield pa.record_batch([batch.column("id"), pa.array(keys, pa.int64()), feats, tables], ["id", "c", "feats", "keys"])
+        n = len(keys)
+        yield pa.record_batch([batch.column("id"), pa.array(keys, pa.int64()), pa.array([None if k is None else found[k][0] for k in keys], pa.binary()), pa.nulls(n, pa.int64()), pa.array([True] * n)], _FOUND)
+        c, b = np.repeat(list(found), [len(k) for _, k in found.values()]).astype(np.int64), [k for _, k in found.values()]
+        if len(c):
+            n = len(c)
+            yield pa.record_batch([pa.nulls(n, pa.int64()), pa.array(c), pa.nulls(n, pa.binary()), pa.array(np.concatenate(b)), pa.array([False] * n)], _FOUND)
+
+
+_FOUND = ["id", "c", "feats", "b", "image"]
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +397,7 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets of several components, per pair of blocks (``i <= j``) that they take part in."""
-    named = members.where("k > 2").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = scratch.table(named)
     of = named.groupBy("b", "component").agg(F.count("*").alias("m"))
     parts = of.groupBy("b").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
@@ -413,13 +419,14 @@ def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
 
 def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) -> DataFrame:
     base = images.select(F.col(id_col).cast("long").alias("id"), image.cast("binary").alias("image"))
-    rows = scratch.table(base.mapInArrow(K.lean(_described), "id long, c long, feats binary, keys array<long>"))
-    classes = scratch.table(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats"), F.first("keys").alias("keys")))
+    found = scratch.table(base.mapInArrow(K.lean(_described), "id long, c long, feats binary, b long, image boolean"))
+    rows = found.where("image")
+    classes = scratch.table(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats")))
     feats = classes.select("c", "feats")
-    named = scratch.table(rows.select("id", "c"))
-    scratch.discard(rows)
+    named = rows.select("id", "c")
     labels = feats.limit(0).select(F.col("c").alias("node"), F.col("c").alias("component"))
-    member = classes.select(F.explode("keys").alias("b"), "c")
+    # equal images of several batches give their keys each
+    member = found.where("not image").select("b", "c")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = pairs.join(feats.select(F.col("c").alias("x"), F.col("feats").alias("fx")), "x")
@@ -430,8 +437,8 @@ def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) ->
         return scratch.table(joined_components(labels, scratch.table(found), scratch, src="x", dst="y"))
 
     # written, so that the join's large side is a shuffle of its own, which Spark can split at a frequent key
-    shared = scratch.table(member.groupBy("b").agg(F.min("c").alias("y"), F.max("c").alias("z"), F.count("*").alias("k")).where("k > 1"))
-    members = scratch.table(member.join(shared, "b"))
+    shared = scratch.table(member.groupBy("b").agg(F.min("c").alias("y"), F.max("c").alias("z")).where("y != z"))
+    members = scratch.table(member.join(shared, "b").distinct())
 
     def star(hub: str) -> DataFrame:
         """Pairs with a bucket's hub that don't hang together yet."""
