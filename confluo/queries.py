@@ -13,7 +13,7 @@ from .operators import evaluate, merge, resolve
 from .operators.components import connected_components
 from .operators.project import Config, project
 from .plans.people import people, view_sql
-from .plans.scratch import Scratch
+from .plans.scratch import Scratch, ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _quoted(values) -> str:
