@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import ready
 from . import kernel as K
 from . import language_id, toxicity
 from .alignment import align_tokens
@@ -79,7 +80,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has images; the pictures are drawn from the vectors of ``embeddings``."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
     return image_copies(rows, id_col="vec_id", image=F.arrow_udf(K.lean_column(picture), "binary")("embedding"))
 
 
