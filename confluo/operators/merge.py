@@ -91,13 +91,15 @@ def field_confidence(long: DataFrame, won: DataFrame, weights: dict[str, float]
     stats = rows.groupBy("cluster_id", "field", "selected", "selected_num").agg(
         F.count("*").alias("n"),
         F.count_if("yes").alias("support"),
-        F.avg(F.when(F.col("yes"), F.col("trust"))).alias("trusted"),
         F.count_distinct(strip(F.lower("value"))).alias("distinct_values"),
         F.stddev_pop("num").alias("deviation"),
         tagged.alias("tagged"),
         numbers.alias("numbers"),
     )
     stats = stats.join(first_values(long), ["cluster_id", "field"])
+    # added up in the order of the records: means that lie on half a digit depend on it
+    total = F.aggregate("tagged", F.lit(0.0), lambda a, x: a + x["trust"])
+    stats = stats.withColumn("trusted", F.when(F.col("support") > 0, total / F.col("support")))
     base = agreement_base(F.col("support"))
     number = F.col("field") == "experience_yrs"
     penalty = F.when(number, variance_penalty(F.col("deviation"), F.col("n"))).when(F.col("field").isin(_PENALISED), string_penalty(F.col("distinct_values"), F.col("n"))).otherwise(0.0)
