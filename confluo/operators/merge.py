@@ -42,8 +42,11 @@ def evidence(rows: DataFrame) -> DataFrame:
     return long.select("cluster_id", "e.field", "e.value", "e.num", "source_type", "source_tag", "priority", "seq").where("value is not null and value != ''")
 
 
-def survivors(long: DataFrame) -> DataFrame:
-    """The value that wins each field: the largest by the field's order of reasons."""
+def survivors(long: DataFrame, n: int = 3) -> DataFrame:
+    """The value that wins each field, the largest by the field's order of reasons.
+
+    ``variants`` are the ``n`` smallest different values (no more of them meet in one row), ``distinct_values`` how many differ in more than case.
+    """
     values = long.groupBy("cluster_id", "field", "value").agg(F.count("*").alias("support"), F.max("priority").alias("priority"), F.max("num").alias("num"))
     name, phone = F.col("field") == "full_name", F.col("field") == "phone"
     digits = F.length(F.regexp_replace("value", r"\D", "")).cast("long")
@@ -55,7 +58,10 @@ def survivors(long: DataFrame) -> DataFrame:
         F.col("value"),
         F.col("num"),
     )
-    return values.groupBy("cluster_id", "field").agg(F.max(order).alias("w")).select("cluster_id", "field", F.col("w.value").alias("selected"), F.col("w.num").alias("selected_num"))
+    group = Window.partitionBy("cluster_id", "field")
+    placed = values.withColumn("loose", strip(F.lower("value"))).withColumn("place", F.row_number().over(group.orderBy("value"))).withColumn("kind", F.dense_rank().over(group.orderBy("loose")))
+    best = placed.groupBy("cluster_id", "field").agg(F.max(order).alias("w"), F.collect_list(F.when(F.col("place") <= n, F.col("value"))).alias("variants"), F.max("kind").cast("long").alias("distinct_values"))
+    return best.select("cluster_id", "field", F.col("w.value").alias("selected"), F.col("w.num").alias("selected_num"), "variants", "distinct_values")
 
 
 def _supports() -> Column:
@@ -75,13 +81,6 @@ def variance_penalty(deviation: Column, n: Column) -> Column:
     return F.when(n > 1, F.least(F.lit(0.30), 0.05 * deviation)).otherwise(0.0)
 
 
-def first_values(long: DataFrame, n: int = 3) -> DataFrame:
-    """``variants``: the ``n`` smallest different values of each cluster and field; no more of them meet in one row."""
-    values = long.select("cluster_id", "field", "value").distinct()
-    place = F.row_number().over(Window.partitionBy("cluster_id", "field").orderBy("value"))
-    return values.withColumn("place", place).where(F.col("place") <= n).groupBy("cluster_id", "field").agg(F.collect_list("value").alias("variants"))
-
-
 def field_confidence(long: DataFrame, won: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Confidence, trust, penalty, sources and reasons per cluster and scalar field."""
     rows = long.join(won, ["cluster_id", "field"]).withColumn("yes", _supports()).withColumn("trust", trust(F.col("source_type"), weights))
@@ -91,12 +90,12 @@ def field_confidence(long: DataFrame, won: DataFrame, weights: dict[str, float]
     stats = rows.groupBy("cluster_id", "field", "selected", "selected_num").agg(
         F.count("*").alias("n"),
         F.count_if("yes").alias("support"),
-        F.count_distinct(strip(F.lower("value"))).alias("distinct_values"),
+        F.first("distinct_values").alias("distinct_values"),
         F.stddev_pop("num").alias("deviation"),
         tagged.alias("tagged"),
         numbers.alias("numbers"),
+        F.first("variants").alias("variants"),
     )
-    stats = stats.join(first_values(long), ["cluster_id", "field"])
     # added up in the order of the records: means that lie on half a digit depend on it
     total = F.aggregate("tagged", F.lit(0.0), lambda a, x: a + x["trust"])
     stats = stats.withColumn("trusted", F.when(F.col("support") > 0, total / F.col("support")))
