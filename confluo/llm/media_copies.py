@@ -12,18 +12,18 @@
 3. Hamming tables: two words of the tests have a table each. A table's key is that word
    of a corner and of its two nearest corners on the level, and the sector in
    which those lie, seen from the corner. Copies agree exactly in some word of
-   many corner triples; unrelated images hardly ever do.
-4. Each bucket is first a star around its smallest class, and then one around its
-   largest, for classes that the first has not joined with it, as one picture may be poorer
-   than others. A pair is a link if enough corners match (mutually nearest, few tests
-   differing) and agree in one similarity transform: rotation, scale and shift,
-   fitted to all that agree.
-5. Buckets whose classes are in one component then are done. In others, cut into
+   many corner triples; unrelated images hardly ever do. Keys of one range move together,
+   packed, to the task that finds those of several classes: their buckets.
+4. Each bucket is first a star around its smallest class. Then those of up to ``BLOCK``
+   classes give their other pairs of different components, each once however many buckets have it; larger ones are
+   a star around their largest class, as one picture may be poorer than others. A pair is a link if enough
+   corners match (mutually nearest, few tests differing) and agree in one similarity transform: rotation, scale and shift,
+   fitted to all that agree. Pairs are compared in turns, each of which moves about as many corners as the pictures have.
+5. Larger buckets whose classes are in one component then are done. In others, cut into
    blocks of about ``BLOCK`` classes, those of different components are compared
    within a task for each pair of blocks. A bucket's largest component has blocks of its
    own, which meet only those of the others. Only a forest of the links found leaves
-   the task, so no link between components is lost and no pair is ever a row but
-   those of the stars.
+   the task, so no link between components is lost.
 
 So a picture with thousands of copies costs a star. A detail that many unrelated
 pictures share, too small to link them, costs their comparison.
@@ -61,6 +61,9 @@ INLIERS = 8  # matches that have to agree, and their share of all matches
 SHARE = 0.5
 SHIFT = 3.0  # pixels of the level
 BLOCK = 512
+#: Bits of a key, pictures whose keys are packed together, and for how many pictures there is a range of keys.
+KEY_BITS, PACKED, RANGED = 48, 2048, 2000
+TURN = 1 << 16  # pairs that are compared in a turn, or as many as there are classes
 
 _pattern = np.random.default_rng(11).normal(0, RADIUS / 2.2, (TESTS, 4)).clip(-0.7 * RADIUS, 0.7 * RADIUS)
 _d = np.arange(-DISC, DISC + 1)
@@ -266,7 +269,7 @@ def _near_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def table_keys(corners: np.ndarray) -> np.ndarray:
     """Distinct keys per table and corner: the table's word of the corner and of its two nearest on the same level, and where those lie."""
     x, y = corners["x"].astype(np.int64), corners["y"].astype(np.int64)
-    words = np.ascontiguousarray(corners["tests"]).view("<u4").reshape(len(corners), -1)[:, :TABLES].astype(K.U64) & K.U64((1 << WORD_BITS) - 1)
+    words = np.ascontiguousarray(corners["tests"]).view("<u4").reshape(len(corners), TESTS // 32)[:, :TABLES].astype(K.U64) & K.U64((1 << WORD_BITS) - 1)
     out, level = [], corners["level"]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(level)) + 1, [len(level)]))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -276,7 +279,7 @@ def table_keys(corners: np.ndarray) -> np.ndarray:
             towards = np.arctan2(y[near].sum(1) - 2 * y[a:b], x[near].sum(1) - 2 * x[a:b]) / (2 * np.pi) - corners["angle"][a:b] / 256
             sector = np.floor(towards % 1 * SECTORS).astype(K.U64)[:, None]
             out.append(K.mix(K.mix(K.mix(words[a:b] + (sector + K.U64(1)) * K.U64(1 << 40)) ^ pair[:, 0]) ^ (pair[:, 1] * K.U64(TABLES) + np.arange(TABLES, dtype=K.U64))).ravel())
-    return np.unique(K.signed(np.concatenate(out))) if out else np.zeros(0, np.int64)
+    return np.unique(K.signed(np.concatenate(out) >> K.U64(64 - KEY_BITS))) if out else np.zeros(0, np.int64)
 
 
 def whole_levels(corners: np.ndarray) -> np.ndarray:
@@ -335,28 +338,70 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, _CORNER)
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class and corners of each image (rows with ``image``), and the keys of each class; one that is in the batch more than once is described once."""
-    for batch in batches:
-        keys: list[int | None] = []
-        new: dict[int, np.ndarray] = {}
-        for data in batch.column("image"):
-            a = decode_image(data.as_py())
-            if a is None:
-                keys.append(None)
-                continue
-            keys.append(int.from_bytes(hashlib.sha256(np.array(a.shape).tobytes() + a.tobytes()).digest()[:8], "little", signed=True))
-            new.setdefault(keys[-1], _working(a))
-        found = {c: (whole_levels(f).tobytes(), table_keys(f)) for c, f in zip(new, describe(list(new.values())), strict=True)}
-        n = len(keys)
-        yield pa.record_batch([batch.column("id"), pa.array(keys, pa.int64()), pa.array([None if k is None else found[k][0] for k in keys], pa.binary()), pa.nulls(n, pa.int64()), pa.array([True] * n)], _FOUND)
-        c, b = np.repeat(list(found), [len(k) for _, k in found.values()]).astype(np.int64), [k for _, k in found.values()]
-        if len(c):
-            n = len(c)
-            yield pa.record_batch([pa.nulls(n, pa.int64()), pa.array(c), pa.nulls(n, pa.binary()), pa.array(np.concatenate(b)), pa.array([False] * n)], _FOUND)
-
-
-_FOUND = ["id", "c", "feats", "b", "image"]
+def _described(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Class of each image, with the corners where it is the first of its class in the batch, and rows with the keys of such classes, packed by range."""
+    for whole in batches:
+        seen: set[int] = set()
+        for at in range(0, whole.num_rows, PACKED):
+            batch = whole.slice(at, PACKED)
+            keys: list[int | None] = []
+            new: dict[int, np.ndarray] = {}
+            for data in batch.column("image"):
+                a = decode_image(data.as_py())
+                if a is None:
+                    keys.append(None)
+                    continue
+                keys.append(int.from_bytes(hashlib.sha256(np.array(a.shape).tobytes() + a.tobytes()).digest()[:8], "little", signed=True))
+                if keys[-1] not in seen:
+                    new.setdefault(keys[-1], _working(a))
+            found = dict(zip(new, describe(list(new.values())), strict=True))
+            seen.update(found)
+            own = {c: whole_levels(f).tobytes() for c, f in found.items()}
+            n = len(keys)
+            yield pa.record_batch([batch.column("id"), pa.array(keys, pa.int64()), pa.array([own.pop(k, None) for k in keys], pa.binary()), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3], _FOUND)
+            rows = list(_ranged(list(found), [table_keys(f) for f in found.values()], ranges))
+            if rows:
+                n, (part, *packed) = len(rows), zip(*rows, strict=True)
+                yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(part, pa.int32()), *[pa.array(x, pa.binary()) for x in packed]], _FOUND)
+
+
+_FOUND = ["id", "c", "feats", "part", "keys", "owners", "classes"]
+
+
+def _ranged(classes: list[int], keys: list[np.ndarray], ranges: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Per range of keys: those of some classes, which of the range's classes has each, and these."""
+    own, every = np.repeat(np.arange(len(classes)), [len(k) for k in keys]), np.concatenate([np.zeros(0, np.int64), *keys])
+    order = np.argsort(every, kind="stable")
+    own, every = own[order], every[order]
+    part = every * ranges >> KEY_BITS
+    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        some, which = np.unique(own[a:b], return_inverse=True)
+        yield int(part[a]), every[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes(), which.astype("<u2").tobytes(), np.array(classes, "<i8")[some].tobytes()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of several classes with each of these, their number, the smallest and the largest."""
+    for part in K.runs(batches, ["part"]):
+        keys, own = [], []
+        for k, w, c in zip(*(part.column(x).to_pylist() for x in ("keys", "owners", "classes")), strict=True):
+            wide = np.zeros((len(w) // 2, 8), np.uint8)
+            wide[:, : KEY_BITS // 8] = np.frombuffer(k, np.uint8).reshape(len(wide), -1)
+            keys.append(wide.view("<i8").ravel())
+            own.append(np.frombuffer(c, "<i8")[np.frombuffer(w, "<u2")])
+        key, c = np.concatenate(keys), np.concatenate(own)
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.append(False, same) | np.append(same, False)]
+        key, c = key[order], c[order]
+        order = np.lexsort((c, key))
+        key, c = key[order], c[order]
+        once = np.append(True, (key[1:] != key[:-1]) | (c[1:] != c[:-1]))[: len(key)]  # equal images of several batches give their keys each
+        key, c = key[once], c[once]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.diff(first, append=len(key))
+        keep = np.repeat(n > 1, n)
+        yield pa.record_batch([pa.array(x[keep]) for x in (key, c, np.repeat(n, n), np.repeat(c[first], n), np.repeat(c[first + n - 1], n))], ["b", "c", "n", "y", "z"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,39 +464,47 @@ def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
 
 def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) -> DataFrame:
     base = images.select(F.col(id_col).cast("long").alias("id"), image.cast("binary").alias("image"))
-    found = scratch.table(base.mapInArrow(K.lean(_described), "id long, c long, feats binary, b long, image boolean"))
-    rows = found.where("image")
-    classes = scratch.table(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.first("feats").alias("feats")))
-    feats = classes.select("c", "feats")
-    named = rows.select("id", "c")
+    ranges = min(1 << 14, 16 + base.count() // RANGED)
+    found = scratch.table(base.mapInArrow(K.lean(lambda batches: _described(batches, ranges)), "id long, c long, feats binary, part int, keys binary, owners binary, classes binary"))
+    packed = found.where("part is not null").select("part", "keys", "owners", "classes").repartition("part").sortWithinPartitions("part")
+    members = scratch.table(packed.mapInArrow(K.lean(_shared), "b long, c long, n long, y long, z long"))
+    rows = found.where("part is null")
+    classes = scratch.table(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.first("feats", ignorenulls=True).alias("feats")))
+    named = scratch.table(rows.select("id", "c"))
+    scratch.discard(found)
+    feats, many = classes.select("c", "feats"), max(TURN, classes.count())
     labels = feats.limit(0).select(F.col("c").alias("node"), F.col("c").alias("component"))
-    # equal images of several batches give their keys each
-    member = found.where("not image").select("b", "c")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(feats.select(F.col("c").alias("x"), F.col("feats").alias("fx")), "x")
-        two = one.join(feats.select(F.col("c").alias("y"), F.col("feats").alias("fy")), "y")
-        return two.select("x", "y", "fx", "fy").mapInArrow(K.lean(_agreeing), "x long, y long")
+        turns = -(-pairs.count() // many)
 
-    def joined(found: DataFrame) -> DataFrame:
-        return scratch.table(joined_components(labels, scratch.table(found), scratch, src="x", dst="y"))
+        def turn(k: int) -> DataFrame:
+            own = F.pmod(F.xxhash64("y"), F.lit(max(1, turns))) == k
+            one = pairs.where(own).join(feats.select(F.col("c").alias("y"), F.col("feats").alias("fy")).where(own), "y")
+            two = one.join(feats.select(F.col("c").alias("x"), F.col("feats").alias("fx")), "x")
+            return two.select("x", "y", "fx", "fy").mapInArrow(K.lean(_agreeing), "x long, y long")
 
-    # written, so that the join's large side is a shuffle of its own, which Spark can split at a frequent key
-    shared = scratch.table(member.groupBy("b").agg(F.min("c").alias("y"), F.max("c").alias("z")).where("y != z"))
-    members = scratch.table(member.join(shared, "b").distinct())
+        return scratch.in_turns(turn(k) for k in range(max(1, turns)))
 
-    def star(hub: str) -> DataFrame:
-        """Pairs with a bucket's hub that don't hang together yet."""
-        pairs = members.where(F.col("c") != F.col(hub)).select(F.greatest("c", hub).alias("x"), F.least("c", hub).alias("y")).distinct()
+    def joined(found: DataFrame) -> DataFrame:
+        return scratch.table(joined_components(labels, found, scratch, src="x", dst="y"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Different pairs that don't hang together yet."""
         of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"{k}_in"))
-        return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where("x_in is null or y_in is null or x_in != y_in").select("x", "y")
+        return pairs.distinct().join(of("x"), "x", "left").join(of("y"), "y", "left").where("x_in is null or y_in is null or x_in != y_in").select("x", "y")
+
+    def star(members: DataFrame, hub: str) -> DataFrame:
+        return members.where(F.col("c") != F.col(hub)).select(F.greatest("c", hub).alias("x"), F.least("c", hub).alias("y"))
 
-    first = scratch.table(star("y"))
+    first = scratch.table(star(members, "y").distinct())
     labels = joined(confirmed(first))
-    second = scratch.table(star("z").join(first, ["x", "y"], "left_anti"))
+    few, large = members.where(F.col("n").between(3, BLOCK)), members.where(F.col("n") > BLOCK)
+    inner = few.select("b", F.col("c").alias("y")).join(few.select("b", F.col("c").alias("x")), "b").where("x > y").select("x", "y")
+    second = scratch.table(apart(inner.unionByName(star(large, "z"))).join(first, ["x", "y"], "left_anti"))
     labels = joined(confirmed(second))
-    found = _blocks(members, labels, scratch).join(feats, "c")
-    labels = joined(found.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "c").mapInArrow(K.lean(_joining), "x long, y long"))
+    blocks = _blocks(large, labels, scratch).join(feats, "c")
+    labels = joined(scratch.table(blocks.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "c").mapInArrow(K.lean(_joining), "x long, y long")))
 
     group = classes.select("c", "class_id", (F.octet_length("feats") / _CORNER.itemsize).cast("int").alias("n_points")).join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = group.groupBy("component").agg(F.min("class_id").alias("component_id"))
