@@ -35,10 +35,14 @@ def trust(source_type: Column, weights: dict[str, float] | None = None) -> Colum
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """A row per record and scalar field with a value (experience as text and as a number)."""
+    """A row per record and scalar field with a value (experience as text and as a number).
+
+    Records move to their cluster's task before they are cut into fields; what is grouped by cluster and more after that stays there.
+    """
     parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(None).cast("double").alias("num")) for f in _SCALARS]
     parts.append(F.struct(F.lit("experience_yrs").alias("field"), F.col("experience_yrs").cast("string").alias("value"), F.col("experience_yrs").alias("num")))
-    long = rows.select("cluster_id", "seq", "source_type", "source_tag", "priority", F.explode(F.array(*parts)).alias("e"))
+    whole = rows.select("cluster_id", "seq", "source_type", "source_tag", "priority", *_SCALARS, "experience_yrs").repartition("cluster_id")
+    long = whole.select("cluster_id", "seq", "source_type", "source_tag", "priority", F.explode(F.array(*parts)).alias("e"))
     return long.select("cluster_id", "e.field", "e.value", "e.num", "source_type", "source_tag", "priority", "seq").where("value is not null and value != ''")
 
 
@@ -58,9 +62,12 @@ def survivors(long: DataFrame, n: int = 3) -> DataFrame:
         F.col("value"),
         F.col("num"),
     )
-    group = Window.partitionBy("cluster_id", "field")
-    placed = values.withColumn("loose", strip(F.lower("value"))).withColumn("place", F.row_number().over(group.orderBy("value"))).withColumn("kind", F.dense_rank().over(group.orderBy("loose")))
-    best = placed.groupBy("cluster_id", "field").agg(F.max(order).alias("w"), F.collect_list(F.when(F.col("place") <= n, F.col("value"))).alias("variants"), F.max("kind").cast("long").alias("distinct_values"))
+    # places within a cluster, from those where its field begins: rows that are at their cluster's task stay there
+    cluster = Window.partitionBy("cluster_id")
+    place = F.row_number().over(cluster.orderBy("field", "value")) - F.rank().over(cluster.orderBy("field"))
+    placed = values.withColumn("loose", strip(F.lower("value"))).withColumn("place", place).withColumn("kind", F.dense_rank().over(cluster.orderBy("field", "loose")))
+    kinds = (F.max("kind") - F.min("kind") + 1).cast("long")
+    best = placed.groupBy("cluster_id", "field").agg(F.max(order).alias("w"), F.collect_list(F.when(F.col("place") < n, F.col("value"))).alias("variants"), kinds.alias("distinct_values"))
     return best.select("cluster_id", "field", F.col("w.value").alias("selected"), F.col("w.num").alias("selected_num"), "variants", "distinct_values")
 
 
@@ -83,7 +90,10 @@ def variance_penalty(deviation: Column, n: Column) -> Column:
 
 def field_confidence(long: DataFrame, won: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Confidence, trust, penalty, sources and reasons per cluster and scalar field."""
-    rows = long.join(won, ["cluster_id", "field"]).withColumn("yes", _supports()).withColumn("trust", trust(F.col("source_type"), weights))
+    # a cluster's fields as one row, so that both sides are joined where they are
+    known = F.map_from_entries(F.collect_list(F.struct("field", F.struct("selected", "selected_num", "variants", "distinct_values"))))
+    rows = long.join(won.groupBy("cluster_id").agg(known.alias("won")), "cluster_id").withColumn("won", F.col("won")[F.col("field")])
+    rows = rows.select(*long.columns, "won.*").withColumn("yes", _supports()).withColumn("trust", trust(F.col("source_type"), weights))
     tagged = F.array_sort(F.collect_list(F.when(F.col("yes"), F.struct("seq", "source_tag", "source_type", "trust"))))
     # numbers are shown all, of other values the first three that differ
     numbers = F.array_sort(F.collect_list(F.when(F.col("field") == "experience_yrs", F.struct("seq", "value"))))
@@ -151,8 +161,11 @@ _ORDER = ["coalesce(email, '')", "coalesce(full_name, '')", "coalesce(phone, '')
 _META = ["confidence", "trust_score", "penalty", "sources", "reasoning", "conflict"]
 
 
-def profiles(rows: DataFrame, scratch: Scratch, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row per cluster: the canonical fields, a ``meta_<field>`` struct each, and the cluster's scores; ``weights`` are other trusts of the source types."""
+def profiles(rows: DataFrame, scratch: Scratch, weights: dict[str, float] | None = None, *, matched: bool = True) -> DataFrame:
+    """One row per cluster: the canonical fields, a ``meta_<field>`` struct each, and the cluster's scores; ``weights`` are other trusts of the source types.
+
+    Without ``matched`` the ``match_probability`` is null, for results that don't show it.
+    """
     long = evidence(rows)
     scalar = field_confidence(long, survivors(long), weights).select("cluster_id", "field", F.struct("selected", "selected_num", *_META).alias("m"))
     wide = scalar.groupBy("cluster_id").pivot("field", [*_SCALARS, "experience_yrs"]).agg(F.first("m"))
@@ -164,8 +177,11 @@ def profiles(rows: DataFrame, scratch: Scratch, weights: dict[str, float] | None
     values["skills"] = F.coalesce(values["skills"], F.array().cast("array<string>")).alias("skills")
     overall = overall_confidence({f: F.col(f)["confidence"] for f in FIELDS})
     out = joined.select("cluster_id", "n_records", *values.values(), *meta.values(), overall.alias("overall_confidence"))
-    match = pairwise_signals(rows, scratch).select("cluster_id", "match_probability")
-    out = out.join(match, "cluster_id", "left").withColumn("match_probability", F.coalesce("match_probability", F.lit(1.0)))
+    if matched:
+        match = pairwise_signals(rows, scratch).select("cluster_id", "match_probability")
+        out = out.join(match, "cluster_id", "left").withColumn("match_probability", F.coalesce("match_probability", F.lit(1.0)))
+    else:
+        out = out.withColumn("match_probability", F.lit(None).cast("double"))
     return out.withColumn("needs_review", F.col("overall_confidence") < REVIEW_BELOW)
 
 
