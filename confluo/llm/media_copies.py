@@ -15,10 +15,12 @@
    many corner triples; unrelated images hardly ever do. Keys of one range move together,
    packed, to the task that finds those of several classes: their buckets.
 4. Each bucket is first a star around its smallest class. Then those of up to ``BLOCK``
-   classes give their other pairs of different components, each once however many buckets have it; larger ones are
+   classes give their other pairs of different components; larger ones are
    a star around their largest class, as one picture may be poorer than others. A pair is a link if enough
    corners match (mutually nearest, few tests differing) and agree in one similarity transform: rotation, scale and shift,
-   fitted to all that agree. Pairs are compared in turns, each of which moves about as many corners as the pictures have.
+   fitted to all that agree. Classes are dealt into parts of about ``PART``; a task has the corners and components of two of
+   them and the buckets' members among those, makes the pairs itself, and compares those that don't hang together yet.
+   Parts meet in turns, each of which moves about twice the corners that the pictures have.
 5. Larger buckets whose classes are in one component then are done. In others, cut into
    blocks of about ``BLOCK`` classes, those of different components are compared
    within a task for each pair of blocks. A bucket's largest component has blocks of its
@@ -26,7 +28,8 @@
    the task, so no link between components is lost.
 
 So a picture with thousands of copies costs a star. A detail that many unrelated
-pictures share, too small to link them, costs their comparison.
+pictures share, too small to link them, costs their comparison: such pairs grow
+with the square of the number of pictures, in time but not in memory or on disk.
 
 Defined cases: a null or undecodable image, or one without corners, is its own
 component (null class for the first two); repeated rows share a class; equal
@@ -63,7 +66,8 @@ SHIFT = 3.0  # pixels of the level
 BLOCK = 512
 #: Bits of a key, pictures whose keys are packed together, and for how many pictures there is a range of keys.
 KEY_BITS, PACKED, RANGED = 48, 2048, 2000
-TURN = 1 << 16  # pairs that are compared in a turn, or as many as there are classes
+#: Classes of a part, and how many parts there are at least.
+PART, LEAST_PARTS = 8192, 4
 
 _pattern = np.random.default_rng(11).normal(0, RADIUS / 2.2, (TESTS, 4)).clip(-0.7 * RADIUS, 0.7 * RADIUS)
 _d = np.arange(-DISC, DISC + 1)
@@ -404,11 +408,106 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x[keep]) for x in (key, c, np.repeat(n, n), np.repeat(c[first], n), np.repeat(c[first + n - 1], n))], ["b", "c", "n", "y", "z"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_DEALT = ["b", "c", "y", "z", "round", "i", "j", "pairs", "heads", "members"]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int, block: int) -> Iterator[pa.RecordBatch]:
+    """What ``_shared`` finds, packed for each pair of parts (``i <= j``): ``pairs`` of stars, and of buckets of up to ``block``
+    classes the ``members`` besides their star's with the bucket that each is of (``heads``); larger buckets' members as rows, too."""
     for batch in batches:
-        good = [linked(_unpacked(a), _unpacked(b)) for a, b in zip(batch.column("fx").to_pylist(), batch.column("fy").to_pylist(), strict=True)]
-        keep = pa.array(np.flatnonzero(good))
-        yield pa.record_batch([batch.column(k).take(keep) for k in ("x", "y")], ["x", "y"])
+        b, c, n, y, z = (batch.column(k).to_numpy() for k in ("b", "c", "n", "y", "z"))
+        rows: list[tuple] = []
+
+        def star(number: int, own: np.ndarray, hub: np.ndarray, rows: list[tuple] = rows, c: np.ndarray = c) -> None:
+            own = own & (c != hub)
+            two = np.unique(np.stack((np.maximum(c, hub), np.minimum(c, hub)), 1)[own], axis=0)
+            p, q = two[:, 0] % parts, two[:, 1] % parts
+            for i, j, at in _cut(np.minimum(p, q), np.maximum(p, q)):
+                rows.append((number, i, j, two[at].astype("<i8").tobytes(), None, None))
+
+        star(1, n > 1, y)
+        star(2, n > block, z)
+        few = (n > 2) & (n <= block) & (c != y)
+        head, of, own = b[few], c[few] % parts, c[few]
+        order = np.lexsort((of, head))
+        head, of, own = head[order], of[order], own[order]
+        first = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (of[1:] != of[:-1]))[: len(head)])
+        size = np.diff(first, append=len(head))  # of a bucket's members in one part
+        opens = np.flatnonzero(np.append(True, np.diff(head[first]) != 0))[: len(first)]
+        bucket = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(first)))
+        # a member goes to where its part meets each of its bucket's parts
+        meets = np.diff(opens, append=len(first))[np.repeat(bucket, size)]
+        other = K.ranges(opens[np.repeat(bucket, size)], meets)
+        me = np.repeat(np.arange(len(own)), meets)
+        useful = (of[first][other] != of[me]) | (size[other] > 1)
+        other, me = other[useful], me[useful]
+        p, q = of[me], of[first][other]
+        for i, j, at in _cut(np.minimum(p, q), np.maximum(p, q)):
+            rows.append((2, i, j, None, head[me[at]].astype("<i8").tobytes(), own[me[at]].astype("<i8").tobytes()))
+        large = pa.array(np.flatnonzero(n > block))
+        if len(large):
+            k = len(large)
+            yield pa.record_batch([*[batch.column(x).take(large) for x in ("b", "c", "y", "z")], *[pa.nulls(k, pa.int32())] * 3, *[pa.nulls(k, pa.binary())] * 3], _DEALT)
+        if rows:
+            number, i, j, *packed = zip(*rows, strict=True)
+            yield pa.record_batch([*[pa.nulls(len(rows), pa.int64())] * 4, *[pa.array(x, pa.int32()) for x in (number, i, j)], *[pa.array(x, pa.binary()) for x in packed]], _DEALT)
+
+
+def _cut(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Places of each pair of parts, in order."""
+    order = np.lexsort((j, i))
+    if not len(order):
+        return
+    cuts = np.flatnonzero(np.concatenate(([True], (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0), [True])))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(i[order[a]]), int(j[order[a]]), order[a:b]
+
+
+def _compared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Links between components that the stars and buckets of two parts give: a forest of them."""
+    for some in K.runs(batches, ["i", "j"]):
+        i, j = some.column("i")[0].as_py(), some.column("j")[0].as_py()
+        known = some.filter(some.column("c").is_valid()).select(["c", "component", "feats"]).sort_by("c")
+        packed = {k: [np.frombuffer(x, "<i8") for x in some.column(k).drop_null().to_pylist()] for k in ("pairs", "heads", "members")}
+        c, feats = known.column("c").to_numpy(), known.column("feats")
+        top = np.unique(known.column("component").to_numpy(), return_inverse=True)[1].tolist()  # of each class, its component's number
+        up = list(range(len(top)))
+        xs, ys = [], []
+
+        def root(k: int, top: list[int] = top, up: list[int] = up) -> int:
+            x = top[k]
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            top[k] = x
+            return x
+
+        def pairs(packed: dict = packed, c: np.ndarray = c, i: int = i, j: int = j, root=root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if packed["pairs"]:
+                two = np.searchsorted(c, np.unique(np.concatenate(packed["pairs"]).reshape(-1, 2), axis=0))
+                yield two[:, 0], two[:, 1]
+            for head, own in zip(packed["heads"], packed["members"], strict=True):
+                at = np.searchsorted(c, own)
+                cuts = np.flatnonzero(np.append(True, np.diff(head) != 0))
+                for a, b in zip(cuts, np.append(cuts[1:], len(head)), strict=True):
+                    group = np.array([root(k) for k in at[a:b].tolist()])
+                    if (group == group[0]).all():
+                        continue
+                    left, right = (np.flatnonzero(own[a:b] % parts == k) for k in (i, j))
+                    p, q = np.nonzero((group[left, None] != group[right]) & ((left[:, None] < right) | (i != j)))
+                    yield at[a:b][left[p]], at[a:b][right[q]]
+
+        tried: set[int] = set()
+        for p, q in pairs():
+            for a, b in zip(np.maximum(p, q).tolist(), np.minimum(p, q).tolist(), strict=True):
+                u, v, pair = root(a), root(b), a * len(c) + b
+                if u != v and pair not in tried:
+                    tried.add(pair)
+                    if linked(_unpacked(feats[a].as_py()), _unpacked(feats[b].as_py())):
+                        up[max(u, v)] = min(u, v)
+                        xs.append(int(c[a]))
+                        ys.append(int(c[b]))
+        if xs:
+            yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
 
 def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,45 +563,38 @@ def image_copies(images: DataFrame, *, id_col: str, image: Column) -> DataFrame:
 
 def _copies(images: DataFrame, scratch: Scratch, id_col: str, image: Column) -> DataFrame:
     base = images.select(F.col(id_col).cast("long").alias("id"), image.cast("binary").alias("image"))
-    ranges = min(1 << 14, 16 + base.count() // RANGED)
+    rows = base.count()
+    ranges, parts, block = min(1 << 14, 16 + rows // RANGED), max(LEAST_PARTS, -(-rows // PART)), BLOCK
     found = scratch.table(base.mapInArrow(K.lean(lambda batches: _described(batches, ranges)), "id long, c long, feats binary, part int, keys binary, owners binary, classes binary"))
     packed = found.where("part is not null").select("part", "keys", "owners", "classes").repartition("part").sortWithinPartitions("part")
-    members = scratch.table(packed.mapInArrow(K.lean(_shared), "b long, c long, n long, y long, z long"))
+    dealt = scratch.table(packed.mapInArrow(K.lean(lambda batches: _dealt(_shared(batches), parts, block)), "b long, c long, y long, z long, round int, i int, j int, pairs binary, heads binary, members binary"))
     rows = found.where("part is null")
     classes = scratch.table(rows.where("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.first("feats", ignorenulls=True).alias("feats")))
     named = scratch.table(rows.select("id", "c"))
     scratch.discard(found)
-    feats, many = classes.select("c", "feats"), max(TURN, classes.count())
+    feats = classes.select("c", "feats")
     labels = feats.limit(0).select(F.col("c").alias("node"), F.col("c").alias("component"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        turns = -(-pairs.count() // many)
+    def confirmed(number: int) -> DataFrame:
+        """Links of a round's pairs, of the parts that meet in one turn after those of another."""
+        turns = -(-parts // 2)
+        known = feats.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")).withColumn("own", F.pmod("c", F.lit(parts)).cast("int"))
+        asked = dealt.where(F.col("round") == number).select("i", "j", *[F.lit(None).cast(t).alias(k) for k, t in (("c", "long"), ("component", "long"), ("feats", "binary"))], "pairs", "heads", "members")
 
         def turn(k: int) -> DataFrame:
-            own = F.pmod(F.xxhash64("y"), F.lit(max(1, turns))) == k
-            one = pairs.where(own).join(feats.select(F.col("c").alias("y"), F.col("feats").alias("fy")).where(own), "y")
-            two = one.join(feats.select(F.col("c").alias("x"), F.col("feats").alias("fx")), "x")
-            return two.select("x", "y", "fx", "fy").mapInArrow(K.lean(_agreeing), "x long, y long")
+            others = F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), lambda other: (other + F.col("own")) % turns == k)
+            sent = known.withColumn("other", F.explode(others)).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "component", "feats", *[F.lit(None).cast("binary").alias(x) for x in ("pairs", "heads", "members")])
+            met = sent.unionByName(asked.where((F.col("i") + F.col("j")) % turns == k))
+            return met.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(K.lean(lambda batches: _compared(batches, parts)), "x long, y long")
 
-        return scratch.in_turns(turn(k) for k in range(max(1, turns)))
+        return scratch.in_turns(turn(k) for k in range(turns))
 
     def joined(found: DataFrame) -> DataFrame:
         return scratch.table(joined_components(labels, found, scratch, src="x", dst="y"))
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Different pairs that don't hang together yet."""
-        of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"{k}_in"))
-        return pairs.distinct().join(of("x"), "x", "left").join(of("y"), "y", "left").where("x_in is null or y_in is null or x_in != y_in").select("x", "y")
-
-    def star(members: DataFrame, hub: str) -> DataFrame:
-        return members.where(F.col("c") != F.col(hub)).select(F.greatest("c", hub).alias("x"), F.least("c", hub).alias("y"))
-
-    first = scratch.table(star(members, "y").distinct())
-    labels = joined(confirmed(first))
-    few, large = members.where(F.col("n").between(3, BLOCK)), members.where(F.col("n") > BLOCK)
-    inner = few.select("b", F.col("c").alias("y")).join(few.select("b", F.col("c").alias("x")), "b").where("x > y").select("x", "y")
-    second = scratch.table(apart(inner.unionByName(star(large, "z"))).join(first, ["x", "y"], "left_anti"))
-    labels = joined(confirmed(second))
+    labels = joined(confirmed(1))
+    labels = joined(confirmed(2))
+    large = dealt.where("b is not null").select("b", "c", "y", "z")
     blocks = _blocks(large, labels, scratch).join(feats, "c")
     labels = joined(scratch.table(blocks.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "c").mapInArrow(K.lean(_joining), "x long, y long")))
 
