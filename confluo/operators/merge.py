@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,27 +38,30 @@ def trust(source_type: Column, weights: dict[str, float] | None = None) -> Colum
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in (weights or TRUST).items() for x in p]), source_type), F.lit(UNKNOWN_TRUST))
 
 
-def evidence(rows: DataFrame) -> DataFrame:
-    """A row per record and scalar field with a value (experience as text and as a number).
+_EVIDENCE = ["seq", "source_type", "source_tag", "priority", *_SCALARS, "experience_yrs"]
 
-    Records move to their cluster's task before they are cut into fields; what is grouped by cluster and more after that stays there.
-    """
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """A row per record and scalar field with a value, where the record is."""
     parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(None).cast("double").alias("num")) for f in _SCALARS]
     parts.append(F.struct(F.lit("experience_yrs").alias("field"), F.col("experience_yrs").cast("string").alias("value"), F.col("experience_yrs").alias("num")))
-    whole = rows.select("cluster_id", "seq", "source_type", "source_tag", "priority", *_SCALARS, "experience_yrs").repartition("cluster_id")
-    long = whole.select("cluster_id", "seq", "source_type", "source_tag", "priority", F.explode(F.array(*parts)).alias("e"))
+    long = rows.select("cluster_id", "seq", "source_type", "source_tag", "priority", F.explode(F.array(*parts)).alias("e"))
     return long.select("cluster_id", "e.field", "e.value", "e.num", "source_type", "source_tag", "priority", "seq").where("value is not null and value != ''")
 
 
-def survivors(long: DataFrame, n: int = 3) -> DataFrame:
-    """The value that wins each field, the largest by the field's order of reasons.
+def evidence(rows: DataFrame) -> DataFrame:
+    """A row per record and scalar field with a value (experience as text and as a number).
 
-    ``variants`` are the ``n`` smallest different values (no more of them meet in one row), ``distinct_values`` how many differ in more than case.
+    Records move to their cluster's task before they are cut into fields; what is grouped by cluster and more after that stays there.
     """
-    values = long.groupBy("cluster_id", "field", "value").agg(F.count("*").alias("support"), F.max("priority").alias("priority"), F.max("num").alias("num"))
+    return _cut(rows.select("cluster_id", *_EVIDENCE).repartition("cluster_id"))
+
+
+def _reasons() -> Column:
+    """What a value of a field is chosen by: the largest wins."""
     name, phone = F.col("field") == "full_name", F.col("field") == "phone"
     digits = F.length(F.regexp_replace("value", r"\D", "")).cast("long")
-    order = F.struct(
+    return F.struct(
         F.when(F.col("field") == "experience_yrs", F.col("num")).alias("largest"),
         F.when(name, F.length("value").cast("long")).otherwise(F.col("support")).alias("first"),
         F.when(name, F.col("support")).when(phone, digits).otherwise(F.col("priority").cast("long")).alias("second"),
@@ -62,12 +69,20 @@ def survivors(long: DataFrame, n: int = 3) -> DataFrame:
         F.col("value"),
         F.col("num"),
     )
+
+
+def survivors(long: DataFrame, n: int = 3) -> DataFrame:
+    """The value that wins each field, the largest by the field's order of reasons.
+
+    ``variants`` are the ``n`` smallest different values (no more of them meet in one row), ``distinct_values`` how many differ in more than case.
+    """
+    values = long.groupBy("cluster_id", "field", "value").agg(F.count("*").alias("support"), F.max("priority").alias("priority"), F.max("num").alias("num"))
     # places within a cluster, from those where its field begins: rows that are at their cluster's task stay there
     cluster = Window.partitionBy("cluster_id")
     place = F.row_number().over(cluster.orderBy("field", "value")) - F.rank().over(cluster.orderBy("field"))
     placed = values.withColumn("loose", strip(F.lower("value"))).withColumn("place", place).withColumn("kind", F.dense_rank().over(cluster.orderBy("field", "loose")))
     kinds = (F.max("kind") - F.min("kind") + 1).cast("long")
-    best = placed.groupBy("cluster_id", "field").agg(F.max(order).alias("w"), F.collect_list(F.when(F.col("place") < n, F.col("value"))).alias("variants"), kinds.alias("distinct_values"))
+    best = placed.groupBy("cluster_id", "field").agg(F.max(_reasons()).alias("w"), F.collect_list(F.when(F.col("place") < n, F.col("value"))).alias("variants"), kinds.alias("distinct_values"))
     return best.select("cluster_id", "field", F.col("w.value").alias("selected"), F.col("w.num").alias("selected_num"), "variants", "distinct_values")
 
 
@@ -88,6 +103,11 @@ def variance_penalty(deviation: Column, n: Column) -> Column:
     return F.when(n > 1, F.least(F.lit(0.30), 0.05 * deviation)).otherwise(0.0)
 
 
+def _penalty() -> Column:
+    known, texts = F.col("field") == "experience_yrs", F.col("field").isin(_PENALISED)
+    return F.when(known, variance_penalty(F.col("deviation"), F.col("n"))).when(texts, string_penalty(F.col("distinct_values"), F.col("n"))).otherwise(0.0)
+
+
 def field_confidence(long: DataFrame, won: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Confidence, trust, penalty, sources and reasons per cluster and scalar field."""
     # a cluster's fields as one row, so that both sides are joined where they are
@@ -111,8 +131,7 @@ def field_confidence(long: DataFrame, won: DataFrame, weights: dict[str, float]
     stats = stats.withColumn("trusted", F.when(F.col("support") > 0, total / F.col("support")))
     base = agreement_base(F.col("support"))
     number = F.col("field") == "experience_yrs"
-    penalty = F.when(number, variance_penalty(F.col("deviation"), F.col("n"))).when(F.col("field").isin(_PENALISED), string_penalty(F.col("distinct_values"), F.col("n"))).otherwise(0.0)
-    stats = stats.withColumn("base", base).withColumn("trusted", F.coalesce("trusted", F.lit(0.0))).withColumn("penalty", penalty)
+    stats = stats.withColumn("base", base).withColumn("trusted", F.coalesce("trusted", F.lit(0.0))).withColumn("penalty", _penalty())
     stats = stats.withColumn("confidence", confidence_of(F.col("base"), F.col("trusted"), F.col("penalty")))
     high = F.transform(F.filter("tagged", lambda x: x["trust"] >= HIGH_TRUST), lambda x: x["source_type"])
     numbers = F.array_join(F.transform("numbers", lambda x: x["value"]), ", ")
@@ -131,15 +150,18 @@ def field_confidence(long: DataFrame, won: DataFrame, weights: dict[str, float]
     return stats.select("cluster_id", "field", "selected", "selected_num", "support", "base", "confidence", pyround(F.col("trusted"), 2).alias("trust_score"), pyround(F.col("penalty"), 2).alias("penalty"), sources.alias("sources"), reasons.alias("reasoning"), conflict.alias("conflict"))
 
 
+def _type_mean(weights: dict[str, float] | None) -> Column:
+    of_type = F.transform(F.array_sort("types"), lambda t: trust(t, weights))
+    return F.aggregate(of_type, F.lit(0.0), lambda a, x: a + x) / F.size("types")
+
+
 def skills_confidence(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The union of a cluster's skills, with confidence by its distinct sources."""
     long = rows.select("cluster_id", "source_type", "source_tag", F.explode("skills").alias("skill"))
     # of spellings that differ in case the first in code-point order would be as good; both stay, as in a list of exact values
     skills = long.groupBy("cluster_id").agg(sorted_ignoring_case(F.collect_set("skill")).alias("skills"), F.array_sort(F.collect_set("source_tag")).alias("sources"), F.collect_set("source_type").alias("types"))
     base = agreement_base(F.size("sources"))
-    of_type = F.transform(F.array_sort("types"), lambda t: trust(t, weights))
-    mean = F.aggregate(of_type, F.lit(0.0), lambda a, x: a + x) / F.size("types")
-    out = skills.withColumn("base", base).withColumn("trusted", mean)
+    out = skills.withColumn("base", base).withColumn("trusted", _type_mean(weights))
     out = out.withColumn("confidence", confidence_of(F.col("base"), F.col("trusted"), F.lit(0.0)))
     reasons = F.array(
         F.concat(F.lit("Skills from "), F.size("sources").cast("string"), F.lit(" source(s) → agreement base "), fixed(F.col("base"), 2)),
@@ -177,14 +199,106 @@ def profiles(rows: DataFrame, scratch: Scratch, weights: dict[str, float] | None
     values["skills"] = F.coalesce(values["skills"], F.array().cast("array<string>")).alias("skills")
     overall = overall_confidence({f: F.col(f)["confidence"] for f in FIELDS})
     out = joined.select("cluster_id", "n_records", *values.values(), *meta.values(), overall.alias("overall_confidence"))
-    if matched:
-        match = pairwise_signals(rows, scratch).select("cluster_id", "match_probability")
-        out = out.join(match, "cluster_id", "left").withColumn("match_probability", F.coalesce("match_probability", F.lit(1.0)))
-    else:
-        out = out.withColumn("match_probability", F.lit(None).cast("double"))
+    return _reviewed(_with_match(out, rows, scratch) if matched else out.withColumn("match_probability", F.lit(None).cast("double")))
+
+
+def _with_match(out: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    match = pairwise_signals(rows, scratch).select("cluster_id", "match_probability")
+    return out.join(match, "cluster_id", "left").withColumn("match_probability", F.coalesce("match_probability", F.lit(1.0)))
+
+
+def _reviewed(out: DataFrame) -> DataFrame:
     return out.withColumn("needs_review", F.col("overall_confidence") < REVIEW_BELOW)
 
 
+#: Equal trusts that are added up at once, in their order.
+ADDED = 1 << 16
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of trusts (``n`` times each) of a cluster's field, one after another in the order of the rows, which keys follow."""
+    key, total, support = None, 0.0, 0
+    for batch in batches:
+        out = []
+        for cluster, field, trusted, n in zip(*(batch.column(k).to_pylist() for k in ("cluster_id", "field", "trust", "n")), strict=True):
+            if (cluster, field) != key:
+                if key:
+                    out.append((*key, total, support))
+                key, total, support = (cluster, field), 0.0, 0
+            support += n
+            while n > 1:
+                some = min(n, ADDED)
+                total = float(np.add.accumulate(np.concatenate(([total], np.full(some, trusted))))[-1])
+                n -= some
+            if n:
+                total += trusted
+        if out:
+            yield _totals(out)
+    if key:
+        yield _totals([(*key, total, support)])
+
+
+def _totals(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["cluster_id", "field", "total", "support"])
+
+
+def _trust_totals(long: DataFrame, counts: DataFrame, won: DataFrame, scratch: Scratch) -> DataFrame:
+    """How many records support each field's value, and the sum of their trusts in the order of the records.
+
+    Records of one trust that follow each other are one row with their number.
+    Only where those of different trusts are mixed is there a row per record.
+    """
+    group, chosen = ["cluster_id", "field"], won.select("cluster_id", "field", "selected", "selected_num")
+    yes = counts.join(chosen, group).where(_supports())
+    runs = yes.groupBy(*group, "trust").agg(F.sum("n").alias("n"), F.min("first").alias("seq"), F.max("last").alias("last"))
+    before = Window.partitionBy(*group).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("meets", F.coalesce(F.col("seq") < F.max("last").over(before), F.lit(False)))
+    runs = scratch.table(runs.withColumn("mixed", F.max("meets").over(Window.partitionBy(*group))), release=False)
+    parts, mixed = runs.where("not mixed").select(*group, "seq", "trust", "n"), runs.where("mixed").select(*group).distinct()
+    if not mixed.isEmpty():
+        each = long.join(mixed, group).join(chosen, group).where(_supports())
+        parts = parts.unionByName(each.select(*group, "seq", "trust", F.lit(1).cast("long").alias("n")))
+    return parts.repartition(*group).sortWithinPartitions(*group, "seq").mapInArrow(_added, "cluster_id long, field string, total double, support long")
+
+
+def _skill_scores(rows: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """The union of a cluster's skills and its confidence; sources are counted, not listed."""
+    some = rows.where("size(skills) > 0")
+    sources = some.select("cluster_id", "source_tag").distinct().groupBy("cluster_id").agg(F.count("source_tag").alias("n"))
+    long = some.select("cluster_id", "skills", "source_type").distinct().select("cluster_id", "source_type", F.explode("skills").alias("skill"))
+    found = long.groupBy("cluster_id").agg(sorted_ignoring_case(F.collect_set("skill")).alias("skills"), F.collect_set("source_type").alias("types")).join(sources, "cluster_id")
+    return found.select("cluster_id", "skills", confidence_of(agreement_base(F.col("n")), _type_mean(weights), F.lit(0.0)).alias("skills_confidence"))
+
+
+def scores(rows: DataFrame, scratch: Scratch, weights: dict[str, float] | None = None) -> DataFrame:
+    """``profiles`` without metadata, for results that don't show it.
+
+    No list has an entry per record or per value, so no row grows with its
+    cluster, and records are counted by value and trust before they move.
+    """
+    group = ["cluster_id", "field"]
+    long = _cut(rows).withColumn("trust", trust(F.col("source_type"), weights))
+    counts = long.groupBy(*group, "value", "trust").agg(F.count("*").alias("n"), F.max("priority").alias("priority"), F.max("num").alias("num"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    counts = scratch.table(counts)
+    values = counts.groupBy(*group, "value").agg(F.sum("n").alias("support"), F.max("priority").alias("priority"), F.max("num").alias("num"))
+    kinds = F.count_distinct(strip(F.lower("value"))).alias("distinct_values")
+    won = values.groupBy(*group).agg(F.max(_reasons()).alias("w"), kinds, F.sum("support").alias("n"))
+    won = scratch.table(won.select(*group, F.col("w.value").alias("selected"), F.col("w.num").alias("selected_num"), "distinct_values", "n"))
+    clusters = scratch.table(rows.groupBy("cluster_id").agg(F.count("*").alias("n_records"), F.stddev_pop("experience_yrs").alias("deviation")))
+    stats = won.join(_trust_totals(long, counts, won, scratch), group).join(clusters, "cluster_id")
+    confidence = confidence_of(agreement_base(F.col("support")), F.col("total") / F.col("support"), _penalty())
+    shown = stats.select(*group, F.struct("selected", "selected_num", confidence.alias("confidence")).alias("m"))
+    wide = shown.groupBy("cluster_id").pivot("field", [*_SCALARS, "experience_yrs"]).agg(F.first("m"))
+    skilled = _skill_scores(rows, weights)
+    joined = clusters.join(wide, "cluster_id", "left").join(skilled, "cluster_id", "left")
+    values = {f: F.col(f)["selected_num" if f == "experience_yrs" else "selected"].alias(f) for f in FIELDS if f != "skills"}
+    values["skills"] = F.coalesce("skills", F.array().cast("array<string>")).alias("skills")
+    overall = overall_confidence({f: F.col("skills_confidence") if f == "skills" else F.col(f)["confidence"] for f in FIELDS})
+    out = joined.select("cluster_id", "n_records", *[values[f] for f in FIELDS], overall.alias("overall_confidence"))
+    return _reviewed(_with_match(out, rows, scratch))
+
+
 def positions(df: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``position``, the place (from 0) in the output order."""
     return numbered(df, list(map(F.expr, _ORDER)), "position", scratch)
